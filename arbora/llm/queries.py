@@ -11,16 +11,82 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.mtree import search_query
+
+    return search_query(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.lm import lm_query
+
+    return lm_query(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.mixing import mix_query
+
+    return mix_query(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.pii import pii_query
+
+    return pii_query(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.toxicity import toxicity_query
+
+    return toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from arbora.llm.bpe import digests
+
+    return digests(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arbora.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.capfilter import dedup_query
+
+    return dedup_query(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.suffix import dedup_query
+
+    return dedup_query(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.langid import language_query
+
+    return language_query(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op7_simhash]
+    named = [op1_top_k, op2_lm_scores, op3_mixing, op4_pii, op5_toxicity, op6_bpe, op7_simhash, op8_embedding_dedup, op9_suffix_dedup, op10_language_id]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express: the others are tested against brute force, round trips or held-out rows."""
+    from arbora.llm.lm import LM_SQL
+    from arbora.llm.mixing import MIX_SQL
+    from arbora.llm.mtree import SEARCH_SQL
+
+    return {"op1_top_k": SEARCH_SQL, "op2_lm_scores": LM_SQL, "op3_mixing": MIX_SQL}
