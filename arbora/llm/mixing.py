@@ -18,6 +18,9 @@ has target 0.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +55,11 @@ def sainte_lague(rows: DataFrame, group: list[str], keys: list[str], weight: str
     order = Window.partitionBy(*group).orderBy((F.col("__x") / (2 * F.col("__j") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in keys], "__j")
     won = quotients.withColumn("__r", F.row_number().over(order)).where("__r <= __open")
     won = won.groupBy(*group, *keys).agg(F.count("*").alias("__won"))
-    on = [rows[k].eqNullSafe(won[k]) for k in (*group, *keys)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    keep = [rows[c] for c in rows.columns if not c.startswith("__")]
-    return rows.join(won, cond, "left").select(*keep, (rows["__base"] + F.coalesce(won["__won"], F.lit(0))).alias("quota"))
+    own = [*group, *keys]
+    won = won.select(*[F.col(k).alias(f"__key_{k}") for k in own], "__won")
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in own])
+    keep = [c for c in rows.columns if not c.startswith("__")]
+    return rows.join(won, on, "left").select(*keep, (F.col("__base") + F.coalesce("__won", F.lit(0))).alias("quota"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
@@ -95,16 +97,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sources = sources.withColumn("shards", F.call_function("shiftleft", F.lit(1), F.least(F.lit(FINE_BITS), F.greatest(F.lit(0), bits)).cast("int")))
     sources = checkpoint(sources.select("source", "source_size", "target", "source_quota", "shards"))
     s = sources.withColumnRenamed("source", "__source")
-    places = sums.join(s, sums["source"].eqNullSafe(s["__source"])).drop("__source").withColumn("shard", F.col("fine") % F.col("shards"))
+    places = sums.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("shard", F.col("fine") % F.col("shards"))
     shards = places.groupBy("source", "shard", "source_quota").agg(F.sum("words").alias("shard_words"))
     shards = sainte_lague(shards, ["source"], ["shard"], "shard_words", "source_quota")
     shards = shards.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("shard_words") / block)))
     shards = shards.withColumn("quota", F.least(F.col("quota"), F.col("blocks") * limit))
     phase = seeded_hash(F.coalesce("source", F.lit("")), F.col("shard"), seed=f"{seed}-phase") % F.col("blocks")
     q = shards.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "quota", "blocks", phase.alias("phase"))
-    places = places.join(q, places["source"].eqNullSafe(q["__source"]) & (places["shard"] == q["__shard"]))
+    places = places.join(q, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard")))
     places = checkpoint(places.select(F.col("source").alias("__source"), F.col("fine").alias("__fine"), "source_size", "target", "shard", "quota", "blocks", "phase"))
-    rows = sized.join(places, sized["source"].eqNullSafe(places["__source"]) & (sized["fine"] == places["__fine"]))
+    rows = sized.join(places, F.col("source").eqNullSafe(F.col("__source")) & (F.col("fine") == F.col("__fine")))
     line = Window.partitionBy("source", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("doc_id").cast("string"))), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__s", F.coalesce(F.sum("size").over(line), F.lit(0)))
     start, end, b = F.col("__s"), F.col("__s") + F.col("size"), F.lit(block).cast("long")
@@ -126,14 +128,14 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     words of a source stay near its target; documents without a word are left out.
     """
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    got = mix(docs.select("doc_id", "source", "text").withColumn("source", F.col("source")), seed=seed, **how)
+    got = mix(docs, seed=seed, **how)
     got = got.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
     times = F.col("taken") / F.col("size")
     luck = seeded_hash(F.col("doc_id"), seed=f"{seed}-copies") / float(1 << 32)
     got = got.withColumn("__times", (F.floor(times) + F.when(luck < times - F.floor(times), 1).otherwise(0)).cast("int")).where("__times > 0")
     got = got.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__size"), "__times")
     rows = docs.withColumn("__words", word_count(F.col("text")))
-    on = rows["doc_id"].eqNullSafe(got["__id"]) & rows["source"].cast("string").eqNullSafe(got["__src"]) & (rows["__words"] == got["__size"])
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__src")) & (F.col("__words") == F.col("__size"))
     return rows.join(got, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*cols)
 
 

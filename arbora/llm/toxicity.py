@@ -32,10 +32,9 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import crc_mod
 
-SAMPLE = 24_000
-STEM_LENGTHS = (4, 5, 6, 7)
-MIN_FAMILIES = 6
-MAX_CLEAN_RATE = 0.01
+SAMPLE = 12_000
+STEM_LENGTHS = (4, 5, 6, 7, 8)
+MIN_LOG_ODDS = 3.0
 
 # Closed word classes of the grammar, by symbol.
 TARGET = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tus vosotros".split()
@@ -126,20 +125,45 @@ class Grammar:
 NOTHING = {"words": {}, "stems": {}, "calibration": (0.0, 0.0, 0.0), "known": False}
 
 
+def significant(t: int, c: int, rate: float, units: int) -> bool:
+    """Whether t toxic families beside c clean texts are beyond chance among so many units (binomial bound)."""
+    n, share = t + c, t / (t + c)
+    if share <= rate:
+        return False
+    gap = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if c else 0.0)
+    return n * gap >= math.log(units + 1) + 3
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Newton steps of ridge logistic regression."""
+    w = np.zeros(x.shape[1])
+    ridge = np.diag([1e-3] + [0.1] * (x.shape[1] - 1))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + ridge @ w
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge
+        step = np.linalg.solve(h, g)
+        w -= step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return [float(v) for v in w]
+
+
 def learn(rows: list[tuple[str, int]]) -> dict:
     """Model from (text, toxic) pairs."""
     families: dict[str, set[int]] = defaultdict(set)
     clean: Counter[str] = Counter()
     seen: set[int] = set()
     n_toxic = n_clean = 0
-    held: list[tuple[list[str], int]] = []
+    used: list[tuple[str, int]] = []
     for text, toxic in rows:
-        words = set(_word.findall(text.lower()))
-        units = words | {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if len(w) > n}
         key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
         if key in seen:
             continue
         seen.add(key)
+        words = set(_word.findall(text.lower()))
+        used.append((text, toxic))
+        units = words | {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if len(w) > n}
         if toxic:
             n_toxic += 1
             family = min((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), default=0)
@@ -148,40 +172,27 @@ def learn(rows: list[tuple[str, int]]) -> dict:
         else:
             n_clean += 1
             clean.update(units)
-        held.append((text, toxic))
     if not n_toxic or not n_clean:
         return NOTHING
-    need = max(2, min(MIN_FAMILIES, n_toxic // 8))
+    rate, units = n_toxic / (n_toxic + n_clean), len(families)
 
     def weight(u: str) -> float:
         t, c = len(families[u]), clean[u]
-        if t < need or c > MAX_CLEAN_RATE * t * n_clean / n_toxic or c > 0.1 * t:
-            return 0.0
-        return min(1.0, math.log(((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))) / 6)
+        odds = math.log(((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1)))
+        return min(1.0, odds / 6) if odds >= MIN_LOG_ODDS and significant(t, c, rate, units) else 0.0
 
     strong = {u: w for u in families if (w := weight(u)) > 0}
-    # a stem counts where it adds families that none of its words has; the shortest good one stands for the rest
     stems: dict[str, float] = {}
-    for u in sorted((u for u in strong if u.endswith("*")), key=lambda u: (len(u), u)):
+    for u in sorted((u for u in strong if u.endswith("*")), key=len):
         stem = u[:-1]
-        if not any(stem.startswith(s) for s in stems):
+        # a longer stem is listed only where it weighs more than every shorter one it begins with
+        if strong[u] > max((stems.get(stem[:n], 0.0) for n in range(1, len(stem))), default=0.0):
             stems[stem] = strong[u]
-    words = {u: w for u, w in strong.items() if not u.endswith("*") and not any(u.startswith(s) for s in stems)}
+    words = {u: w for u, w in strong.items() if not u.endswith("*") and w > max((stems.get(u[:n], 0.0) for n in range(1, len(u))), default=0.0)}
     model = NOTHING | {"words": words, "stems": stems, "known": True}
     grammar = Grammar(model)
-    x = np.array([(1.0, *grammar.sums(text)) for text, _ in held])
-    y = np.array([t for _, t in held], float)
-    w = np.zeros(3)
-    ridge = np.diag([1e-3, 1e-2, 1e-2])
-    for _ in range(60):  # Newton steps of ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge @ w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        step = np.linalg.solve(h, g)
-        w -= step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return model | {"calibration": [float(v) for v in w]}
+    x = np.array([(1.0, *grammar.sums(text)) for text, _ in used])
+    return model | {"calibration": logistic(x, np.array([t for _, t in used], float))}
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> dict:
