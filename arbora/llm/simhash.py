@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.llm.common import checkpoint, components
 
@@ -110,13 +111,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with one row of each component: that of its smallest doc_id.
 
-    Of rows that repeat this id, the first by all columns stays; rows without an id stay only where
-    their whole component has none.
+    Rows that repeat an id are told apart by their text: of several rows with the id that names a component
+    the first by all columns stays.  A component in which no row has an id keeps its rows of the smallest
+    fingerprint, equal ones once.
     """
-    found = simhash_components(docs, radius).where("doc_id is null or doc_id = component_id").where("doc_id is not null or component_id is null")
-    chosen = found.select(F.col("doc_id").alias("__id"), "label").distinct()
-    cols = docs.columns
-    # one id can occur with several texts, hence several labels: keep those whose own label is chosen
-    fp_of = docs.join(chosen.select("__id").distinct(), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").cast("string").asc_nulls_last() for c in cols])
-    return fp_of.withColumn("__n", F.row_number().over(order)).where("__n = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in cols])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    found = simhash_components(docs, radius)
+    named = found.where("doc_id = component_id").select("doc_id").distinct()
+    nameless = found.where("component_id is null and fp = label").select("fp").distinct()
+    kept = docs.join(named.withColumnRenamed("doc_id", "__id"), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(*[c.cast("string").asc_nulls_last() for c in cols])
+    kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*cols)
+    without = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    own = without.withColumn("__row", F.struct(*cols)).select("__row", F.col("text").cast("string").alias("text")).mapInArrow(
+        _with_fingerprint, T.StructType([T.StructField("__row", docs.select(F.struct(*cols).alias("r")).schema["r"].dataType), T.StructField("fp", T.LongType())])
+    )
+    rest = own.join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return kept.unionByName(rest.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+
+
+def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = np.array([fingerprint(x) for x in batch.column(1).cast(pa.large_binary()).to_pylist()], "<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["__row", "fp"])
