@@ -512,7 +512,7 @@ class Graph:
     def execution_plan_constrained(self, workers: int, costs: DataFrame | None = None) -> DataFrame:
         """step_index, name, start_time, duration under ``workers`` slots; sequential, in one task.
 
-        Steps are equal (level of start, start time); a node never shares a step with one it depends on.
+        Steps start together; a node never shares a step with one it depends on, even a free one.
         """
         c = self.costed(costs)
         one = self.nodes.select("name", F.lit("all").alias("root"))
@@ -520,11 +520,11 @@ class Graph:
             raise TooLargeError("constrained plans are made in one task")
 
         def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
-            cost, lvl = cols["cost"].__getitem__, adj.levels()
+            cost = cols["cost"].__getitem__
             starts, _ = adj.list_schedule(workers, cost)
-            keys = sorted({(s, lvl[i]) if cost(i) == 0 else (s, -1) for s, i in starts})
-            step = {k: n for n, k in enumerate(keys)}
-            at = [step[(s, lvl[i]) if cost(i) == 0 else (s, -1)] for s, i in starts]
+            keys = adj.step_keys(starts, cost)
+            step = {k: n for n, k in enumerate(sorted(set(keys)))}
+            at = [step[k] for k in keys]
             return {"step_index": at, "name": [adj.names[i] for _, i in starts], "start_time": [s for s, _ in starts], "duration": [cost(i) for _, i in starts]}
 
         return fixpoint.by_component(c, self.edges, one, kernel, "step_index int,name string,start_time double,duration double", ["cost"])

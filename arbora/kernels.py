@@ -272,6 +272,17 @@ class Adjacency:
                     heapq.heappush(ready, (-down[j], self.place[j], j))
         return starts, finish
 
+    def step_keys(self, starts: list[tuple[float, int]], cost: Callable[[int], float]) -> list[tuple[float, int]]:
+        """(start, wait) per scheduled node: nodes of one step start together and don't depend on each other.
+
+        ``wait`` counts the free nodes that a node waits for within its start time.
+        """
+        at = {i: s for s, i in starts}
+        wait: dict[int, int] = {}
+        for i in self.kahn():
+            wait[i] = max((wait[p] + 1 for p in self.inc[i] if at[p] == at[i] and cost(p) == 0), default=0)
+        return [(s, wait[i]) for s, i in starts]
+
     # ---- partitions ----
 
     def part_by_levels(self, k: int) -> list[int]:
