@@ -6,7 +6,9 @@ whose direction it exceeds by a cap threshold; they are list-decoded from the so
 tried one by one.  Vectors that share a filter are compared exactly, in double precision.
 
 The number of filters follows the number of vectors and the threshold follows from it, so that a vector
-passes about ``CAPS`` filters and a filter meets a bounded number of unrelated vectors at any size.
+passes about ``CAPS`` filters and a filter meets a bounded number of unrelated vectors at any size.  There
+are ``TABLES`` codes of independent rotations, and a vector that exceeds few filters of a code takes its
+``NEAREST`` ones, so that none has too few to meet its neighbours.
 
 A pair that shares several filters counts in the smallest of them only (each vector carries its list), so
 no list of pairs is ever written: filters give sums of links and a spanning star of their components.
@@ -33,21 +35,23 @@ from pyspark.sql import functions as F
 from arbora.llm.common import checkpoint, components
 
 THRESHOLD = 0.95
-CAPS = 16
+CAPS = 32
+TABLES = 4
+NEAREST = 6
 BLOCK = 1024
 PART_ROWS = 16_000
 SEED = 5
 
 
-class Filters:
-    """Product code for one vector length."""
+class Table:
+    """Product code of one random rotation for one vector length."""
 
-    def __init__(self, dim: int, n: int, caps: int = CAPS, seed: int = SEED):
-        rng = np.random.default_rng([seed, dim])
+    def __init__(self, dim: int, n: int, caps: float, seed: list[int]):
+        rng = np.random.default_rng(seed)
         self.blocks = max(1, min(dim, 2 if n < 2_000_000 else 3))
-        total = max(1024, n)
-        self.words = max(2, math.ceil(total ** (1 / self.blocks)))
-        rate = min(0.5, caps / self.words**self.blocks)
+        self.words = max(2, math.ceil(max(1024, n) ** (1 / self.blocks)))
+        self.size = self.words**self.blocks
+        rate = min(0.5, caps / self.size)
         self.least = -NormalDist().inv_cdf(rate) / math.sqrt(dim) * math.sqrt(self.blocks)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = [round(dim * k / self.blocks) for k in range(self.blocks + 1)]
@@ -58,27 +62,44 @@ class Filters:
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt((b - a) * self.blocks / dim))
 
     def passed(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Sorted filter numbers of each row."""
+        """Numbers of the filters that each row exceeds, its ``NEAREST`` filters at least."""
         turned = unit @ self.rotation
         products = [turned[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.codes)]
         highest = [p.max(1) for p in products]
+        k = min(self.words, NEAREST)
+        best = [np.argpartition(-p, k - 1, axis=1)[:, :k] for p in products]
         out = []
         for r in range(len(unit)):
+            # the NEAREST best sums of one word of each block lie among the NEAREST best words of each
+            number, value = np.zeros(1, np.int64), np.zeros(1)
+            for p, top in zip(products, best):
+                number = (number[:, None] * self.words + top[r][None]).ravel()
+                value = (value[:, None] + p[r][top[r]][None]).ravel()
+            keep = np.argsort(-value, kind="stable")[:NEAREST]
+            near, least = number[keep], min(self.least, value[keep[-1]]) - 1e-9  # rounding
             number, value = np.zeros(1, np.int64), np.zeros(1)
-            for k, p in enumerate(products):
-                later = sum(h[r] for h in highest[k + 1 :])
-                good = np.flatnonzero(p[r] >= self.least - later - value.max())
+            for j, p in enumerate(products):
+                later = sum(h[r] for h in highest[j + 1 :])
+                good = np.flatnonzero(p[r] >= least - later - value.max())
                 sums = value[:, None] + p[r][good][None]
-                i, j = np.nonzero(sums >= self.least - later)
-                number, value = number[i] * self.words + good[j], sums[i, j]
-                if not len(number):
-                    break
-            if not len(number):  # the nearest filter of all, so that every vector has one
-                number = np.array([int(np.ravel_multi_index([int(p[r].argmax()) for p in products], [self.words] * self.blocks))])
-            out.append(np.sort(number))
+                x, y = np.nonzero(sums >= least - later)
+                number, value = number[x] * self.words + good[y], sums[x, y]
+            out.append(np.union1d(number, near))
         return out
 
 
+class Filters:
+    """``TABLES`` product codes; filter numbers of one table follow those of the one before."""
+
+    def __init__(self, dim: int, n: int, caps: int = CAPS, seed: int = SEED):
+        self.tables = [Table(dim, n, caps / TABLES, [seed, dim, t]) for t in range(TABLES)]
+
+    def passed(self, unit: np.ndarray) -> list[np.ndarray]:
+        """Sorted filter numbers of each row."""
+        per = [[k * t.size + x for x in t.passed(unit)] for k, t in enumerate(self.tables)]
+        return [np.concatenate(x) for x in zip(*per)]
+
+
 def raw_vector(values: list | None) -> bytes | None:
     """Bytes of a vector that can link; None otherwise."""
     if not values or any(v is None for v in values):
