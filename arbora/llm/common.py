@@ -3,32 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
+from arbora.operators.fixpoint import checkpoint, components, ensure_checkpoint_dir
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; only a local session without one gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    given = sc.getConf().get("spark.checkpoint.dir")
-    if given:
-        sc.setCheckpointDir(given)
-    elif sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+__all__ = ["WORD", "checkpoint", "components", "crc_mod", "ensure_checkpoint_dir", "seeded_hash", "sha256_hex", "word_count"]
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there (survives lost executors)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
@@ -50,41 +33,3 @@ def sha256_hex(data: bytes) -> str:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id gives null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node of each connected component: edges (a, b) -> (node, root).
-
-    Alternating large-star and small-star rounds (Kiveris et al.): no adjacency list is ever
-    gathered, only minima per node and joins, so a hub is a skewed join key that AQE can split.
-    Nodes without an edge don't appear. Every round is checkpointed to the shared folder.
-    """
-    e = edges.where("a is not null and b is not null and a <> b")
-    e = checkpoint(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    signature = None
-    for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            e.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("p"))
-            .select("p.a", "p.b")
-            .where("a <> b")
-            .distinct()
-        )
-        e = checkpoint(small)
-        row = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == signature:
-            break
-        signature = tuple(row)
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )

@@ -29,6 +29,7 @@ PER_LANG = 1500
 DIM = 1 << 14
 STRETCH = 1 << 18
 EPOCHS = 8
+PARTS = 64
 
 # Families of common language codes.
 FAMILIES = {
@@ -51,12 +52,10 @@ def features(text: str) -> np.ndarray | None:
     for at in range(0, len(text), STRETCH):  # whole text, a stretch at a time (two characters shared)
         raw = text[max(0, at - 2) : at + STRETCH].lower()
         code = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        plain = code < 128
         letter = ((code >= 97) & (code <= 122)) | ((code >= 0xC0) & (code != 0xD7) & (code != 0xF7) & (code < 0x2000)) | (code >= 0x2C00)
         code = np.where(letter, code, np.uint64(32))
         keep = np.ones(len(code), bool)
         keep[1:] = letter[1:] | letter[:-1]
-        del plain
         code, letter = code[keep], letter[keep]
         if len(code) < 3:
             code = np.concatenate([code, np.full(3 - len(code), 32, np.uint64)])
@@ -159,8 +158,11 @@ def fit(docs: DataFrame, held_out, per_lang: int = PER_LANG) -> dict:
     """Fit on at most ``per_lang`` rows of each language among rows where ``held_out`` is false."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
+    # a common language is first cut down in parts of its own, so that no task sees all of its rows
+    order = lambda *by: Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("doc_id", "lang").withColumn("__part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
+    for by in (["lang", "__part"], ["lang"]):
+        ids = ids.withColumn("__n", F.row_number().over(order(*by))).where(F.col("__n") <= per_lang)
     sample = rows.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
