@@ -83,6 +83,29 @@ class GraphTemplate:
         return dag
 
 
+    def render_builder(self, **given):
+        """The same as an unfinished builder."""
+        from arbora.dag import DAGBuilder
+
+        v, out = self.values(given), DAGBuilder()
+        for row in self.nodes:
+            out.add_node(*substitute(list(row), v))
+        for row in self.edges:
+            out.add_edge(*substitute(list(row), v))
+        return out
+
+    def render_calls(self, tasks: dict, **given) -> tuple:
+        """The rendered graph and its tasks: names are substituted, a task takes the values it has parameters for."""
+        import inspect
+
+        v = self.values(given)
+        calls = {}
+        for name, fn in tasks.items():
+            own = {k: v[k] for k in inspect.signature(fn).parameters if k in v}
+            calls[str(substitute(name, v))] = lambda fn=fn, own=own: fn(**own)
+        return self.render(**given), calls
+
+
 def render_column(text: str, values: dict[str, Column]) -> Column:
     """A column of rendered texts, one a row: bulk rendering without leaving SQL."""
     parts, at = [], 0
