@@ -345,7 +345,7 @@ class Graph:
 
     def reachability_index(self) -> DataFrame:
         """name, bucket, bits: bitmaps of the positions each node reaches, itself included (built-in bitmaps)."""
-        pos = self.nodes.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("pos"))
+        pos, _ = fixpoint.global_rank(self.nodes.select("name"), ["name"], "pos")
         pairs = self.closure().select("src", "dst").unionByName(self.nodes.select(F.col("name").alias("src"), F.col("name").alias("dst")))
         p = pairs.join(pos.withColumnRenamed("name", "dst"), "dst")
         return p.groupBy(F.col("src").alias("name"), F.expr("bitmap_bucket_number(pos)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(pos))").alias("bits"))
@@ -384,8 +384,9 @@ class Graph:
             else:
                 ups = self.edges.join(ranks.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.max("rank").alias("up"))
                 now = now.join(ups, "name")
-            now = fixpoint.checkpoint(now.select("name", (F.row_number().over(Window.orderBy("up", "name")) - 1 + offset).alias("rank")))
-            offset += now.count()
+            now, n = fixpoint.global_rank(now, ["up", "name"], "rank", offset)
+            now = fixpoint.checkpoint(now.select("name", "rank"))
+            offset += n
             ranks = now if ranks is None else ranks.unionByName(now)
         return ranks
 
@@ -533,9 +534,9 @@ class Graph:
 
     def partition_levels(self, k: int) -> DataFrame:
         """name, partition_id: consecutive levels, ceil(levels / k) to a part."""
-        lvl = self.levels()
-        n = F.max("level").over(Window.partitionBy()) + 1
-        return lvl.withColumn("n", n).withColumn("k", F.least(F.lit(k), F.col("n"))).select(
+        lvl = fixpoint.checkpoint(self.levels())
+        one = F.broadcast(lvl.agg((F.max("level") + 1).alias("n")))  # one row
+        return lvl.crossJoin(one).withColumn("k", F.least(F.lit(k), F.col("n"))).select(
             "name", F.least(F.col("k") - 1, F.floor(F.col("level") / F.ceil(F.col("n") / F.col("k")))).cast("int").alias("partition_id")
         )
 

@@ -237,8 +237,8 @@ def profile(g: Graph, results: DataFrame) -> DataFrame:
     up.strategy = g.strategy
     top = up.bottom_levels(done).withColumnRenamed("bottom_level", "head")
     j = fixpoint.checkpoint(done.join(down, "name").join(top, "name"))
-    whole = F.max("bottom_level").over(Window.partitionBy())
-    p = j.select("name", F.col("cost").alias("duration"), (F.col("head") - F.col("cost")).alias("earliest_start"), (whole - F.col("bottom_level")).alias("latest_start"))
+    j = j.crossJoin(F.broadcast(j.agg(F.max("bottom_level").alias("whole"))))  # one row
+    p = j.select("name", F.col("cost").alias("duration"), (F.col("head") - F.col("cost")).alias("earliest_start"), (F.col("whole") - F.col("bottom_level")).alias("latest_start"))
     slack = F.round(F.col("latest_start") - F.col("earliest_start"), 9)
     return p.withColumn("slack", slack).withColumn("critical", F.col("slack") <= 0)
 

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.errors import CycleError
@@ -89,7 +89,6 @@ def closure_doubling(edges: DataFrame) -> DataFrame:
     """(src, dst, hops_min, hops_max) of all reachable pairs by path doubling; raises on a cycle."""
     p = edges.groupBy("src", "dst").agg(F.lit(1).alias("hops_min"), F.lit(1).alias("hops_max"))
     p = checkpoint(p)
-    count = p.count()
     signature = None
     while True:
         a, b = p.alias("a"), p.alias("b")
@@ -105,8 +104,6 @@ def closure_doubling(edges: DataFrame) -> DataFrame:
         if row == signature:
             return p
         signature = row
-        del count
-        count = row[0]
 
 
 def relax(nodes: DataFrame, edges: DataFrame, own: str, n_nodes: int | None = None) -> DataFrame:
@@ -131,6 +128,23 @@ def relax(nodes: DataFrame, edges: DataFrame, own: str, n_nodes: int | None = No
     raise CycleError(["?"])
 
 
+def global_rank(df: DataFrame, by: list[str], column: str, offset: int = 0, small: int = 100_000) -> tuple[DataFrame, int]:
+    """(df with 0-based positions in the order of ``by``, number of rows).
+
+    Large frames are dealt into ranges, numbered within each and shifted by the sizes of those before, so no
+    task sees all rows.
+    """
+    df = checkpoint(df)
+    n = df.count()
+    number = lambda *part: F.row_number().over(Window.partitionBy(*part).orderBy(*by)) - 1
+    if n <= small:
+        return df.withColumn(column, (number() + offset).cast("int")), n
+    dealt = checkpoint(df.repartitionByRange(max(2, n // small), *by).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").count()
+    before = sizes.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return dealt.join(before, "__range").withColumn(column, (number("__range") + F.col("__before") + offset).cast("int")).drop("__range", "__before"), n
+
+
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """(name, root) for every node, and the edges of the largest component."""
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))

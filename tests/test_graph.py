@@ -154,3 +154,14 @@ def test_quality(spark):
     _, bad = p.run()
     assert sorted(k for _, _, k, _ in bad) == ["min_rows", "missing"]
     assert compatible(bool, int) and not compatible(str, int) and compatible(list[int], list) and compatible(int, int | str) and not compatible(int | str, int)
+
+
+def test_global_rank_in_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from arbora.operators.fixpoint import global_rank
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k"))
+    got, n = global_rank(df, ["k"], "r", 5, small=100)
+    rows = sorted((r["k"], r["r"]) for r in got.collect())
+    assert n == 1000 and [r for _, r in rows] == list(range(5, 1005))
