@@ -26,7 +26,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     given = sc.getConf().get("spark.checkpoint.dir")
     if given:
         sc.setCheckpointDir(given)
-    elif sc.master.startswith("local["):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     else:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
