@@ -4,7 +4,8 @@ The count tables of 1-, 2- and 3-grams are hash-partitioned and joined to the ex
 documents, summed per document.  To keep the shuffles small the tables and the joins work on blobs:
 a block of documents explodes its n-grams, counts them (map-side), and sends each hash range its
 sorted distinct hashes with counts; the range adds up the counts of all blocks and answers in order.
-All counts cover all documents; nothing is pruned.
+All counts cover all documents.  3-grams are sent after the 2-grams are known: one whose two 2-grams
+don't both occur in other documents can't occur there itself, so its count need not be asked for.
 
 A document is scored by the counts of all other documents (its own are taken off), with words
 lower-cased A-Z and split at \\x20 and \\x09-\\x0D: c(abc) / c(ab) where it occurs elsewhere, else
@@ -58,17 +59,23 @@ def exploded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.n
     return doc, pos, {1: h1, 2: h2, 3: h3}
 
 
-def scored(doc: np.ndarray, pos: np.ndarray, grams: dict[int, np.ndarray], totals: dict[int, np.ndarray], n_docs: int, words: int, alpha: float) -> tuple[np.ndarray, ...]:
+def elsewhere(doc: np.ndarray, gram: np.ndarray, ok: np.ndarray, totals: np.ndarray, n_docs: int) -> np.ndarray:
+    """For every word, how often its n-gram occurs in other documents (0 where not in ``ok``)."""
+    out = np.zeros(len(doc), np.int64)
+    if len(ok):
+        _, inv = np.unique(gram[ok], return_inverse=True)
+        _, own_inv, own = np.unique(inv * n_docs + doc[ok], return_inverse=True, return_counts=True)
+        out[ok] = totals[inv] - own[own_inv]
+    return out
+
+
+def candidates(pos: np.ndarray, t2: np.ndarray) -> np.ndarray:
+    """Words whose 3-gram can occur elsewhere: both of its 2-grams do (all others surely count 0)."""
+    return np.flatnonzero((pos >= 2) & (t2 > 0) & (np.concatenate([[0], t2[:-1]]) > 0)) if len(pos) else np.zeros(0, np.int64)
+
+
+def scored(doc: np.ndarray, pos: np.ndarray, left: dict[int, np.ndarray], n_docs: int, words: int, alpha: float) -> tuple[np.ndarray, ...]:
     """Per document: words, words scored at order 3, 2, 1 and 0, sum of log scores."""
-    left: dict[int, np.ndarray] = {}
-    for n in ORDERS:
-        ok = np.flatnonzero(pos >= n - 1)
-        out = np.zeros(len(pos), np.int64)
-        if len(ok):
-            _, inv = np.unique(grams[n][ok], return_inverse=True)
-            _, own_inv, own = np.unique(inv * n_docs + doc[ok], return_inverse=True, return_counts=True)
-            out[ok] = totals[n][inv] - own[own_inv]
-        left[n] = out
     size = np.bincount(doc, minlength=n_docs)
     rest = (words - size)[doc].astype(float)
     t1, t2, t3 = (left[n].astype(float) for n in ORDERS)
@@ -92,12 +99,11 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BY
     def texts_of(table: pa.Table) -> list[bytes]:
         return table["text"].cast(pa.large_binary()).to_pylist()
 
-    def send(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        _, pos, grams = exploded(texts_of(table))
+    def blobs(block: int, grams: dict[int, np.ndarray]) -> pa.Table:
+        """What a block sends: per order and bucket the sorted distinct hashes and their counts."""
         out: dict[str, list] = {"bucket": [], "n": [], "block": [], "hashes": [], "counts": []}
-        for n in ORDERS:
-            h, c = np.unique(grams[n][pos >= n - 1], return_counts=True)
+        for n, gram in grams.items():
+            h, c = np.unique(gram, return_counts=True)
             edges = bucket_edges(h, bits)
             for b in np.flatnonzero(np.diff(edges)):
                 x, y = edges[b], edges[b + 1]
@@ -105,6 +111,19 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BY
                     out[k].append(v)
         return pa.table([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["block"], pa.int32()), pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary())], list(out))
 
+    def told(answers: pa.Table, n: int) -> np.ndarray:
+        got = sorted((b, raw) for m, b, raw in zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist()) if m == n)
+        return np.concatenate([unpack_counts(raw) for _, raw in got]) if got else np.zeros(0, np.int64)
+
+    def send(table: pa.Table) -> pa.Table:
+        _, pos, grams = exploded(texts_of(table))
+        return blobs(table["block"][0].as_py(), {n: grams[n][pos >= n - 1] for n in (1, 2)})
+
+    def send_three(table: pa.Table, answers: pa.Table) -> pa.Table:
+        doc, pos, grams = exploded(texts_of(table))
+        t2 = elsewhere(doc, grams[2], np.flatnonzero(pos >= 1), told(answers, 2), len(table))
+        return blobs(table["block"][0].as_py(), {3: grams[3][candidates(pos, t2)]})
+
     def add(table: pa.Table) -> pa.Table:
         hashes = [unpack_sorted(x.as_py()) for x in table["hashes"]]
         counts = np.concatenate([unpack_counts(x.as_py()) for x in table["counts"]])
@@ -120,18 +139,19 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BY
 
     def receive(table: pa.Table, answers: pa.Table) -> pa.Table:
         doc, pos, grams = exploded(texts_of(table))
-        totals = {}
-        got = sorted(zip(answers["n"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist()))
-        for n in ORDERS:
-            parts = [unpack_counts(raw) for m, _, raw in got if m == n]
-            totals[n] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        made = scored(doc, pos, grams, totals, len(table), words, alpha)
+        left = {n: elsewhere(doc, grams[n], np.flatnonzero(pos >= n - 1), told(answers, n), len(table)) for n in (1, 2)}
+        left[3] = elsewhere(doc, grams[3], candidates(pos, left[2]), told(answers, 3), len(table))
+        made = scored(doc, pos, left, len(table), words, alpha)
         return pa.table([table["doc_id"], *[pa.array(x, pa.int64()) for x in made[:-1]], pa.array(made[-1], pa.float64())], ["doc_id", "n_words", "n3", "n2", "n1", "n0", "log_score"])
 
-    sent = rows.groupBy("block").applyInArrow(send, "bucket int, n int, block int, hashes binary, counts binary")
-    answers = sent.groupBy("bucket", "n").applyInArrow(add, "block int, n int, bucket int, totals binary")
+    def counted(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("bucket", "n").applyInArrow(add, "block int, n int, bucket int, totals binary")
+
+    blob = "bucket int, n int, block int, hashes binary, counts binary"
+    low = counted(rows.groupBy("block").applyInArrow(send, blob))
+    high = counted(rows.groupBy("block").cogroup(low.where("n = 2").groupBy("block")).applyInArrow(send_three, blob))
     return (
-        rows.groupBy("block").cogroup(answers.groupBy("block"))
+        rows.groupBy("block").cogroup(low.unionByName(high).groupBy("block"))
         .applyInArrow(receive, "doc_id long, n_words long, n3 long, n2 long, n1 long, n0 long, log_score double")
     )
 
