@@ -19,10 +19,12 @@ each for itself; equal texts in other rows count as other documents; a null doc_
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,8 +98,18 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, block_bytes: int = BLOCK_BY
     words = int(words or 0)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int"))
 
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [press.compress(t) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "block", "text"])
+
+    # texts are shuffled once and read by three steps: compressed better than the shuffle would
+    rows = rows.select("doc_id", "block", "text").mapInArrow(squeeze, "doc_id long, block int, text binary")
+
     def texts_of(table: pa.Table) -> list[bytes]:
-        return table["text"].cast(pa.large_binary()).to_pylist()
+        open_ = zstandard.ZstdDecompressor()
+        return [open_.decompress(t) for t in table["text"].to_pylist()]
 
     def blobs(block: int, grams: dict[int, np.ndarray]) -> pa.Table:
         """What a block sends: per order and bucket the sorted distinct hashes and their counts."""
