@@ -44,7 +44,7 @@ BLOCK_BYTES = 6_000_000
 BUCKET_ENTRIES = 400_000
 HOT_RUNS = 5_000
 HOT_STEP = 4
-SORT_BYTES = 3_000_000
+SORT_BYTES = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
@@ -52,9 +52,16 @@ _powers: list[np.ndarray] = []
 # ---- suffix sorting ----
 
 
-def ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, names from 1 in that order's terms) of rows given by key columns, first key first."""
-    order = np.lexsort(keys[::-1])
+def ranked(triples: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, names from 1) of rows of three non-negative numbers, packed into one where they fit."""
+    widths = [int(k.max()).bit_length() if len(k) else 0 for k in triples]
+    if sum(widths) <= 63:
+        one = triples[0] << (widths[1] + widths[2]) | triples[1] << widths[2] | triples[2]
+        order = np.argsort(one)
+        keys = [one]
+    else:
+        order = np.lexsort(triples[::-1])
+        keys = triples
     new = np.zeros(len(order), bool)
     for k in keys:
         s = k[order]
@@ -64,8 +71,11 @@ def ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, names
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of positive numbers by the difference cover {1, 2} mod 3."""
+def suffix_array(t: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
+    """Suffix array of positive numbers by the difference cover {1, 2} mod 3.
+
+    Suffixes that agree on their first ``depth`` numbers may stand in any order.
+    """
     n = len(t)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int64)
@@ -74,7 +84,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     at = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
     order, names = ranked([s[at], s[at + 1], s[at + 2]])
     if names.max() < len(at):
-        order = suffix_array(names)
+        if depth > 3:
+            order = suffix_array(names, -(-depth // 3))
         names = np.empty(len(at), np.int64)
         names[order] = np.arange(1, len(at) + 1)
     rank = np.zeros(n + 3, np.int64)
@@ -92,15 +103,15 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         (i[one], [s[i[one]], rank[i[one] + 1]], [s[j], rank[j + 1]]),
         (i[~one], [s[i[~one]], s[i[~one] + 1], rank[i[~one] + 2]], [s[j], s[j + 1], rank[j + 2]]),
     ):
-        both = [np.concatenate([a, b]) for a, b in zip(mine, other)]
-        o = np.lexsort(both[::-1])
+        o, _ = ranked([np.concatenate([a, b]) for a, b in zip([*mine, mine[0] * 0], [*other, other[0] * 0])][:3])
         is_rest = o >= len(own)
         before = np.cumsum(~is_rest)
         count = np.empty(len(j), np.int64)
         count[o[is_rest] - len(own)] = before[is_rest]
         place += count
     out = np.empty(n, np.int64)
-    slots = place + np.arange(len(j))
+    # suffixes that agree to the depth may be counted either way: keep the order of the rests
+    slots = np.maximum.accumulate(place) + np.arange(len(j))
     taken = np.zeros(n, bool)
     taken[slots] = True
     out[slots] = j
@@ -108,36 +119,28 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(strings: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """Classes of equal windows: arrays of (string, offset) for every window that occurs more than once."""
+def repeated(strings: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that occur more than once: (class of equal ones, string, offset)."""
     sizes = np.array([len(x) for x in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 2
-    # a separator behind every string, so that no window runs on
-    ends = np.cumsum(sizes)
-    t = np.insert(text, ends, 1)
-    begins = ends - sizes + np.arange(len(sizes))
-    sa = suffix_array(t)
+    raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    t = raw.astype(np.int64) + 2
+    t[begins + sizes] = 1  # a separator behind every string, so that no window runs on
+    sa = suffix_array(t, length)
     owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     offset = np.arange(len(t)) - begins[owner]
     sa = sa[offset[sa] + length <= sizes[owner[sa]]]  # whole windows only
     if len(sa) < 2:
-        return []
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    windows = np.ndarray((len(raw) - length + 1,), f"V{length}", raw, strides=(1,))
     same = np.zeros(len(sa), bool)
-    small = t.astype(np.int16)
     for at in range(1, len(sa), 20_000):
-        a, b = sa[at - 1 : at + 19_999], sa[at : at + 20_000]
-        a = a[: len(b)]
-        eq = np.ones(len(b), bool)
-        for lo in range(0, length, 25):
-            k = np.arange(lo, min(length, lo + 25))
-            live = np.flatnonzero(eq)
-            eq[live] = (small[a[live][:, None] + k] == small[b[live][:, None] + k]).all(1)
-        same[at : at + 20_000] = eq
+        w = windows[sa[at - 1 : at + 20_000 - 1 + 1]]
+        same[at : at + len(w) - 1] = w[1:] == w[:-1]
     cls = np.cumsum(~same)
-    many = np.flatnonzero(np.bincount(cls)[cls] > 1)
-    hit, cls = sa[many], cls[many]
-    cuts = np.flatnonzero(np.diff(cls)) + 1
-    return np.split(np.stack([owner[hit], offset[hit]], 1), cuts) if len(hit) else []
+    many = np.bincount(cls)[cls] > 1
+    return cls[many], owner[sa[many]], offset[sa[many]]
 
 
 # ---- runs of windows ----
@@ -332,12 +335,16 @@ def _dedup(docs: DataFrame, length: int, block_bytes: int, bucket_entries: int,
         while at < len(body):  # some anchors at a time, whole ones
             end = int(np.searchsorted(total, total[at] + SORT_BYTES))
             end = int(np.searchsorted(anchor, anchor[min(end, len(body) - 1)], "right"))
-            for cls in repeated(body[at:end], length):
-                r, start = cls[:, 0] + at, lo[cls[:, 0] + at] + cls[:, 1]
-                o = np.lexsort((start, doc[r], block[r], key[r]))[1:]
-                for b in np.unique(block[r[o]]):
-                    mine = o[block[r[o]] == b]
-                    hits.setdefault(int(b), []).append(np.stack([doc[r[mine]].astype(np.int64), start[mine]], 1))
+            cls, r, start = repeated(body[at:end], length)
+            r = r + at
+            start = lo[r] + start
+            o = np.lexsort((start, doc[r], block[r], key[r], cls))
+            o = o[1:][cls[o[1:]] == cls[o[:-1]]]  # all but the earliest of each class
+            o = o[np.argsort(block[r[o]], kind="stable")]
+            own = block[r[o]]
+            for mine in np.split(o, np.flatnonzero(np.diff(own)) + 1):
+                if len(mine):
+                    hits.setdefault(int(block[r[mine[0]]]), []).append(np.stack([doc[r[mine]].astype(np.int64), start[mine]], 1))
             at = end
         return pa.table([pa.array(list(hits), pa.int32()), pa.array([-1] * len(hits), pa.int32()), pa.array([np.concatenate(v).astype("<i8").tobytes() for v in hits.values()], pa.binary())], ["block", "bucket", "said"])
 
