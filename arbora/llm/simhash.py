@@ -9,11 +9,19 @@ copies grows, as exact copies are one fingerprint before the shuffle.
 
 Defined cases: null or word-less text has fingerprint 0 and is linked like any other; a null doc_id
 never names a component (a component of null ids only has a null id); repeated rows stay rows.
+
+The pipeline's stage (:func:`keep_one_similar`) has a rule of its own: texts are linked whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more.  64 bits don't reach that (about ten of them
+differ at 0.8), so five-word fingerprints that meet in a ball are only the first candidates.  The rest
+come from an exact prefix filter: in one fixed order of all shingles two such sets share one of their
+first n - ceil(0.8 n) + 1 each.  Every candidate is verified by its sets; there are no misses.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+import hashlib
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,28 +37,48 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 CHUNK = 1 << 15
+#: The stage of the pipeline: words of a shingle, and the least similarity as a fraction.
+STAGE_SHINGLE = 5
+ALIKE, OF = 4, 5
+#: Common shingles come last in the order of the prefix filter.  They are counted in a sample of the rows;
+#: the order decides on the work, never on the result.
+SAMPLE_ROWS, SAMPLE_SHARE, COMMON, MAX_COMMON = 4_000, 1 / 64, 3, 200_000
+#: Up to so many texts are picked by a broadcast, more by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
-def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: str | bytes | None, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The hashes of all shingles of one text, in chunks; a text of fewer words is one shingle."""
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else (text or b"")
     words = raw.lower().split()  # bytes: lower-cases A-Z, splits at \x20 and \x09-\x0D
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     k = min(shingle, len(words))
     a, b = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    hashed, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    hashed = xxhash.xxh64_intdigest
     for i in range(0, len(a), CHUNK):
-        h = np.array([hashed(joined[x:y], seed) for x, y in zip(a[i : i + CHUNK], b[i : i + CHUNK])], "<u8")
+        yield np.array([hashed(joined[x:y], seed) for x, y in zip(a[i : i + CHUNK], b[i : i + CHUNK])], "<u8")
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes have."""
+    n, total = 0, np.zeros(64, np.int64)
+    for h in chunks:
+        n += len(h)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * total > len(a)).astype(np.uint8)
+    bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row."""
 
@@ -136,3 +164,174 @@ def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         fp = np.array([fingerprint(x) for x in batch.column(1).cast(pa.large_binary()).to_pylist()], "<u8").view("<i8")
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["__row", "fp"])
+
+
+def shingle_set(text: str | bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the stage's shingles; no word: none."""
+    parts = list(shingle_hashes(text, STAGE_SHINGLE))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def set_key(found: np.ndarray) -> bytes:
+    return hashlib.md5(found.tobytes()).digest()
+
+
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of a set: rare ones by hash, then those of ``common`` (sorted) by ``rank``."""
+    n = len(found)
+    if not n:
+        return found
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.lexsort((found, np.where(common[at] == found, rank[at], 0)))]
+    return found[: n - (ALIKE * n + OF - 1) // OF + 1]
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a number of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tx"))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that several rows of a sample have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).cast(pa.large_binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view("<i8"), pa.int64())], ["h"])
+
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(1, docs.count())))
+    some = docs.select(F.col("text").cast("string").alias("text")).sample(share, SEED)
+    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    got = often.orderBy(F.desc("count"), "h").limit(MAX_COMMON).toArrow()
+    h, n = got["h"].to_numpy().view("<u8"), got["count"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def shingle_nodes(docs: DataFrame) -> DataFrame:
+    """A row for each distinct set of shingles: node, key, n, fp, prefix, rep (of its smallest doc_id, nulls last)."""
+    common, rank = common_shingles(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x) for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            fp = np.array([majority([x]) for x in sets], "<u8").view("<i8")
+            first = [prefix(x, common, rank).view("<i8") for x in sets]
+            columns = [pa.array([set_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "tx", "key", "n", "fp", "prefix"])
+
+    rows = _plain(docs).mapInArrow(run, "doc_id long, tx long, key binary, n long, fp long, prefix array<long>")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tx")).alias("rep")
+    nodes = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), rep)
+    return checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of 0.8 or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for x, tx in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist()):
+                if tx not in seen:
+                    seen.add(tx)
+                    found = shingle_set(x)
+                    yield pa.RecordBatch.from_arrays([pa.array([set_key(found)], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["key", "set"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(OF * both >= ALIKE * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = checkpoint(nodes.join(asked, "node", "left_semi").select("node", "key", F.col("rep.tx").alias("tx")))
+    picked = asked.select("tx").distinct()
+    picked = F.broadcast(picked) if asked.count() <= BROADCAST_ROWS else picked
+    own = _plain(docs).join(picked, "tx", "left_semi").select("text", "tx").mapInArrow(sets, "key binary, set binary")
+    own = checkpoint(own.groupBy("key").agg(F.first("set").alias("set")).join(asked, "key").select("node", "set"))
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
+
+
+#: What two sets can share at most, when this is the first shingle they have in common.
+NEAR = f"least(n - i, n2 - i2) * {ALIKE + OF} >= {ALIKE} * (n + n2)"
+
+
+def _release(df: DataFrame) -> None:
+    """Let Spark remove the shuffles and checkpoints that nothing refers to any more; they fill the disk."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """(h, node, n, i) for every shingle h that the prefixes of several nodes hold, i its place in them."""
+    groups = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h")).groupBy("h").agg(F.collect_list(F.struct("node", "n", "i")).alias("g"))
+    return checkpoint(groups.where("size(g) > 1").select("h", F.explode("g").alias("m")).select("h", "m.*"))
+
+
+def star_pairs(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b): each member of a ball or of a shared shingle with the smallest one of it."""
+    lead = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    same = nodes.join(lead.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
+    balls = link_fingerprints(nodes.select("fp").distinct())
+    balls = balls.join(lead.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    first = F.min(F.struct("node", "n", "i")).over(Window.partitionBy("h"))
+    stars = shared.withColumn("c", first).select("node", "n", "i", F.col("c.node").alias("b"), F.col("c.n").alias("n2"), F.col("c.i").alias("i2")).where(NEAR)
+    pairs = same.unionByName(balls.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(stars.select(F.col("node").alias("a"), "b"))
+    return checkpoint(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
+def cross_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): all other pairs that share a shingle and differ in component."""
+    named = checkpoint(shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    left = named.join(mixed, "h", "left_semi")
+    other = left.select("h", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
+    rest = left.join(other, "h").where(f"node > b and label <> label2 and {NEAR}").select(F.col("node").alias("a"), "b").distinct()
+    return checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """(node, rep, label) for every node, label the smallest node linked to it."""
+    nodes = shingle_nodes(docs)
+    _release(docs)
+    shared = shared_shingles(nodes)
+    _release(docs)
+    tried = star_pairs(nodes, shared)
+    _release(docs)
+    links = alike(docs, nodes, tried)
+    _release(docs)
+    roots = checkpoint(components(links))
+    rest = cross_pairs(shared, roots, tried)
+    del shared, tried
+    _release(docs)
+    if not rest.isEmpty():
+        links = checkpoint(links.unionByName(alike(docs, nodes, rest)))
+        del rest
+        _release(docs)
+        roots = checkpoint(components(links))
+    found = checkpoint(nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("label")))
+    del nodes, links, roots
+    _release(docs)
+    return found
+
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one row of each component of similar texts: that of its smallest doc_id.
+
+    Of several rows with that id and text the first by all columns stays; a component in which no row has
+    an id keeps one row too.  Texts without a word are equal.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    best = similar_components(docs).groupBy("label").agg(F.min("rep").alias("rep"))
+    best = best.select(F.col("rep.doc_id").alias("__id"), F.col("rep.tx").alias("__tx"))
+    rows = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(best, (F.col("__own") == F.col("__tx")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    order = Window.partitionBy("__own", "doc_id").orderBy(*[c.cast("string").asc_nulls_last() for c in cols])
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*cols)

@@ -294,6 +294,49 @@ def test_ball_links(spark):
             assert root[a] == root[b]
 
 
+def shingles(t):
+    ws = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+    return {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_stage_keeps_one_of_similar(spark):
+    """Planted copies at a similarity of 0.8 to 0.95, all pairs by brute force; a passage that many share."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage, texts = " ".join(word() for _ in range(40)), ["", None, " \t", "Two words", "two WORDS"]
+    for k in range(60):
+        words = [word() for _ in range(r.randint(30, 300))]
+        texts.append(" ".join(words) + (" " + passage if k % 3 == 0 else ""))
+        for edits in (1, 2, 4, 6):
+            copy = texts[-1].split()
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rows = [(1000 - i if i % 50 else None, t, "en", "s1", i) for i, t in enumerate(texts)]
+    rows += [(None, "no id here at all", "en", "s1", 0)] * 2
+    sets, group, between = [shingles(x[1]) for x in rows], list(range(len(rows))), 0
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if 5 * both >= 4 * all_:
+            group[find(i)] = find(j)
+            between += 0.8 <= both / max(1, all_) <= 0.95
+    assert between > 60
+    want = {}
+    for i, x in enumerate(rows):
+        best = want.get(find(i))
+        want[find(i)] = best if x[0] is None or (best is not None and best < x[0]) else x[0]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, DOC).repartition(5), "").collect()
+    assert sorted((x["doc_id"] for x in got), key=repr) == sorted(want.values(), key=repr)
+
+
 # ---- 8: embeddings ----
 
 
