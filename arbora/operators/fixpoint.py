@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,6 @@ from arbora.kernels import Adjacency
 #: Components of at most so many edges may be solved inside one task.
 KERNEL_EDGES = 1_000_000
 BUCKET_EDGES = 100_000
-MAX_ROUNDS = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -72,7 +72,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, keep_st
     e = edges.select("src", "dst").distinct()
     front = checkpoint(starts.select(F.col("name").alias("start"), "name").distinct().withColumn("hops", F.lit(0)))
     seen = front
-    for step in range(1, MAX_ROUNDS):
+    for step in count(1):
         if depth is not None and step > depth:
             break
         new = front.join(e, front["name"] == e["src"]).select("start", F.col("dst").alias("name")).distinct()

@@ -165,3 +165,12 @@ def test_global_rank_in_ranges(spark):
     got, n = global_rank(df, ["k"], "r", 5, small=100)
     rows = sorted((r["k"], r["r"]) for r in got.collect())
     assert n == 1000 and [r for _, r in rows] == list(range(5, 1005))
+
+
+def test_reach_has_no_bound(spark, monkeypatch):
+    from arbora.operators import fixpoint
+
+    monkeypatch.setattr(fixpoint, "MAX_ROUNDS", 3, raising=False)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
+    got = fixpoint.reach(edges, spark.createDataFrame([("n0",)], "name string")).collect()
+    assert sorted((r["name"], r["hops"]) for r in got) == [(f"n{i}", i) for i in range(1, 7)]
