@@ -58,7 +58,9 @@ def divisors(spark: SparkSession, sf_dir: str) -> Graph:
     s = table(spark, sf_dir, "part").select("p_size").where("p_size > 0").distinct()
     name = lambda c: F.concat(F.lit("s"), F.lpad(F.col(c).cast("string"), 3, "0"))
     a, b = s.select(F.col("p_size").alias("a")), s.select(F.col("p_size").alias("b"))
-    pairs = a.withColumn("b", F.explode(F.expr("sequence(2 * a, 10 * 100, a)"))).join(b, "b")  # multiples, an equi-join
+    top = s.agg(F.max("p_size").alias("top"))
+    multiples = F.expr("CASE WHEN a <= top - a THEN sequence(2 * a, top, a) END")
+    pairs = a.crossJoin(F.broadcast(top)).withColumn("b", F.explode(multiples)).join(b, "b")  # an equi-join
     edges = pairs.select(name("a").alias("src"), name("b").alias("dst"))
     return Graph(s.select(name("p_size").alias("name")), edges)
 

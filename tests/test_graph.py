@@ -174,3 +174,11 @@ def test_reach_has_no_bound(spark, monkeypatch):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)], "src string, dst string")
     got = fixpoint.reach(edges, spark.createDataFrame([("n0",)], "name string")).collect()
     assert sorted((r["name"], r["hops"]) for r in got) == [(f"n{i}", i) for i in range(1, 7)]
+
+
+def test_divisors_of_large_sizes(spark, tmp_path):
+    from arbora.plans import derived
+
+    spark.createDataFrame([(300,), (600,), (900,), (7,)], "p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = derived.divisors(spark, str(tmp_path)).edges.collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == [("s300", "s600"), ("s300", "s900")]
