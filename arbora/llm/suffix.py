@@ -4,38 +4,42 @@ A window is a string of ``LENGTH`` bytes inside one document.  Every byte covere
 starts earlier (smaller doc_id, or same document and earlier start) is removed.
 
 Distribution.  The smallest-hash ``GRAM``-byte string inside a window (the leftmost of equals) is its
-anchor.  Equal windows have equal anchors at equal distance, so windows can be dealt out by anchor and
+anchor.  Equal windows have equal anchors at equal distance, so suffixes can be dealt out by anchor and
 compared there only.  Consecutive windows with one anchor form a run, one string.
 
-1. Blocks of documents send each hash range their distinct runs: anchor, hash of the run, first document.
-2. A range answers for each run: 0, no other run has this anchor, so none of its windows repeats elsewhere;
-   1, an identical run starts earlier, so all of its windows repeat; 2, it is the first of its kind but
-   its anchor has other runs too; 3, the same for anchors with very many runs (dealt out finer).
-   A window's earliest place lies in the first run of its kind, so kinds 2 and 3 are all there is to compare.
-3. Runs of kinds 2 and 3 are dealt out by anchor and suffix-sorted (DC3): sort triples at positions 1 and
-   2 mod 3, name them, recurse on the names until they differ, sort the rest by first byte and the rank
-   behind it, merge; then neighbours in the suffix array are compared on their first ``LENGTH`` bytes.
-   Of equal windows all but the earliest are reported to their block.
-4. Blocks join all answers and cut the covered bytes.
-
-The steps are one lazy plan; blocks derive their runs again instead of storing them.  A hot passage is one
-entry per block and range, and its many different surroundings are split by distance from the anchor.
-
-Defined cases: null text is empty (0 bytes, hash of nothing); rows with one doc_id count as documents in
-order of their text; rows without a doc_id come last, in an order given by their text; equal rows repeat
-each other like any others.
+1. Blocks of documents send each hash range their distinct anchors and how many runs have them.
+2. A range adds up and answers for each anchor: one run only (none of its windows repeats: equal windows
+   of one run would have their anchor at different distances), several, or very many.
+3. Runs of anchors with several runs are dealt out by anchor, those that are equal inside a block once.
+   Anchors with very many runs are split: their windows go by distance from the anchor, a few starts
+   together, and by a hash of the bytes that these windows share.
+4. Each part takes equal strings together (their bytes, not hashes, are compared), suffix-sorts the
+   distinct ones (DC3): sort triples at positions 1 and 2 mod 3, name them, recurse on the names until
+   they differ, sort the rest by first byte and the rank behind it, merge; then neighbours in the suffix
+   array are compared on their first ``LENGTH`` bytes.  All but the earliest of equal windows are reported.
+5. Blocks cut the covered bytes.
+
+Hashes only decide where strings meet: what is removed has been compared byte by byte.  The steps are one
+lazy chain; blocks derive their runs once and get them back with the answers.  There is at most one blob
+per block and range, and never more blobs than anchors in them, so their number stays linear.
+
+Defined cases: null text is empty (0 bytes, hash of nothing); texts of any length are cut into overlapping
+pieces for hashing, never shortened; rows with one doc_id count as documents in an order given by their
+text; rows without a doc_id come last, in an order given by their text; equal rows repeat each other like
+any others; an empty table gives no rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.common import sha256_hex
-from arbora.llm.packing import MIX1, MIX2, bucket_edges, mixed, pack_sorted, planes, sized_blocks, unpack_sorted, unplanes
+from arbora.llm.packing import MIX1, bucket_edges, mixed, pack_counts, pack_sorted, planes, sized_blocks, unpack_counts, unpack_sorted, unplanes
 
 LENGTH = 100
 GRAM = 32
@@ -169,8 +173,10 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Runs of windows of all texts: doc, lo (first start), count, gap (anchor - lo), anchor, kind (hashes)."""
-    out: dict[str, list[np.ndarray]] = {k: [] for k in ("doc", "lo", "count", "gap", "anchor", "kind")}
+    """Runs of windows of all texts: doc, lo (first start), count, gap (anchor - lo), anchor (its hash, evenly spread)."""
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("doc", "lo", "count", "gap", "anchor")}
+    # the same for every buffer: truncation must not change the order of two hashes
+    bits = np.uint64((PIECE + 4096 + length).bit_length())
     batch: list[tuple[int, int, bytes]] = []
     held = 0
 
@@ -184,7 +190,6 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[:n], out=prefix[1:], dtype=np.uint64)
         full = mixed((prefix[gram:] - prefix[:-gram]) * q[: n - gram + 1])
-        bits = np.uint64(max(1, n.bit_length()))
         packed = ((full >> bits) << bits) | np.arange(len(full), dtype=np.uint64)
         low = sliding_min(packed, length - gram + 1)
         anchor_at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -199,10 +204,10 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
             lo = start[first]
             count = np.diff(np.append(first, len(start)))
             gap = anchor_at[lo] - lo
-            body = mixed((prefix[lo + count + length - 1] - prefix[lo]) * q[lo])
-            kind = mixed(body * MIX1 + (gap * 1024 + count).astype(np.uint64) * MIX2 + full[anchor_at[lo]])
+            # minima crowd at the low end, so they are mixed once more before they choose a range
+            anchor = mixed(full[anchor_at[lo]] * MIX1 + MIX1)
             where = np.array([b for _, b, _ in batch])[piece[lo]] - (ends - sizes)[piece[lo]]
-            for k, v in zip(out, (np.array([d for d, _, _ in batch])[piece[lo]], lo + where, count, gap, full[anchor_at[lo]], kind)):
+            for k, v in zip(out, (np.array([d for d, _, _ in batch])[piece[lo]], lo + where, count, gap, anchor)):
                 out[k].append(v)
         batch.clear()
         held = 0
@@ -215,18 +220,45 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[
             batch.append((d, at, part))
             held += len(part)
     flush()
-    return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k in ("anchor", "kind") else np.int64) for k, v in out.items()}
+    return {k: np.concatenate(v) if v else np.zeros(0, np.uint64 if k == "anchor" else np.int64) for k, v in out.items()}
 
 
-def distinct_runs(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first run of each kind, sorted by anchor and kind; for every run, its place there)."""
-    order = np.lexsort((runs["lo"], runs["doc"], runs["kind"], runs["anchor"]))
-    k = runs["kind"][order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return order[new], place
+def pack_layout(runs: dict[str, np.ndarray], begins: np.ndarray, place: np.ndarray) -> bytes:
+    """Runs of a block without their anchors, which are named by their place among the sorted distinct ones."""
+    parts = [pack_sorted((begins[runs["doc"]] + runs["lo"]).astype(np.uint64)), pack_counts(runs["count"]), pack_counts(runs["gap"]), planes(place.astype(np.uint64), 4)]
+    return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
+
+
+def unpack_layout(raw: bytes, begins: np.ndarray) -> dict[str, np.ndarray]:
+    edges = np.cumsum([32, *np.frombuffer(raw[:32], "<u8").astype(np.int64)])
+    start, count, gap, place = (raw[a:b] for a, b in zip(edges, edges[1:]))
+    at = unpack_sorted(start).astype(np.int64)
+    doc = np.searchsorted(begins, at, "right") - 1
+    return {"doc": doc, "lo": at - begins[doc], "count": unpack_counts(count), "gap": unpack_counts(gap), "place": unplanes(place, len(at), 4).astype(np.int64)}
+
+
+def pieces_of_hot(text: bytes, lo: int, count: int, gap: int, length: int) -> list[tuple[int, int, int]]:
+    """(first start, starts, hash) of a run cut by distance from its anchor, ``HOT_STEP`` starts at most.
+
+    The hash is of distance and of the bytes that all windows of that distance range share, so equal
+    windows get equal hashes, and strings that differ there part ways.
+    """
+    out, at, step = [], 0, min(HOT_STEP, length)
+    while at < count:
+        zone = (gap - at) // step
+        m = min(count - at, gap - at - zone * step + 1)
+        inner = lo + gap - zone * step
+        out.append((lo + at, m, xxhash.xxh64_intdigest(text[inner : inner - step + 1 + length], zone)))
+        at += m
+    return out
+
+
+def intervals(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Rows (doc, first start, starts) of sorted window starts."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    return np.stack([doc[first], start[first], np.diff(np.append(first, len(doc)))], 1).astype(np.int64)
 
 
 class Block:
@@ -241,6 +273,8 @@ class Block:
         self.ids = [ids[i] for i in order]
         self.texts = [texts[i] for i in order]
         self.keys = np.array([key[i] for i in order], np.int64)
+        # where each document begins; empty ones share their begin with the next, which then owns it
+        self.begins = np.cumsum([0, *map(len, self.texts)])[:-1]
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -253,113 +287,108 @@ def _dedup(docs: DataFrame, length: int, block_bytes: int, bucket_entries: int,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     blocks, bits, _ = sized_blocks(rows, block_bytes, 2.0 / (length - gram + 2), bucket_entries)
     sorts = max(1, blocks)  # tasks of suffix sorting
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def send(table: pa.Table) -> pa.Table:
         block, number = Block(table), table["block"][0].as_py()
         runs = runs_of(block.texts, length, gram)
-        first, _ = distinct_runs(runs)
-        anchor, kind = runs["anchor"][first], runs["kind"][first]
-        key = block.keys[runs["doc"][first]].astype(np.uint64)
+        anchor, place, count = np.unique(runs["anchor"], return_inverse=True, return_counts=True)
         edges = bucket_edges(anchor, bits)
         got: list[tuple] = []
         for b in np.flatnonzero(np.diff(edges)):
             x, y = edges[b], edges[b + 1]
-            got.append((int(b), number, pack_sorted(anchor[x:y]), planes(kind[x:y], 8), planes(key[x:y], 8)))
-        cols = list(zip(*got)) or [[]] * 5
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "block", "anchors", "kinds", "keys"])
+            got.append((int(b), number, pack_sorted(anchor[x:y]), pack_counts(count[x:y])))
+        if len(anchor):  # the block's own runs, back to it with the answers
+            got.append((number % (1 << bits), number, pack_layout(runs, block.begins, place), None))
+        cols = list(zip(*got)) or [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "block", "anchors", "counts"])
 
     def judge(table: pa.Table) -> pa.Table:
-        anchors = [unpack_sorted(x.as_py()) for x in table["anchors"]]
-        sizes = [len(a) for a in anchors]
-        anchor = np.concatenate(anchors)
-        kind = np.concatenate([unplanes(x.as_py(), n, 8) for x, n in zip(table["kinds"], sizes)])
-        key = np.concatenate([unplanes(x.as_py(), n, 8) for x, n in zip(table["keys"], sizes)])
-        block = np.repeat(table["block"].to_numpy(), sizes)
-        o = np.lexsort((block, key, kind, anchor))
-        a, k = anchor[o], kind[o]
-        new_a, new_k = np.ones(len(o), bool), np.ones(len(o), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_k[1:] = new_a[1:] | (k[1:] != k[:-1])
-        group = np.cumsum(new_a) - 1
-        kinds = np.bincount(group, new_k)[group]
-        said = np.where(~new_k, 1, np.where(kinds < 2, 0, np.where(kinds > hot_runs, 3, 2))).astype(np.uint8)
-        back = np.empty(len(o), np.uint8)
-        back[o] = said
-        parts = np.split(back, np.cumsum(sizes)[:-1])
-        return pa.table([table["block"], table["bucket"], pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "bucket", "said"])
-
-    def statuses(runs: dict[str, np.ndarray], table: pa.Table) -> np.ndarray:
-        first, place = distinct_runs(runs)
-        got = [(b, s) for b, s in zip(table["bucket"].to_pylist(), table["said"].to_pylist()) if b >= 0]
-        said = np.frombuffer(b"".join(s for _, s in sorted(got)), np.uint8)
-        if len(said) != len(first):
-            raise RuntimeError("answers don't fit the runs of the block")
-        out = said[place].copy()
-        later = np.ones(len(place), bool)
-        later[first] = False
-        out[later] = 1  # an identical run stands before it in this very block
-        return out
+        own = table.filter(table["counts"].is_null())
+        table = table.filter(table["counts"].is_valid())
+        said = []
+        if len(table):
+            anchors = [unpack_sorted(x.as_py()) for x in table["anchors"]]
+            _, place = np.unique(np.concatenate(anchors), return_inverse=True)
+            total = np.bincount(place, np.concatenate([unpack_counts(x.as_py()) for x in table["counts"]]))[place]
+            answer = ((total > 1).astype(np.uint8) + (total > hot_runs)).astype(np.uint8)
+            said = [x.tobytes() for x in np.split(answer, np.cumsum([len(a) for a in anchors])[:-1])]
+        return pa.table(
+            [pa.chunked_array([*table["block"].chunks, *own["block"].chunks], pa.int32()), pa.array([*table["bucket"].to_pylist(), *[-1] * len(own)], pa.int32()), pa.array([*said, *own["anchors"].to_pylist()], pa.binary())],
+            ["block", "bucket", "said"],
+        )
 
     def deal(table: pa.Table, answers: pa.Table) -> pa.Table:
         got: dict[str, list] = {"part": [], "anchor": [], "key": [], "block": [], "doc": [], "lo": [], "body": []}
-        if len(table):
+        if len(table) and len(answers):
             block, number = Block(table), table["block"][0].as_py()
-            runs = runs_of(block.texts, length, gram)
-            said = statuses(runs, answers)
-            for i in np.flatnonzero(said >= 2):
-                d, lo, n, gap, anchor = (int(runs[c][i]) for c in ("doc", "lo", "count", "gap", "anchor"))
-                cuts = [(lo, n, anchor)]
-                if said[i] == 3:  # by distance from the anchor: equal windows have the same
-                    cuts, at = [], 0
-                    while at < n:
-                        zone = (gap - at) // HOT_STEP
-                        m = min(n - at, gap - at - zone * HOT_STEP + 1)
-                        cuts.append((lo + at, m, (anchor + (zone + 1) * BASE) & 0xFFFFFFFFFFFFFFFF))
-                        at += m
-                for x, m, a in cuts:
-                    a = int(mixed(np.array([a], np.uint64))[0])
-                    for c, v in zip(got, (a % sorts, a - (1 << 64) if a >> 63 else a, int(block.keys[d]), number, d, x, block.texts[d][x : x + m + length - 1])):
+            replies = sorted(zip(answers["bucket"].to_pylist(), answers["said"].to_pylist()))
+            runs = unpack_layout(replies[0][1], block.begins)
+            said = np.frombuffer(b"".join(x for _, x in replies[1:]), np.uint8)
+            if replies[0][0] != -1 or len(said) != runs["place"].max() + 1:
+                raise RuntimeError("answers don't fit the runs of the block")
+            said = said[runs["place"]]
+            seen: set[bytes] = set()
+            again: list[tuple[int, int, int]] = []  # equal to an earlier string of this block
+            at = np.flatnonzero(said)
+            for d, lo, n, gap, name, kind in zip(*(runs[c][at].tolist() for c in ("doc", "lo", "count", "gap", "place")), said[at].tolist()):
+                text = block.texts[d]
+                whole = text[lo : lo + n + length - 1]
+                # the anchor itself is read again: its hash places it the same in every block
+                anchor = xxhash.xxh64_intdigest(text[lo + gap : lo + gap + gram])
+                for x, m, a in [(lo, n, 0)] if kind == 1 else pieces_of_hot(text, lo, n, gap, length):
+                    body = whole[x - lo : x - lo + m + length - 1]
+                    if body in seen:
+                        again.append((d, x, m))
+                        continue
+                    seen.add(body)
+                    a = (anchor + a * BASE) & 0xFFFFFFFFFFFFFFFF
+                    for c, v in zip(got, (a % sorts, a - (1 << 64) if a >> 63 else a, int(block.keys[d]), number, d, x, body)):
                         got[c].append(v)
+            if again:  # doc -1: the block's own finding, on its way back to it
+                for c, v in zip(got, (number % sorts, 0, 0, number, -1, 0, np.array(again, "<i8").tobytes())):
+                    got[c].append(v)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
         return pa.table([pa.array(v, k) for v, k in zip(got.values(), kinds)], list(got))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("anchor")
-        anchor = table["anchor"].to_numpy()
-        body = table["body"].to_pylist()
-        key, block, doc, lo = (table[c].to_numpy() for c in ("key", "block", "doc", "lo"))
-        hits: dict[int, list[np.ndarray]] = {}
-        at, total = 0, np.cumsum([len(b) for b in body])
-        while at < len(body):  # some anchors at a time, whole ones
-            end = int(np.searchsorted(total, total[at] + SORT_BYTES))
-            end = int(np.searchsorted(anchor, anchor[min(end, len(body) - 1)], "right"))
-            cls, r, start = repeated(body[at:end], length)
-            r = r + at
-            start = lo[r] + start
-            o = np.lexsort((start, doc[r], block[r], key[r], cls))
-            o = o[1:][cls[o[1:]] == cls[o[:-1]]]  # all but the earliest of each class
-            o = o[np.argsort(block[r[o]], kind="stable")]
-            own = block[r[o]]
-            for mine in np.split(o, np.flatnonzero(np.diff(own)) + 1):
-                if len(mine):
-                    hits.setdefault(int(block[r[mine[0]]]), []).append(np.stack([doc[r[mine]].astype(np.int64), start[mine]], 1))
+        found: list[tuple[int, bytes]] = []
+        own = table.filter(pc.equal(table["doc"], -1))
+        found += zip(own["block"].to_pylist(), own["body"].to_pylist())
+        table = table.filter(pc.not_equal(table["doc"], -1)).sort_by([(c, "ascending") for c in ("anchor", "key", "block", "doc", "lo")])
+        anchor, key, block, doc, lo = (table[c].to_numpy() for c in ("anchor", "key", "block", "doc", "lo"))
+        ends = np.cumsum(pc.binary_length(table["body"]).to_numpy().astype(np.int64)) if len(table) else np.zeros(0, np.int64)
+        at = 0
+        while at < len(table):  # some anchors at a time, whole ones
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT_BYTES))
+            end = int(np.searchsorted(anchor, anchor[min(end, len(table) - 1)], "right"))
+            first: dict[bytes, int] = {}
+            for r, body in enumerate(table["body"].slice(at, end - at).to_pylist(), at):
+                if first.setdefault(body, r) != r:  # rows are in order: an equal string starts earlier
+                    found.append((int(block[r]), np.array([doc[r], lo[r], len(body) - length + 1], "<i8").tobytes()))
+            if len(first) > 1:  # windows of one string have their anchor at different distances
+                cls, r, start = repeated(list(first), length)
+                r = np.array(list(first.values()), np.int64)[r]
+                start = lo[r] + start
+                o = np.lexsort((start, doc[r], block[r], key[r], cls))
+                o = o[1:][cls[o[1:]] == cls[o[:-1]]]  # all but the earliest of each class
+                o = o[np.lexsort((start[o], doc[r[o]], block[r[o]]))]
+                mine = block[r[o]]
+                for x in np.split(o, np.flatnonzero(np.diff(mine)) + 1):
+                    if len(x):
+                        found.append((int(block[r[x[0]]]), intervals(doc[r[x]].astype(np.int64), start[x]).astype("<i8").tobytes()))
             at = end
-        return pa.table([pa.array(list(hits), pa.int32()), pa.array([-1] * len(hits), pa.int32()), pa.array([np.concatenate(v).astype("<i8").tobytes() for v in hits.values()], pa.binary())], ["block", "bucket", "said"])
+        hits: dict[int, list[bytes]] = {}
+        for b, raw in found:
+            hits.setdefault(b, []).append(raw)
+        return pa.table([pa.array(list(hits), pa.int32()), pa.array([b"".join(v) for v in hits.values()], pa.binary())], ["block", "hits"])
 
-    def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut(table: pa.Table, hits: pa.Table) -> pa.Table:
         block = Block(table)
-        runs = runs_of(block.texts, length, gram)
-        said = statuses(runs, answers)
         spans: list[list[tuple[int, int]]] = [[] for _ in block.texts]
-        for i in np.flatnonzero(said == 1):
-            lo = int(runs["lo"][i])
-            spans[int(runs["doc"][i])].append((lo, lo + int(runs["count"][i]) + length - 1))
-        for b, raw in zip(answers["bucket"].to_pylist(), answers["said"].to_pylist()):
-            if b < 0:
-                for d, x in np.frombuffer(raw, "<i8").reshape(-1, 2).tolist():
-                    spans[d].append((x, x + length))
+        for raw in hits["hits"].to_pylist():
+            for d, x, n in np.frombuffer(raw, "<i8").reshape(-1, 3).tolist():
+                spans[d].append((x, x + n - 1 + length))
         removed, n_spans, kept = [], [], []
         for text, own in zip(block.texts, spans):
             at, parts, n = 0, [], 0
@@ -379,14 +408,12 @@ def _dedup(docs: DataFrame, length: int, block_bytes: int, bucket_entries: int,
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    reply = "block int, bucket int, said binary"
-    sent = rows.groupBy("block").applyInArrow(send, "bucket int, block int, anchors binary, kinds binary, keys binary")
-    answers = sent.groupBy("bucket").applyInArrow(judge, reply)
+    sent = rows.groupBy("block").applyInArrow(send, "bucket int, block int, anchors binary, counts binary")
+    answers = sent.groupBy("bucket").applyInArrow(judge, "block int, bucket int, said binary")
     dealt = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(deal, "part int, anchor long, key long, block int, doc int, lo long, body binary")
-    hits = dealt.groupBy("part").applyInArrow(compare, reply)
-    every = answers.unionByName(hits)
+    hits = dealt.groupBy("part").applyInArrow(compare, "block int, hits binary")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("binary" if keep_bytes else "string")
-    return rows.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(cut, out)
+    return rows.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(cut, out)
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:
