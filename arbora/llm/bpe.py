@@ -1,16 +1,23 @@
-"""BPE encoding and decoding with tree concatenation of long unsplit text.
-
-A text is split at the tokenizer's special strings, normalised by the tokenizer's own normalizer and
-cut into its pre-tokens.  A short pre-token is encoded by the model and remembered.  A pre-token
-longer than ``LONG`` symbols is "unsplit text": it is cut into halves down to ``LEAF`` symbols, all
-leaves are encoded in one parallel batch, and the halves are joined pairwise.  At each join a window
-of tokens around it is encoded anew and grown until both sides agree exactly: the token left of the
-window with the window's first, and the window's last with the token right of it, must each encode,
-taken together, to just these two tokens.  A sequence in which every adjacent pair does so is the
-BPE encoding of its text, so the result equals the encoding in one piece.
-
-Defined cases: null text is the empty text (no tokens, the hash of no bytes); special strings in a
-text become their ids, as in the library; repeated rows stay rows; a null doc_id stays null.
+"""BPE encoding and decoding by tree concatenation.
+
+A text longer than ``STRETCH`` characters is cut into halves, these into halves and so on, wherever the
+cuts fall: inside words, special strings or combining sequences.  The stretches are encoded on their own and
+joined pairwise.  At each join a window of text around the cut is encoded anew, and grown until both sides
+agree exactly: it begins and ends at a blank (or with the stretch), its encoding begins as the left one's
+does there and ends as the right one's does, and what it replaces is what the two sides had.  Blanks are
+dropped by the tokenizer and never part of a token, so what lies beyond such a window can't change.
+
+Inside a stretch a text is split at the tokenizer's special strings, normalised by the tokenizer's own
+normalizer and cut into its pre-tokens, which are encoded by the model and remembered.  A pre-token of more
+than ``LONG`` symbols (text without a blank) has no blank for a window to end at; it is cut into halves
+down to ``LEAF`` symbols, all leaves are encoded in one parallel batch, and joined with windows of tokens:
+the token left of the window with the window's first, and the window's last with the token right of it,
+must each encode, taken together, to just these two tokens.  A sequence in which every adjacent pair does
+so is the BPE encoding of its text.  So all results equal the encoding in one piece.
+
+Defined cases: null text is the empty text (no tokens, the hash of no bytes); texts of any length are
+encoded whole; special strings in a text become their ids, as in the library; repeated rows stay rows; a
+null doc_id stays null; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STRETCH = 1024
+MARGIN = 48
 LONG = 512
 LEAF = 128
 WINDOW = 4
@@ -60,12 +69,13 @@ class _Memo(dict):
 class TreeBPE:
     """Encoder and decoder for a byte-level BPE tokenizer file with an end-of-word suffix."""
 
-    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF):
+    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, stretch: int = STRETCH):
         from tokenizers import Tokenizer, models
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.long, self.leaf = long, max(2, leaf)
+        self.long, self.leaf, self.stretch = long, max(2, leaf), max(2, stretch)
+        self.joins = self.grown = 0
         self.whole = Tokenizer.from_file(path)
         self.whole.no_padding()
         self.whole.no_truncation()
@@ -137,37 +147,73 @@ class TreeBPE:
             parts = joined + parts[2 * len(joined) :]
         return parts[0]
 
-    def stream(self, text: str) -> Iterator[tuple[bytes, bytes]]:
-        """Packed ids and decoded text, a stretch at a time."""
+    def plainly(self, text: str) -> list[tuple[bytes, bytes]]:
+        """(packed ids, decoded text) of each pre-token of a stretch."""
+        out = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                yield self.packed([self.special[part]])
+                out.append(self.packed([self.special[part]]))
             elif part:
                 norm = self.normalizer.normalize_str(part)
                 if self.plain(norm):
                     found = self.pieces.findall(norm)
                 else:
                     found = [norm[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(norm)]
-                for at in range(0, len(found), 8192):
-                    made = [self.memo[p] for p in found[at : at + 8192]]
-                    yield b"".join([x for x, _ in made]), b" ".join([y for _, y in made])
+                out += map(self.memo.__getitem__, found)
+        return out
+
+    def joined(self, text: str, a: int, cut: int, b: int, left: list, right: list) -> list:
+        """The encoding of text[a:b] from those of text[a:cut] and text[cut:b]."""
+        self.joins += 1
+        reach = MARGIN
+        while True:
+            first, last = max(a, cut - reach), min(b, cut + reach)
+            blank, end = _blank.search(text, first, cut), _last_blank(text, cut, last)
+            p, q = a if first == a else blank.start() if blank else -1, b if last == b else end
+            if p >= 0 and q >= 0:
+                tail, head, mid = self.plainly(text[p:cut]), self.plainly(text[cut:q]), self.plainly(text[p:q])
+                keep = len(left) - len(tail)
+                if (
+                    left[keep:] == tail
+                    and right[: len(head)] == head
+                    and (p == a or (tail and mid and tail[0] == mid[0]))
+                    and (q == b or (head and mid and head[-1] == mid[-1]))
+                ):
+                    del left[keep:]
+                    left += mid
+                    left += right[len(head) :]
+                    return left
+            reach *= 2
+            self.grown += 1
+
+    def entries(self, text: str) -> list[tuple[bytes, bytes]]:
+        """(packed ids, decoded text) of each pre-token of a whole text."""
+        parts = [(k, self.plainly(text[k : k + self.stretch])) for k in range(0, len(text), self.stretch)]
+        while len(parts) > 1:
+            ends = [k for k, _ in parts[1:]] + [len(text)]
+            pairs = [(parts[k][0], self.joined(text, parts[k][0], ends[k], ends[k + 1], parts[k][1], parts[k + 1][1])) for k in range(0, len(parts) - 1, 2)]
+            parts = pairs + parts[2 * len(pairs) :]
+        return parts[0][1] if parts else []
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(x for x, _ in self.stream(text or "")), "<u4").tolist()
+        return np.frombuffer(b"".join([x for x, _ in self.entries(text or "")]), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.names[i] for i in ids)
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the packed ids, SHA-256 of the decoded text."""
-        n, a, b = 0, hashlib.sha256(), hashlib.sha256()
-        for ids, out in self.stream(text or ""):
-            if n:
-                b.update(b" ")
-            n += len(ids) // 4
-            a.update(ids)
-            b.update(out)
-        return n, a.hexdigest(), b.hexdigest()
+        found = self.entries(text or "")
+        ids = b"".join([x for x, _ in found])
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b" ".join([y for _, y in found])).hexdigest()
+
+
+_blank = re.compile("[ \n\t]")
+
+
+def _last_blank(text: str, a: int, b: int) -> int:
+    """Position behind the last blank of text[a:b]; -1 if there is none."""
+    return max(text.rfind(c, a, b) for c in " \n\t") + 1 or -1
 
 
 _loaded: dict[str, TreeBPE] = {}
