@@ -1,19 +1,28 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are mapped to symbols by a small transducer each: insult stems (learned, with weights), threats,
-targets ("you" and its like), negations and reported speech (fixed lists below).  The composed machine
-walks a clause: a negation in front of an insult lowers its weight, a reporting verb or an open
-quotation lowers the rest of the clause, a target raises it, a threat counts only with a target.
-Matched clauses add up, and a logistic calibration turns the document's sums into a score.
-
-The insult stems are learned from labelled rows: words and word beginnings that occur in toxic texts
-of several independent families (texts with the same smallest word hash count once) and next to never
-in clean ones.  The sample is bounded: at most ``SAMPLE`` labelled rows, those with the smallest hash
-of doc_id.  Scoring reads whole texts of all rows.
-
-Defined cases: null and empty texts get the calibrated score of no match; with nothing to learn from
-the score is 0; a null doc_id is never learned from nor held out; repeated rows stay rows, and repeated
-label rows are merged by their maximum.
+Each word becomes a symbol: insults of eight strengths (learned words and stems), threats, targets ("you"
+and its like), negations, reporting verbs, quotation marks, other words.  Five transducers are composed
+into one machine that reads a clause (``arbora/llm/transducer.py``):
+
+* negation weakens the insults and threats among the three words behind it;
+* reported speech weakens those behind a reporting verb or inside quotation marks;
+* target guesses whether the clause addresses someone, and accepts the guess only if it does;
+* threat gives weight to threats in clauses that address someone;
+* insult gives weight to insults, more in clauses that address someone.
+
+A clause's weight is that of the best accepting path; words count by the clause they stand in.  Matched
+clauses add up, and a logistic calibration turns the document's sums into a score.
+
+The insult words and stems are learned from labelled rows: words and word beginnings that occur in toxic
+texts of several families (near copies, by their five-word shingles, count once) and next to never in clean
+ones.  The sample is bounded: at most ``SAMPLE`` doc_ids, those with the smallest hash, one text of each,
+and no more once ``SAMPLE_BYTES`` are passed.  Scoring reads whole texts of all rows.
+
+Defined cases: null and empty texts get the calibrated score of no match; very long texts are read whole,
+clause by clause; where nothing is learned (no labels, one class only, or no word beyond chance) every score
+is 0 and nothing is rejected; a null doc_id is never learned from nor held out; repeated rows stay rows; of
+several texts with one doc_id the one with the smallest hash is learned from; repeated label rows are merged by
+their maximum; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +36,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import crc_mod
+from arbora.llm.transducer import Lexicon, Transducer, composed
 
 SAMPLE = 12_000
+SAMPLE_BYTES = 64_000_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 MIN_LOG_ODDS = 3.0
+FAMILY_SHINGLE = 5
+FAMILY_SIMILARITY = 0.5
+NEGATION_REACH = 3
+LEVELS = 8
+NEGATED, REPORTED, TARGETED = 0.25, 0.5, 1.25
 
 # Closed word classes of the grammar, by symbol.
 TARGET = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tus vosotros".split()
@@ -44,67 +60,132 @@ THREAT = "kill hurt destroy beat punch stab shoot strangle attack töten schlage
 
 _token = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n\"“”„«»]")
 _word = re.compile(r"[^\W_]+")
+_long_gap = re.compile(f"w{{{NEGATION_REACH + 1},}}")
+_matter = re.compile(f"[1-{LEVELS}H]")
+
+
+# ---- the grammar ----
+# Symbols are (kind, strength): "w" other word, "T" target, "N" negation, "R" report, "Q" quotation mark,
+# "I" insult, "H" threat; the target transducer writes "I+" and "H+" in clauses that address someone.
+
+PLAIN = [(k, 0.0) for k in "wTNRQ"]
+
+
+def _weakened(read: tuple[str, float], by: float) -> tuple[str, float]:
+    return (read[0], read[1] * by) if read[0] in "IH" else read
+
+
+def negation(alphabet: list) -> Transducer:
+    """State: words that the last negation still reaches."""
+
+    def step(left, read):
+        to = NEGATION_REACH if read[0] == "N" else max(0, left - 1)
+        yield (_weakened(read, NEGATED) if left else read), 0.0, to
+
+    return Transducer.of([0], range(NEGATION_REACH + 1), alphabet, step)
+
+
+def reported_speech(alphabet: list) -> Transducer:
+    """State: whether the words are someone else's; quotation marks open and close, a verb opens."""
+
+    def step(inside, read):
+        to = not inside if read[0] == "Q" else inside or read[0] == "R"
+        yield (_weakened(read, REPORTED) if inside else read), 0.0, to
+
+    return Transducer.of([False], [False, True], alphabet, step)
+
+
+def target(alphabet: list) -> Transducer:
+    """Two readings of a clause: it addresses no one, or it does and a target must come ("open") or came ("met")."""
+
+    def step(reading, read):
+        if reading == "none":
+            yield read, 0.0, "none"
+        else:
+            marked = (read[0] + "+", read[1]) if read[0] in "IH" else read
+            yield marked, 0.0, "met" if read[0] == "T" else reading
+
+    return Transducer.of(["none", "open"], ["none", "met"], alphabet, step)
+
+
+def _weighing(alphabet: list, kind: str, plain: float, targeted: float) -> Transducer:
+    def step(_, read):
+        factor = {kind: plain, kind + "+": targeted}.get(read[0])
+        if factor is None:
+            yield read, 0.0, 0
+        else:
+            yield ("w", 0.0), read[1] * factor, 0
+
+    return Transducer.of([0], [0], alphabet, step)
+
+
+def threat(alphabet: list) -> Transducer:
+    return _weighing(alphabet, "H", 0.0, TARGETED)
 
-# The composed machine: (state, symbol) -> state.  States: 0 plain, 1 after a negation, 2 reported.
-ARCS = {(0, "N"): 1, (0, "R"): 2, (0, "Q"): 2, (1, "R"): 2, (1, "Q"): 2, (2, "Q"): 0, (2, "N"): 2}
-DAMP = {0: 1.0, 1: 0.25, 2: 0.5}
-NEGATION_REACH = 3
+
+def insult(alphabet: list) -> Transducer:
+    return _weighing(alphabet, "I", 1.0, TARGETED)
+
+
+def clause_machine() -> Transducer:
+    """Negation, reported speech, target, threat and insult composed, each over what the one before writes."""
+    alphabet = [*PLAIN, ("H", 1.0), *[("I", k / LEVELS) for k in range(1, LEVELS + 1)]]
+    machines = []
+    for make in (negation, reported_speech, target, threat, insult):
+        machines.append(make(alphabet))
+        alphabet = sorted(machines[-1].written)
+    return composed(machines)
+
+
+#: The symbol of each letter in a clause written as a string.
+LETTERS = {k: (k, 0.0) for k in "wTNRQ"} | {"H": ("H", 1.0)} | {str(k): ("I", k / LEVELS) for k in range(1, LEVELS + 1)}
+
+
+class _Symbols(dict):
+    """Word -> letter of its symbol; forgets all when it holds half a million."""
+
+    def __init__(self, fixed: dict[str, str], lexicon: Lexicon):
+        super().__init__(fixed)
+        self.fixed, self.lexicon = fixed, lexicon
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+            self.update(self.fixed)
+        weight = self.lexicon.weight(word)
+        self[word] = letter = str(max(1, min(LEVELS, round(weight * LEVELS)))) if weight > 0 else "w"
+        return letter
 
 
 class Grammar:
-    """Symbols, stem weights and calibration; built from a model dictionary."""
+    """The composed machine with a model's lexicon and calibration."""
 
     def __init__(self, model: dict):
-        self.words: dict[str, float] = model["words"]
-        self.stems: dict[str, float] = model["stems"]
         self.bias, self.gain, self.gain_max = model["calibration"]
         self.known = model["known"]
-        self.fixed = {w: s for s, ws in (("T", TARGET), ("N", NEGATION), ("R", REPORT), ("H", THREAT)) for w in ws}
-        self.lengths = sorted({len(s) for s in self.stems})
+        fixed = {w: s for s, ws in (("T", TARGET), ("N", NEGATION), ("R", REPORT), ("H", THREAT)) for w in ws}
+        fixed |= dict.fromkeys("\"“”„«»", "Q") | dict.fromkeys(".!?;:\n", "|")
+        self.symbols = _Symbols(fixed, Lexicon(model["words"], model["stems"]))
+        self.machine = clause_machine()
         self.memo: dict[str, float] = {}
 
-    def insult(self, word: str) -> float:
-        """Weight of the insult transducer on one word (0: no match)."""
-        got = self.memo.get(word)
+    def clause(self, letters: str) -> float:
+        """Weight of one clause written in symbol letters."""
+        got = self.memo.get(letters)
         if got is None:
-            got = self.words.get(word, 0.0)
-            for n in self.lengths:
-                if len(word) >= n:
-                    got = max(got, self.stems.get(word[:n], 0.0))
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[word] = got
+            self.memo[letters] = got = self.machine.weight([LETTERS[x] for x in letters])
         return got
 
     def clauses(self, text: str) -> Iterator[float]:
         """Weight of each clause in which the machine matches."""
-        state, ago, weight, target, threat = 0, 0, 0.0, False, 0.0
-        fixed, insult = self.fixed, self.insult
-        for m in _token.finditer(text.lower()):
-            word = m.group()
-            first = word[0]
-            if first in ".!?;:\n":
-                if weight or (threat and target):
-                    yield (weight + (threat if target else 0.0)) * (1.25 if target else 1.0)
-                state, ago, weight, target, threat = 0, 0, 0.0, False, 0.0
-                continue
-            symbol = "Q" if first in "\"“”„«»" else fixed.get(word)
-            if state == 1:
-                ago += 1
-                if ago > NEGATION_REACH:
-                    state = 0
-            if symbol is None:
-                w = insult(word)
-                if w:
-                    weight += w * DAMP[state]
-            elif symbol == "T":
-                target = True
-            elif symbol == "H":
-                threat += DAMP[state]
-            elif (state, symbol) in ARCS:
-                state, ago = ARCS[state, symbol], 0
-        if weight or (threat and target):
-            yield (weight + (threat if target else 0.0)) * (1.25 if target else 1.0)
+        letters = "".join(map(self.symbols.__getitem__, _token.findall(text.lower())))
+        if _matter.search(letters):
+            # beyond the reach of a negation further plain words change nothing
+            for clause in _long_gap.sub("w" * (NEGATION_REACH + 1), letters).split("|"):
+                if _matter.search(clause) and (weight := self.clause(clause)) > 0:
+                    yield weight
 
     def sums(self, text: str | None) -> tuple[float, float]:
         """(log1p of all clause weights, largest clause weight capped at 3)."""
@@ -125,6 +206,41 @@ class Grammar:
 NOTHING = {"words": {}, "stems": {}, "calibration": (0.0, 0.0, 0.0), "known": False}
 
 
+# ---- learning ----
+
+
+def families(texts: list[str]) -> list[int]:
+    """A number for each text; texts whose five-word shingles have a Jaccard similarity of a half or more share it.
+
+    Candidates meet in bands of two of 32 minima, so copies meet and independent texts that share a word don't.
+    """
+    sets, bands = [], defaultdict(list)
+    seeds = np.random.default_rng(11).integers(1, 1 << 63, 32, dtype=np.uint64) | np.uint64(1)
+    for i, text in enumerate(texts):
+        ws = _word.findall(text.lower())
+        grams = {" ".join(ws[k : k + FAMILY_SHINGLE]) for k in range(max(1, len(ws) - FAMILY_SHINGLE + 1))}
+        h = np.array(sorted(xxhash.xxh64_intdigest(g) for g in grams), np.uint64)
+        sets.append(h)
+        low = [int(((h ^ (h >> np.uint64(29))) * s).min()) for s in seeds]
+        for k in range(0, len(low), 2):
+            bands[k, low[k], low[k + 1]].append(i)
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for members in bands.values():
+        for i in members[1:]:
+            a, b = find(members[0]), find(i)
+            if a != b:
+                both = len(np.intersect1d(sets[members[0]], sets[i], True))
+                if both >= FAMILY_SIMILARITY * (len(sets[members[0]]) + len(sets[i]) - both):
+                    root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
 def significant(t: int, c: int, rate: float, units: int) -> bool:
     """Whether t toxic families beside c clean texts are beyond chance among so many units (binomial bound)."""
     n, share = t + c, t / (t + c)
@@ -151,68 +267,80 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def learn(rows: list[tuple[str, int]]) -> dict:
     """Model from (text, toxic) pairs."""
-    families: dict[str, set[int]] = defaultdict(set)
-    clean: Counter[str] = Counter()
-    seen: set[int] = set()
-    n_toxic = n_clean = 0
-    used: list[tuple[str, int]] = []
+    used, seen = [], set()
     for text, toxic in rows:
         key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-        if key in seen:
-            continue
-        seen.add(key)
-        words = set(_word.findall(text.lower()))
-        used.append((text, toxic))
-        units = words | {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if len(w) > n}
-        if toxic:
-            n_toxic += 1
-            family = min((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), default=0)
-            for u in units:
-                families[u].add(family)
-        else:
-            n_clean += 1
-            clean.update(units)
-    if not n_toxic or not n_clean:
+        if key not in seen:
+            seen.add(key)
+            used.append((text, int(toxic)))
+    toxic_texts = [t for t, x in used if x]
+    clean_texts = [t for t, x in used if not x]
+    if not toxic_texts or not clean_texts:
         return NOTHING
-    rate, units = n_toxic / (n_toxic + n_clean), len(families)
+
+    def units(text: str) -> set[str]:
+        words = set(_word.findall(text.lower()))
+        return words | {f"{w[:n]}*" for w in words for n in STEM_LENGTHS if len(w) > n}
+
+    own: dict[str, set[int]] = defaultdict(set)
+    clean: Counter[str] = Counter()
+    family = families(toxic_texts)
+    for text, f in zip(toxic_texts, family):
+        for u in units(text):
+            own[u].add(f)
+    for text in clean_texts:
+        clean.update(u for u in units(text) if u in own)
+    n_toxic, n_clean = len(set(family)), len(clean_texts)
+    rate = n_toxic / (n_toxic + n_clean)
 
     def weight(u: str) -> float:
-        t, c = len(families[u]), clean[u]
+        t, c = len(own[u]), clean[u]
         odds = math.log(((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1)))
-        return min(1.0, odds / 6) if odds >= MIN_LOG_ODDS and significant(t, c, rate, units) else 0.0
+        return min(1.0, odds / 6) if odds >= MIN_LOG_ODDS and significant(t, c, rate, len(own)) else 0.0
 
-    strong = {u: w for u in families if (w := weight(u)) > 0}
+    strong = {u: w for u in own if (w := weight(u)) > 0}
+    if not strong:
+        return NOTHING
     stems: dict[str, float] = {}
-    for u in sorted((u for u in strong if u.endswith("*")), key=len):
+    for u in sorted((u for u in strong if u.endswith("*")), key=lambda u: (len(u), u)):
         stem = u[:-1]
         # a longer stem is listed only where it weighs more than every shorter one it begins with
         if strong[u] > max((stems.get(stem[:n], 0.0) for n in range(1, len(stem))), default=0.0):
             stems[stem] = strong[u]
-    words = {u: w for u, w in strong.items() if not u.endswith("*") and w > max((stems.get(u[:n], 0.0) for n in range(1, len(u))), default=0.0)}
+    words = {u: w for u, w in sorted(strong.items()) if not u.endswith("*") and w > max((stems.get(u[:n], 0.0) for n in range(1, len(u))), default=0.0)}
     model = NOTHING | {"words": words, "stems": stems, "known": True}
     grammar = Grammar(model)
     x = np.array([(1.0, *grammar.sums(text)) for text, _ in used])
     return model | {"calibration": logistic(x, np.array([t for _, t in used], float))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> dict:
-    """Learn from at most ``sample`` labelled rows that are not ``held_out`` (a column over doc_id)."""
+def sampled(docs: DataFrame, labels: DataFrame, held_out: Column | None, sample: int, sample_bytes: int) -> DataFrame:
+    """doc_id, text, toxic of at most ``sample`` labelled doc_ids, one text of each, until ``sample_bytes`` are passed."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     lab = lab.where("doc_id is not null and toxic is not null")
     if held_out is not None:
         lab = lab.where(~held_out)
     ids = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.join(ids, "doc_id").select("text", "toxic", "doc_id")
+    # ids are sample rows of two numbers at most, whatever the tables' size
+    rows = texts.join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of the sample only
+    rows = rows.withColumn("before", F.sum(F.octet_length("text")).over(order) - F.octet_length("text"))
+    return rows.where(F.col("before") < sample_bytes).select("doc_id", "text", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """Learn from the bounded sample of the labelled rows that are not ``held_out`` (a column over doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
-            got += zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            got += zip(*(c.to_pylist() for c in batch.columns))
         got.sort()
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(learn([(t, x) for _, t, x in got]))])], ["model"])
 
-    row = rows.repartition(1).mapInArrow(run, "model string").first()
+    row = sampled(docs, labels, held_out, sample, sample_bytes).coalesce(1).mapInArrow(run, "model string").first()
     return json.loads(row[0]) if row else NOTHING
 
 

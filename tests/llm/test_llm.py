@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from arbora.llm import bpe, capfilter, langid, lm, mixing, mtree, pii, simhash, suffix, toxicity
 from arbora.llm.queries import tokenizer_path
@@ -209,6 +210,74 @@ def test_grammar_damps_negation_and_report():
     assert negated < reported < plain < target
 
 
+def test_nothing_learned_keeps_every_row(spark, empty):
+    """Labels that no word tells apart, one class only, no labels, no documents: no score, nothing rejected."""
+    r = random.Random(4)
+    texts = [(i, prose(r, 30), "en", "s", 1) for i in range(40)]
+    df = spark.createDataFrame(texts + [(None, None, None, None, None), (50, "", "en", "s", 0)], DOC).withColumn("toxic", F.lit(1))
+    for toxic in (lambda i: i % 3 != 0, lambda i: True, lambda i: False):
+        labels = spark.createDataFrame([(i, 1, int(toxic(i))) for i in range(40)], "doc_id long, quality int, toxic int")
+        model = toxicity.fit(df, labels)
+        assert not model["known"] and collected(toxicity.keep_clean(df, model)) == collected(df)
+        assert all(x["score"] == 0 and x["predicted"] == 0 for x in toxicity.toxicity_query(df, labels).collect())
+    assert toxicity.toxicity_query(empty, labels).count() == 0
+    assert toxicity.toxicity_query(df, labels.limit(0)).count() == df.count()
+
+
+def test_toxic_families():
+    """Independent texts that share a common word are families of their own; near copies are one."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [" ".join(["zork", *[word() for _ in range(60)]]) for _ in range(20)]
+    copies = [t + " more words" for t in base[:5]] + base[5:8]
+    got = toxicity.families(base + copies)
+    assert len(set(got)) == 20 and got[20:] == got[:8]
+    model = toxicity.learn([(t, 1) for t in base + copies] + [(" ".join(word() for _ in range(60)), 0) for _ in range(40)])
+    assert set(model["stems"]) | set(model["words"]) == {"zork"}
+
+
+def test_sample_bounds(spark):
+    """Rows that repeat a doc_id don't widen the sample; it ends once its bytes are passed."""
+    df = spark.createDataFrame([(i % 6, f"text {i} " + "pad " * 100) for i in range(60)] + [(9, "x" * 500_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 3, "doc_id long, toxic int")
+    for rows, size, most in ((100, 1 << 30, 7), (4, 1 << 30, 4), (100, 1000, 4)):
+        out = toxicity.sampled(df, labels, None, rows, size).collect()
+        assert 1 <= len(out) <= most and len({r["doc_id"] for r in out}) == len(out), (rows, size)
+
+
+def test_very_long_text():
+    g = toxicity.Grammar({"words": {"fool": 1.0}, "stems": {"dolt": 0.5}, "calibration": (-2.0, 3.0, 1.0), "known": True})
+    assert g.score("plain words here. " * 200_000) == g.score("") < 0.5 < g.score("plain words here. " * 200_000 + "you fool") == g.score("you fool")
+    assert g.sums("doltish") == g.sums("dolt") != g.sums("dol") == g.sums(None)
+
+
+def test_composed_transducers():
+    """The composed machine weighs every string as the five machines do one after the other."""
+    from arbora.llm.transducer import NEVER, Transducer
+
+    machine = toxicity.clause_machine()
+    alphabet = sorted({read for _, read in machine.arcs})
+    parts, letters = [], alphabet
+    for make in (toxicity.negation, toxicity.reported_speech, toxicity.target, toxicity.threat, toxicity.insult):
+        parts.append(make(letters))
+        letters = sorted(parts[-1].written)
+
+    def runs(m, string):
+        front = [(s, (), 0.0) for s in m.starts]
+        for x in string:
+            front = [(to, (*out, y), w + v) for s, out, w in front for y, v, to in m.arcs.get((s, x), ())]
+        return [(out, w + m.finals[s]) for s, out, w in front if s in m.finals]
+
+    r = random.Random(1)
+    for _ in range(300):
+        paths = [(tuple(r.choice(alphabet) for _ in range(r.randint(0, 7))), 0.0)]
+        got = machine.weight(paths[0][0])
+        for m in parts:
+            paths = [(out, w + v) for string, w in paths for out, v in runs(m, string)]
+        assert got == pytest.approx(max((w for _, w in paths), default=NEVER))
+    assert Transducer([0], {}, {}).weight("") == NEVER
+
+
 # ---- 6: BPE ----
 
 
@@ -231,6 +300,24 @@ def test_bpe_equals_the_library(whole):
         assert tree.decode(ids) == whole.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_tree_of_texts(spark, whole):
+    """Cuts anywhere in a text; on the tables' own documents the joins are made and the ids are the library's."""
+    tree = bpe.TreeBPE(tokenizer_path(), long=16, leaf=3, stretch=5)
+    r = random.Random(7)
+    parts = ["the", "ing", "<|endoftext|>", "<|endof", " ", "  ", "\n", "é", "e\u0301", "Σ", "İ", "日", "'s", "'", "12", ".", "!", "\x85", "x" * 20, "ab ", "ß"]
+    for _ in range(400):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 40)))
+        assert tree.encode(text) == whole.encode(text, add_special_tokens=False).ids, text
+    assert tree.joins > 1000 and tree.grown > 0
+    tree = bpe.TreeBPE(tokenizer_path())
+    some = "x" * 3000 + " tail " + "word " * 3000
+    for text in [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [some, "y" * 40_000]:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert tree.encode(text) == ids
+        assert tree.digests(text)[2] == hashlib.sha256(whole.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert tree.joins > 200
+
+
 def test_bpe_rows(docs, empty, rows, whole):
     got = collected(bpe.digests(docs, tokenizer_path()))
     want = []
@@ -500,3 +587,51 @@ def test_pipeline_stages(spark, docs, tmp_path, whole):
     ids = [whole.encode(r["text"] or "", add_special_tokens=False).ids for r in before]
     assert sorted(r["ids_sha256"] for r in after) == sorted(hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
+
+
+def test_pipeline_by_the_rule_of_the_stage(spark, docs, empty, tmp_path, whole):
+    """All stages in a row, near-duplicates by five words and a similarity of 0.8; then over an empty table."""
+    import corpus_pipeline
+    from collections import Counter
+
+    toxic = [(300 + k, f"zork zork {prose(random.Random(k), 20)} zork.", "en", "s2", 9) for k in range(40)]
+    labels = [(i, 1, 0) for i in range(30)] + [(i, 1, 1) for i, *_ in toxic[:35]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.drop("block").unionByName(spark.createDataFrame(toxic, DOC)).write.parquet(str(tmp_path / "documents.parquet"))
+    now, tables = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        assert name == "bpe" or out.columns == now.columns
+        out.write.parquet(str(tmp_path / name))
+        tables[name] = (now.collect(), spark.read.parquet(str(tmp_path / name)).collect())
+        now = spark.read.parquet(str(tmp_path / name))
+    before, after = tables["toxicity"]
+    assert Counter(map(repr, after)) == Counter(repr(r) for r in before if "zork" not in (r["text"] or ""))
+    before, after = tables["simhash_near_dedup"]
+    sets, group = [shingles(r["text"]) for r in before], list(range(len(before)))
+    for _ in range(5):
+        for i, j in itertools.combinations(range(len(before)), 2):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group[i] = group[j] = min(group[i], group[j])
+    best = {}
+    for i, r in enumerate(before):
+        if r["doc_id"] is not None:
+            best[group[i]] = min(r["doc_id"], best.get(group[i], r["doc_id"]))
+    assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted(best.values())
+    before, after = tables["pii"]
+    assert Counter(r["text"] for r in after) == Counter(r["text"] for r in before)  # nothing personal in these
+    before, after = tables["mixing"]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    copies = Counter(r["doc_id"] for r in after)
+    share = {r["doc_id"]: r["taken"] / r["size"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "pii"))).collect() if r["size"]}
+    for r in before:
+        n = copies.get(r["doc_id"], 0)
+        assert (n == 0) if not size(r["text"]) else int(share[r["doc_id"]]) <= n <= int(share[r["doc_id"]]) + 1
+    before, after = tables["bpe"]
+    ids = [whole.encode(r["text"] or "", add_special_tokens=False).ids for r in before]
+    assert sorted(r["ids_sha256"] for r in after) == sorted(hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
+    none = str(tmp_path / "none")
+    empty.write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
