@@ -9,6 +9,7 @@ components inside tasks and one by rounds of joins, chosen by the size of the la
 from __future__ import annotations
 
 from functools import cached_property
+from itertools import count, groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,34 +61,99 @@ class Graph:
     # ---- validation ----
 
     def validate(self) -> Graph:
-        """Raise on duplicate names, edges with unknown ends, or a cycle."""
+        """Raise on duplicate names, edges with unknown ends, or a cycle (the error carries one)."""
+        self._check_nodes()
+        self._check_ends(self.edges)
+        self._check_cycles()
+        return self
+
+    def _check_nodes(self) -> None:
         twice = self.nodes.groupBy("name").count().where("count > 1").select("name").first()
         if twice:
             raise DuplicateNodeError(twice[0])
-        ends = self.edges.select(F.explode(F.array("src", "dst")).alias("name"))
+
+    def _check_ends(self, edges: DataFrame) -> None:
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("name"))
         lost = ends.join(self.nodes, "name", "left_anti").first()
         if lost:
             raise NodeNotFoundError(lost[0])
-        core = self.cyclic_core()
-        bad = core.orderBy("name").first()
-        if bad:
-            raise CycleError([bad[0], bad[0]])
-        return self
+
+    def _check_cycles(self) -> None:
+        at = self.strong_components().where("on_cycle").agg(F.min("name")).first()[0]
+        if at is not None:
+            raise CycleError(self.cycle_through(at))
+
+    def strong_components(self) -> DataFrame:
+        """name, component (the smallest name that it shares a cycle with, or its own), on_cycle."""
+        loops = self.edges.where("src = dst").select(F.col("src").alias("name")).distinct().withColumn("__loop", F.lit(True))
+        if self._kernel():
+            def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+                return {"name": adj.names, "component": adj.label(adj.strong_components())}
+
+            found = fixpoint.by_component(self.nodes, self.edges, self._components[0], kernel, "name string,component string")
+        else:
+            found = self._strong_by_rounds()
+        found = fixpoint.checkpoint(found)
+        size = found.groupBy("component").agg(F.count("*").alias("__n"))
+        out = found.join(loops, "name", "left").join(size, "component")
+        return out.select("name", "component", ((F.col("__n") > 1) | F.coalesce("__loop", F.lit(False))).alias("on_cycle"))
+
+    def _strong_by_rounds(self) -> DataFrame:
+        """Colours: every node takes the smallest name that reaches it; what reaches that node in its colour is one component."""
+        left = fixpoint.checkpoint(self.nodes.select("name"))
+        e = fixpoint.checkpoint(self.edges.where("src <> dst").select("src", "dst").distinct())
+        done: DataFrame | None = None
+        while not left.isEmpty():
+            color = left.withColumn("color", F.col("name"))
+            while True:
+                sent = e.join(color.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.min("color").alias("up"))
+                now = fixpoint.checkpoint(color.join(sent, "name", "left").select("name", F.least("color", "up").alias("color"), F.coalesce(F.col("up") < F.col("color"), F.lit(False)).alias("changed")))
+                color = now.select("name", "color")
+                if now.where("changed").isEmpty():
+                    break
+            same = e.join(color.select(F.col("name").alias("src"), F.col("color").alias("a")), "src").join(color.select(F.col("name").alias("dst"), F.col("color").alias("b")), "dst")
+            back = same.where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            part = fixpoint.reach(back, color.where("name = color"), None, True).select("name", F.col("start").alias("component"))
+            part = fixpoint.checkpoint(part)
+            done = part if done is None else done.unionByName(part)
+            left = fixpoint.checkpoint(left.join(part, "name", "left_anti"))
+            e = fixpoint.checkpoint(e.join(left.withColumnRenamed("name", "src"), "src", "left_semi").join(left.withColumnRenamed("name", "dst"), "dst", "left_semi"))
+        return left.withColumn("component", F.col("name")) if done is None else done
+
+    def find_cycles(self) -> DataFrame:
+        """cycle (the smallest name on it), names (sorted): nodes that share cycles; no rows if there are none."""
+        on = self.strong_components().where("on_cycle")
+        return on.groupBy(F.col("component").alias("cycle")).agg(F.array_sort(F.collect_list("name")).alias("names"))
 
     def cyclic_core(self) -> DataFrame:
-        """Nodes on or between cycles: what is left when nodes without in- or out-edges are peeled off."""
-        e = fixpoint.checkpoint(self.edges.select("src", "dst").distinct())
-        count = e.count()
-        while True:
-            e2 = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            e = fixpoint.checkpoint(e2.select("src", "dst"))
-            left = e.count()
-            if left == count:
-                return e.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
-            count = left
+        """Names of nodes on cycles."""
+        return self.strong_components().where("on_cycle").select("name")
+
+    def cycle_through(self, name: str) -> list[str]:
+        """A shortest cycle through a node, its first name again at the end; empty if there is none."""
+        nxt = self.edges.where(F.col("src") == name).select("dst").distinct()
+        if not nxt.where(F.col("dst") == name).isEmpty():
+            return [name, name]
+        back = fixpoint.reach(self._flipped(), self.spark.createDataFrame([(name,)], "name string"))
+        near = nxt.join(back.withColumnRenamed("name", "dst"), "dst").agg(F.min(F.struct("hops", "dst")).alias("m")).select("m.dst").first()[0]
+        return [] if near is None else [name, *self.shortest_path(near, name).first()["path"]]
+
+    def closing_path(self, src: str, dst: str) -> list[str] | None:
+        """The path from dst to src that an edge src -> dst would close to a cycle; None if there is none."""
+        self._require([src, dst])
+        if src == dst:
+            return [src]
+        row = self.shortest_path(dst, src).first()
+        return row["path"] if row else None
 
     def would_create_cycle(self, src: str, dst: str) -> bool:
-        return src == dst or not self.reached([dst]).where(F.col("name") == src).isEmpty()
+        return self.closing_path(src, dst) is not None
+
+    def creating_cycles(self, pairs: DataFrame) -> DataFrame:
+        """The rows (src, dst) of ``pairs`` that would each close a cycle."""
+        p = pairs.select("src", "dst").distinct()
+        down = self.reached(p.select(F.col("dst").alias("name")).distinct()).select(F.col("start").alias("dst"), F.col("name").alias("src"))
+        return p.where("src = dst").unionByName(p.join(down, ["src", "dst"], "left_semi"))
 
     # ---- looking at nodes ----
 
@@ -108,7 +174,7 @@ class Graph:
         return self.node_count()
 
     def __bool__(self) -> bool:
-        return True
+        return not self.nodes.isEmpty()
 
     def _require(self, names: list[str]) -> None:
         wanted = self.spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
@@ -128,6 +194,22 @@ class Graph:
             raise NodeNotFoundError(name)
         return row[0]
 
+    def metadata(self, name: str) -> dict[str, str] | None:
+        row = self.nodes.where(F.col("name") == name).select("metadata").first()
+        if row is None:
+            raise NodeNotFoundError(name)
+        return row[0]
+
+    def known_nodes(self, names: DataFrame) -> DataFrame:
+        """name, known: whether each given name is a node."""
+        here = self.nodes.select("name", F.lit(True).alias("__known"))
+        return names.select("name").join(here, "name", "left").select("name", F.coalesce("__known", F.lit(False)).alias("known"))
+
+    def known_edges(self, pairs: DataFrame) -> DataFrame:
+        """src, dst, known: whether each given pair is an edge."""
+        here = self.edges.select("src", "dst").distinct().withColumn("__known", F.lit(True))
+        return pairs.select("src", "dst").join(here, ["src", "dst"], "left").select("src", "dst", F.coalesce("__known", F.lit(False)).alias("known"))
+
     def with_payloads(self, updates: DataFrame) -> Graph:
         """Payloads of ``updates`` (name, payload) replace the old ones."""
         u = updates.select("name", F.col("payload").alias("__new"), F.lit(True).alias("__hit"))
@@ -153,6 +235,12 @@ class Graph:
     def successors(self, name: str) -> DataFrame:
         return self.edges.where(F.col("src") == name).select(F.col("dst").alias("name"))
 
+    def neighbours(self, names: DataFrame, forward: bool = True) -> DataFrame:
+        """name, neighbour: what each given node leads to (or what leads to it); parallel edges give rows each."""
+        near, far = ("src", "dst") if forward else ("dst", "src")
+        e = self.edges.select(F.col(near).alias("name"), F.col(far).alias("neighbour"))
+        return e.join(names.select("name").distinct(), "name", "left_semi")
+
     def degrees(self) -> DataFrame:
         """name, in_degree, out_degree; parallel edges count."""
         ends = self.edges.select(F.col("src").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
@@ -182,17 +270,50 @@ class Graph:
 
         return self.nodes.select("name", effect_column(F.col("metadata")["effect"]).alias("effect"))
 
-    def iter_names(self):
+    @staticmethod
+    def _stream(names: DataFrame):
         """Names one partition at a time."""
-        return (r[0] for r in self.nodes.select("name").toLocalIterator(prefetchPartitions=True))
+        return (r[0] for r in names.toLocalIterator(prefetchPartitions=True))
 
-    # ---- changes ----
+    def iter_names(self):
+        return self._stream(self.nodes.select("name"))
+
+    def iter_roots(self):
+        return self._stream(self.roots().orderBy("name"))
+
+    def iter_leaves(self):
+        return self._stream(self.leaves().orderBy("name"))
+
+    def iter_ancestors(self, name: str):
+        return self._stream(self.ancestors(name).orderBy("name"))
 
-    def add_nodes(self, more: DataFrame) -> Graph:
-        return self._same(self.nodes.unionByName(_shaped(more, ["name"], NODE_COLUMNS, {"epoch": 0})), self.edges)
+    def iter_descendants(self, name: str):
+        return self._stream(self.descendants(name).orderBy("name"))
 
-    def add_edges(self, more: DataFrame) -> Graph:
-        return self._same(self.nodes, self.edges.unionByName(_shaped(more, ["src", "dst"], EDGE_COLUMNS, {"weight": 1.0})))
+    def iter_topological(self):
+        return self._stream(self.topological_rank().orderBy("rank").select("name"))
+
+    def iter_levels(self):
+        """The names of each level, as lists, one level at a time."""
+        rows = self.levels().orderBy("level", "name").toLocalIterator(prefetchPartitions=True)
+        return ([r["name"] for r in level] for _, level in groupby(rows, key=lambda r: r["level"]))
+
+    # ---- changes ----
+
+    def add_nodes(self, more: DataFrame, check: bool = True) -> Graph:
+        """With more nodes; a name twice or known already raises."""
+        out = self._same(self.nodes.unionByName(_shaped(more, ["name"], NODE_COLUMNS, {"epoch": 0})), self.edges)
+        if check:
+            out._check_nodes()
+        return out
+
+    def add_edges(self, more: DataFrame, check: bool = True) -> Graph:
+        """With more edges; an unknown end or a cycle raises."""
+        out = self._same(self.nodes, self.edges.unionByName(_shaped(more, ["src", "dst"], EDGE_COLUMNS, {"weight": 1.0})))
+        if check:
+            out._check_ends(more)
+            out._check_cycles()
+        return out
 
     def remove_nodes(self, names: DataFrame) -> Graph:
         n = names.select("name").distinct()
@@ -244,7 +365,7 @@ class Graph:
         """The graph as it is now, its lineage cut."""
         return self._same(fixpoint.checkpoint(self.nodes), fixpoint.checkpoint(self.edges))
 
-    def collapse(self, names: list[str], name: str, payload: str | None = None) -> Graph:
+    def collapse(self, names: list[str], name: str, payload: str | None = None, check: bool = True) -> Graph:
         """Merge nodes into one; inner edges go, of edges that fall together the first stays."""
         self._require(names)
         inside = F.col("name").isin(names)
@@ -256,9 +377,12 @@ class Graph:
         moved = self.edges.where(touched).withColumns({"src": to("src"), "dst": to("dst")}).where("src <> dst")
         moved = moved.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
         one = self.spark.createDataFrame([(name, payload)], "name string, payload string")
-        return self._same(self.nodes.where(~inside).unionByName(one, allowMissingColumns=True), self.edges.where(~touched).unionByName(moved))
+        out = self._same(self.nodes.where(~inside).unionByName(one, allowMissingColumns=True), self.edges.where(~touched).unionByName(moved))
+        if check:  # a way out of the nodes and back into them is a cycle now
+            out._check_cycles()
+        return out
 
-    def merge(self, other: Graph, conflict: str = "keep_first", resolver=None) -> Graph:
+    def merge(self, other: Graph, conflict: str = "keep_first", resolver=None, check: bool = True) -> Graph:
         """Union of two graphs; conflict: keep_first, keep_second, error, or resolver(Column, Column) -> Column."""
         a = self.nodes.select("name", F.struct("payload", "metadata", "epoch", "ord").alias("__a"))
         b = other.nodes.select("name", F.struct("payload", "metadata", "epoch", "ord").alias("__b"))
@@ -274,7 +398,10 @@ class Graph:
             payload = F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), resolver(F.col("__a.payload"), F.col("__b.payload"))).otherwise(payload)
         n = n.select("name", payload.alias("payload"), "__p.metadata", "__p.epoch", "__p.ord")
         e = self.edges.unionByName(other.edges.join(self.edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
-        return self._same(n, e)
+        out = self._same(n, e)
+        if check:
+            out._check_cycles()
+        return out
 
     # ---- reach ----
 
@@ -294,8 +421,22 @@ class Graph:
     def is_ancestor(self, a: str, b: str) -> bool:
         return not self.reached([a]).where(F.col("name") == b).isEmpty()
 
+    def are_ancestors(self, pairs: DataFrame) -> DataFrame:
+        """src, dst, reaches: whether src of each given pair is an ancestor of dst."""
+        p = pairs.select("src", "dst")
+        down = self.reached(p.select(F.col("src").alias("name")).distinct()).select(F.col("start").alias("src"), F.col("name").alias("dst"), F.lit(True).alias("__hit"))
+        return p.join(down, ["src", "dst"], "left").select("src", "dst", F.coalesce("__hit", F.lit(False)).alias("reaches"))
+
     def dirty_set(self, changed: DataFrame) -> DataFrame:
         """Changed nodes and everything downstream of them."""
+        if self._kernel():
+            hit = self.nodes.select("name").join(changed.select("name").distinct().withColumn("hit", F.lit(1)), "name", "left").select("name", F.coalesce("hit", F.lit(0)).alias("hit"))
+
+            def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+                starts = [i for i, h in enumerate(cols["hit"]) if h]
+                return {"name": adj.label(sorted({*starts, *adj.reach(starts)}))}
+
+            return fixpoint.by_component(hit, self.edges, self._components[0], kernel, "name string", ["hit"])
         return fixpoint.reach(self.edges, changed.select("name").join(self.nodes.select("name"), "name", "left_semi"), None, True).select("name").distinct()
 
     def change_provenance(self, changed: DataFrame) -> DataFrame:
@@ -304,7 +445,7 @@ class Graph:
         return fixpoint.reach(self.edges, known, None, True).select("name", F.col("start").alias("changed"))
 
     @cached_property
-    def _components(self) -> tuple[DataFrame, int]:
+    def _components(self) -> tuple[DataFrame, int, int]:
         return fixpoint.component_sizes(self.nodes, self.edges)
 
     def _kernel(self) -> bool:
@@ -319,7 +460,8 @@ class Graph:
 
     def closure(self) -> DataFrame:
         """src, dst, hops_min, hops_max of all reachable pairs."""
-        if not self._kernel():
+        # a component of n nodes has fewer than n * n / 2 pairs
+        if not self._kernel() or (self.strategy == "auto" and self._components[2] ** 2 > 2 * fixpoint.KERNEL_PAIRS):
             return fixpoint.closure_doubling(self.edges)
 
         def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
@@ -413,10 +555,25 @@ class Graph:
     def topological_rank_priority(self, priorities: DataFrame) -> DataFrame:
         return self._sequential(lambda a, p: a.by_priority(p), "rank", priorities)
 
+    def all_topological_orders(self, limit: int | None = None) -> DataFrame:
+        """order_id, rank, name of every topological order in the order of names, ``limit`` at most; in one task."""
+        if self.node_count() > SEQUENTIAL_NODES:
+            raise TooLargeError("orders are listed in one task")
+
+        def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+            found = adj.all_orders(limit) if adj.names else []
+            rows = [(k, r, adj.names[i]) for k, order in enumerate(found) for r, i in enumerate(order)]
+            return dict(zip(("order_id", "rank", "name"), map(list, zip(*rows)) if rows else ([], [], [])))
+
+        return fixpoint.by_component(self.nodes, self.edges, self.nodes.select("name", F.lit("all").alias("root")), kernel, "order_id int,rank int,name string")
+
     # ---- paths ----
 
     def all_paths(self, src: str, dst: str, limit: int | None = None) -> DataFrame:
-        """path (array), in order of names; walks only nodes that lie between the two."""
+        """path (array); with a limit the first by names.  Walks only nodes that lie between the two.
+
+        Every beginning leads to a path, so of the beginnings in order no more than ``limit`` are followed.
+        """
         self._require([src, dst])
         spark = self.spark
         if src == dst:
@@ -427,12 +584,14 @@ class Graph:
         done = front.limit(0)
         while True:
             step = front.join(e, F.element_at("path", -1) == F.col("src")).select(F.concat("path", F.array("dst")).alias("path"))
+            if limit is not None:
+                step = step.unionByName(done).orderBy("path").limit(limit)
             step = fixpoint.checkpoint(step)
-            if step.isEmpty():
-                break
-            done = done.unionByName(step.where(F.element_at("path", -1) == dst))
+            over = step.where(F.element_at("path", -1) == dst)
+            done = done.unionByName(over) if limit is None else over
             front = step.where(F.element_at("path", -1) != dst)
-        return done if limit is None else done.orderBy("path").limit(limit)
+            if front.isEmpty():
+                return done
 
     def shortest_path(self, src: str, dst: str) -> DataFrame:
         """path, hops: fewest hops, smallest by names; no row if there is none."""
@@ -494,13 +653,15 @@ class Graph:
         order = F.struct((-F.col("bottom_level")).alias("b"), F.col("name").alias("n"))
         nxt = self.edges.select("src", "dst").distinct().join(down.withColumnRenamed("name", "dst"), "dst").groupBy("src").agg(F.min(F.struct((-F.col("bottom_level")).alias("b"), F.col("dst").alias("n"))).alias("m"))
         nxt = fixpoint.checkpoint(nxt.select("src", F.col("m.n").alias("dst")))
-        at = down.agg(F.min(order).alias("m")).select("m.n").first()
-        path: list[str] = []
-        while at and at[0] is not None:  # one row a step: the path, not the graph
-            path.append(at[0])
-            at = nxt.where(F.col("src") == at[0]).select("dst").first()
-        rows = self.spark.createDataFrame(list(enumerate(path)), "place int, name string")
-        return rows.join(down, "name").select("place", "name", "bottom_level")
+        # along the chain of greatest successors by doubling: a round doubles what is known of the path
+        path = fixpoint.checkpoint(down.agg(F.min(order).alias("m")).where("m is not null").select(F.lit(0).alias("place"), F.col("m.n").alias("name")))
+        for k in count():
+            more = path.join(nxt, F.col("name") == F.col("src")).select((F.col("place") + (1 << k)).alias("place"), F.col("dst").alias("name"))
+            more = fixpoint.checkpoint(more)
+            if more.isEmpty():
+                return path.join(down, "name").select(F.col("place").cast("int").alias("place"), "name", "bottom_level")
+            path = fixpoint.checkpoint(path.unionByName(more))
+            nxt = fixpoint.checkpoint(nxt.alias("a").join(nxt.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")))
 
     def execution_plan(self, costs: DataFrame | None = None) -> DataFrame:
         """step_index, name, start_time, duration: a step a level, starting when the longest of each step before is done."""
@@ -541,7 +702,28 @@ class Graph:
         )
 
     def partition_balanced(self, k: int, costs: DataFrame | None = None) -> DataFrame:
-        return self._partition(lambda a, cost: a.part_balanced(k, cost), costs)
+        """name, partition_id: a walk in order of level and name; a part ends once it has total / k of the cost.
+
+        Costs are summed in ranges of the order; the at most k - 1 ends are looked up one after the other.
+        """
+        p = self.levels().join(self.costed(costs), "name")
+        ranked, n = fixpoint.global_rank(p, ["level", "name"], "pos")
+        ranked = ranked.withColumn("__range", F.floor(F.col("pos") / 100_000))
+        sums = ranked.groupBy("__range").agg(F.sum("cost").alias("__sum"))
+        before = sums.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
+        line = Window.partitionBy("__range").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.join(before, "__range").withColumn("sum", F.col("__before") + F.coalesce(F.sum("cost").over(line), F.lit(0.0)))
+        ranked = fixpoint.checkpoint(ranked.select("name", "pos", "cost", "sum"))
+        k = max(1, min(k, n))
+        share = (ranked.agg(F.sum("cost")).first()[0] or 0.0) / k
+        part, start, least = F.lit(0), 0.0, 1
+        for _ in range(k - 1):
+            end = ranked.where((F.col("pos") >= least) & (F.col("sum") - start >= share)).agg(F.min(F.struct("pos", "sum")).alias("m")).select("m.pos", "m.sum").first()
+            if end[0] is None:
+                break
+            part = part + F.when(F.col("pos") >= end[0], 1).otherwise(0)
+            least, start = end[0] + 1, end[1]
+        return ranked.select("name", part.cast("int").alias("partition_id"))
 
     def partition_low_cut(self, k: int, costs: DataFrame | None = None, rounds: int = 10, imbalance: float = 0.3) -> DataFrame:
         return self._partition(lambda a, cost: a.part_low_cut(k, cost, rounds, imbalance), costs)
@@ -565,6 +747,13 @@ class Graph:
         cross = cross.groupBy("partition_id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
         return size.join(cross, "partition_id", "left").select("partition_id", "nodes", "total_cost", F.coalesce("i", F.lit(0)).alias("incoming"), F.coalesce("o", F.lit(0)).alias("outgoing"))
 
+    def cross_edges(self, assignment: DataFrame) -> DataFrame:
+        """src_part, dst_part, n: edges between each two different parts."""
+        a = assignment.select("name", "partition_id")
+        e = self.edges.join(a.select(F.col("name").alias("src"), F.col("partition_id").alias("src_part")), "src")
+        e = e.join(a.select(F.col("name").alias("dst"), F.col("partition_id").alias("dst_part")), "dst")
+        return e.where("src_part <> dst_part").groupBy("src_part", "dst_part").agg(F.count("*").alias("n"))
+
     def partition_order(self, assignment: DataFrame) -> DataFrame:
         """partition_id, level in the graph of partitions."""
         a = assignment.select("name", F.col("partition_id").cast("string").alias("p"))
@@ -587,7 +776,7 @@ class Graph:
     def transitive_closure(self) -> Graph:
         """With an edge of weight 1 for every reachable pair that has none."""
         new = self.closure().select("src", "dst").join(self.edges.select("src", "dst"), ["src", "dst"], "left_anti")
-        return self.add_edges(new)
+        return self.add_edges(new, check=False)
 
     def dominator_tree(self, root: str) -> DataFrame:
         """name, idom of every node reachable from root.

@@ -307,33 +307,42 @@ class Adjacency:
         return out
 
     def part_low_cut(self, k: int, cost: Callable[[int], float], rounds: int = 10, imbalance: float = 0.3) -> list[int]:
-        """Level parts, then moves between neighbouring parts that lower the cut and keep order and balance."""
-        part = self.part_by_levels(k)
+        """Level parts, then moves of nodes near a boundary to the part behind it where that lowers the cut.
+
+        A node moves only if it lies within two levels of the boundary (levels of its part as the round
+        found them), no edge then runs backwards, the part it leaves keeps a node, and the part it enters
+        stays within (1 + imbalance) times the mean cost.
+        """
+        part, lvl = self.part_by_levels(k), self.levels()
         n = max(part, default=0) + 1
-        load = [0.0] * n
+        load, size = [0.0] * n, [0] * n
         for i, p in enumerate(part):
             load[p] += cost(i)
+            size[p] += 1
         most = (1 + imbalance) * sum(load) / n
+        order = self.kahn()
         for _ in range(rounds):
+            low, high = [1 << 62] * n, [-1] * n
+            for i, p in enumerate(part):
+                low[p], high[p] = min(low[p], lvl[i]), max(high[p], lvl[i])
             moved = False
-            for i in self.kahn():
-                for to in (part[i] - 1, part[i] + 1):
-                    if not 0 <= to < n or load[to] + cost(i) > most:
+            for i in order:
+                at = part[i]
+                for to in (at + 1, at - 1):
+                    near = lvl[i] >= high[at] - 1 if to > at else lvl[i] <= low[at] + 1
+                    if not 0 <= to < n or not near or size[at] < 2 or load[to] + cost(i) > most:
                         continue
                     if any(part[j] > to for j in self.inc[i]) or any(part[j] < to for j in self.out[i]):
                         continue
                     around = [*self.inc[i], *self.out[i]]
-                    gain = sum(part[j] == to for j in around) - sum(part[j] == part[i] for j in around)
-                    if gain > 0:
-                        load[part[i]] -= cost(i)
-                        load[to] += cost(i)
-                        part[i] = to
-                        moved = True
+                    if sum(part[j] == to for j in around) > sum(part[j] == at for j in around):
+                        load[at], load[to] = load[at] - cost(i), load[to] + cost(i)
+                        size[at], size[to] = size[at] - 1, size[to] + 1
+                        part[i], moved = to, True
                         break
             if not moved:
                 break
-        names = sorted(set(part))
-        return [names.index(p) for p in part]
+        return part
 
     # ---- structure ----
 
@@ -366,6 +375,40 @@ class Adjacency:
                     out.add((u, v))
         return out
 
+    def strong_components(self) -> list[int]:
+        """For every node the first by name of those it is on a cycle with; itself if on none."""
+        n = len(self.names)
+        seen, low, label, count = [-1] * n, [0] * n, [-1] * n, 0
+        held: list[int] = []
+        for start in self.by_name:
+            if seen[start] >= 0:
+                continue
+            walk = [(start, iter(self.out[start]))]
+            while walk:
+                i, rest = walk[-1]
+                if seen[i] < 0:
+                    seen[i] = low[i] = count
+                    count += 1
+                    held.append(i)
+                for j in rest:
+                    if seen[j] < 0:
+                        walk.append((j, iter(self.out[j])))
+                        break
+                    if label[j] < 0:
+                        low[i] = min(low[i], seen[j])
+                else:
+                    walk.pop()
+                    if walk:
+                        low[walk[-1][0]] = min(low[walk[-1][0]], low[i])
+                    if low[i] == seen[i]:
+                        group = []
+                        while not group or group[-1] != i:
+                            group.append(held.pop())
+                        first = min(group, key=self.place.__getitem__)
+                        for j in group:
+                            label[j] = first
+        return label
+
     def weak_components(self) -> list[int]:
         comp = [-1] * len(self.names)
         for root in self.by_name:

@@ -69,7 +69,11 @@ def lineage(g: Graph, results: DataFrame, names: DataFrame) -> DataFrame:
     """name, inputs (direct, completed), ancestors (completed), depth: what went into each name."""
     done = results.where("status = 'completed'").select("name")
     starts = names.select("name")
-    up = fixpoint.reach(g.reverse().edges, starts)
+    if g._kernel():
+        up = g.closure().join(starts.withColumnRenamed("name", "dst"), "dst", "left_semi").select(F.col("dst").alias("start"), F.col("src").alias("name"), F.col("hops_min").alias("hops"))
+    else:
+        up = fixpoint.reach(g.reverse().edges, starts)
+    up = fixpoint.checkpoint(up)
     got = up.join(done, "name", "left_semi").groupBy(F.col("start").alias("name")).agg(F.array_sort(F.collect_set("name")).alias("ancestors"), F.max("hops").alias("depth"))
     direct = up.where("hops = 1").join(done, "name", "left_semi").groupBy(F.col("start").alias("name")).agg(F.array_sort(F.collect_set("name")).alias("inputs"))
     empty = F.array().cast("array<string>")
@@ -106,8 +110,25 @@ def lineage_summary(results: DataFrame) -> DataFrame:
 # ---- explanation ----
 
 
+def dominated(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
+    """name, dominates (sorted): the descendants whose other ancestors all lie above or below the node.
+
+    What is above a node is above its descendants, so it is enough to count: ancestors of the descendant
+    = the node, the node's ancestors and what lies between the two.
+    """
+    pairs = fixpoint.checkpoint(g.closure().select("src", "dst")) if pairs is None else pairs
+    above = pairs.groupBy(F.col("dst").alias("of")).agg(F.count("*").alias("n"))
+    a, b = pairs.alias("a"), pairs.alias("b")
+    between = a.join(b, F.col("a.dst") == F.col("b.src")).groupBy(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).agg(F.count("*").alias("between"))
+    j = pairs.join(between, ["src", "dst"], "left").join(above.select(F.col("of").alias("dst"), F.col("n").alias("all")), "dst")
+    j = j.join(above.select(F.col("of").alias("src"), F.col("n").alias("own")), "src", "left")
+    hit = j.where(F.col("all") == 1 + F.coalesce("own", F.lit(0)) + F.coalesce("between", F.lit(0)))
+    got = hit.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_list("dst")).alias("dominates"))
+    return g.nodes.select("name").join(got, "name", "left").select("name", F.coalesce("dominates", F.array().cast("array<string>")).alias("dominates"))
+
+
 def explain(g: Graph, costs: DataFrame | None = None) -> DataFrame:
-    """For every node: depth, on_critical_path, bottleneck, counts around it, is_root, is_leaf.
+    """For every node: depth, on_critical_path, bottleneck, counts around it, is_root, is_leaf, dominates.
 
     bottleneck = descendants / total, halved off the critical path, two decimals.
     """
@@ -117,12 +138,12 @@ def explain(g: Graph, costs: DataFrame | None = None) -> DataFrame:
     down = pairs.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("descendants"))
     up = pairs.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("ancestors"))
     cp = g.critical_path(costs).select("name", F.lit(True).alias("on_critical_path"))
-    j = g.levels().join(near, "name").join(down, "name", "left").join(up, "name", "left").join(cp, "name", "left")
+    j = g.levels().join(near, "name").join(down, "name", "left").join(up, "name", "left").join(cp, "name", "left").join(dominated(g, pairs), "name")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     on = F.coalesce("on_critical_path", F.lit(False))
     return j.select(
         "name", F.col("level").alias("depth"), on.alias("on_critical_path"), F.round(z("descendants") / max(1, n) * F.when(on, 1.0).otherwise(0.5), 2).alias("bottleneck"),
-        "in_degree", "out_degree", z("ancestors").alias("ancestors"), z("descendants").alias("descendants"), (F.col("in_degree") == 0).alias("is_root"), (F.col("out_degree") == 0).alias("is_leaf"),
+        "in_degree", "out_degree", z("ancestors").alias("ancestors"), z("descendants").alias("descendants"), (F.col("in_degree") == 0).alias("is_root"), (F.col("out_degree") == 0).alias("is_leaf"), "dominates",
     )
 
 
@@ -132,13 +153,13 @@ def what_if(g: Graph, add_nodes: list[str] = (), add_edges: list[tuple[str, str]
     if add_edges:
         e = spark.createDataFrame(list(add_edges), "src string, dst string")
         ends = e.select(F.explode(F.array("src", "dst")).alias("name")).distinct().join(h.nodes, "name", "left_anti")
-        h = h.add_nodes(ends).add_edges(e)
-        core = [r[0] for r in h.cyclic_core().orderBy("name").limit(20).collect()]
-        if core:
-            return {"cycle": core}
+        h = h.add_nodes(ends, check=False).add_edges(e, check=False)
+        at = h.cyclic_core().agg(F.min("name")).first()[0]
+        if at is not None:
+            return {"cycle": h.cycle_through(at)}
     fresh = [x for x in add_nodes if not h.has_node(x)]
     if fresh:
-        h = h.add_nodes(spark.createDataFrame([(x,) for x in fresh], "name string"))
+        h = h.add_nodes(spark.createDataFrame([(x,) for x in fresh], "name string"), check=False)
     for a, b in remove_edges:
         h = h.remove_edge(a, b)
     if remove_nodes:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import pyarrow as pa
@@ -15,6 +15,8 @@ from arbora.kernels import Adjacency
 
 #: Components of at most so many edges may be solved inside one task.
 KERNEL_EDGES = 1_000_000
+#: Closures are made inside tasks only where no component can have more pairs than this.
+KERNEL_PAIRS = 20_000_000
 BUCKET_EDGES = 100_000
 
 
@@ -38,14 +40,46 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of the pairs (a, b) with the smallest node that they link it to."""
+    root: dict = {}
+
+    def find(x):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    if kind is not None:
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind.field(0).type), pa.array([find(x) for x in nodes], kind.field(0).type)], ["a", "b"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, whole: int = 0) -> DataFrame:
     """Smallest node of each weak component: (a, b) -> (node, root); nodes without an edge don't appear.
 
-    Alternating large-star and small-star rounds: only minima per node and joins, no adjacency lists,
-    about log(diameter) rounds.
+    At most ``whole`` edges are linked in one task.  More are linked within each partition first, and what is
+    left by alternating large-star and small-star rounds: only minima per node and joins, no adjacency lists,
+    about log(diameter) rounds.  With ``whole`` = 0 there are rounds only.
     """
     e = edges.where("a is not null and b is not null and a <> b")
     e = checkpoint(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if whole:
+        kind = e.schema["a"].dataType.simpleString()
+        if e.count() <= whole:
+            return e.coalesce(1).mapInArrow(_stars, f"a {kind}, b {kind}").select(F.col("a").alias("node"), F.col("b").alias("root"))
+        e = checkpoint(e.mapInArrow(_stars, f"a {kind}, b {kind}").where("a <> b").distinct())
     signature = None
     for _ in range(max_rounds):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -145,12 +179,14 @@ def global_rank(df: DataFrame, by: list[str], column: str, offset: int = 0, smal
     return dealt.join(before, "__range").withColumn(column, (number("__range") + F.col("__before") + offset).cast("int")).drop("__range", "__before"), n
 
 
-def component_sizes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
-    """(name, root) for every node, and the edges of the largest component."""
-    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+def component_sizes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int, int]:
+    """(name, root) for every node, and the edges and the nodes of the largest components."""
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), whole=KERNEL_EDGES)
     named = checkpoint(nodes.select("name").join(found.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("root")))
-    size = edges.join(named, edges["src"] == named["name"]).groupBy("root").count().agg(F.max("count")).first()[0]
-    return named, int(size or 0)
+    per = edges.join(named, edges["src"] == named["name"]).groupBy("root").agg(F.count("*").alias("e"), F.lit(0).alias("n"))
+    per = per.unionByName(named.groupBy("root").agg(F.lit(0).alias("e"), F.count("*").alias("n")))
+    most = per.agg(F.max("e"), F.max("n")).first()
+    return named, int(most[0] or 0), int(most[1] or 0)
 
 
 def by_component(nodes: DataFrame, edges: DataFrame, named: DataFrame, kernel: Callable[[Adjacency, dict], dict[str, list]], schema: str, extra: list[str] | None = None) -> DataFrame:
