@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from arbora.errors import CycleError, GraphError, NodeNotFoundError
 
@@ -134,32 +134,32 @@ class Adjacency:
 
     def all_orders(self, limit: int | None) -> list[list[int]]:
         """Topological orders in name order by backtracking, ``limit`` at most; none of an empty graph."""
+        self.kahn()
         found: list[list[int]] = []
         need = [len(x) for x in self.inc]
-        self.kahn()
-
-        def walk(done: list[int]) -> None:
-            if limit is not None and len(found) >= limit:
-                return
+        done: list[int] = []
+        # per place of the order, what may still stand there; a loop, so that depth is not bounded by the stack
+        open_: list[Iterator[int]] = [iter([i for i in self.by_name if not need[i]])] if self.names else []
+        while open_ and (limit is None or len(found) < limit):
+            if len(done) == len(open_):  # come back to this place: take its last choice away
+                i = done.pop()
+                for j in self.out[i]:
+                    need[j] += 1
+                need[i] = 0
+            i = next(open_[-1], None)
+            if i is None:
+                open_.pop()
+                continue
+            need[i] = -1
+            for j in self.out[i]:
+                need[j] -= 1
+            done.append(i)
             if len(done) == len(self.names):
-                if done:
-                    found.append(list(done))
-                return
-            for i in self.by_name:
-                if not need[i]:
-                    need[i] = -1
-                    for j in self.out[i]:
-                        need[j] -= 1
-                    walk([*done, i])
-                    for j in self.out[i]:
-                        need[j] += 1
-                    need[i] = 0
-
-        walk([])
+                found.append(list(done))
+            else:
+                open_.append(iter([j for j in self.by_name if not need[j]]))
         return found
 
-    # ---- reach and paths ----
-
     def reach(self, starts: Iterable[int], forward: bool = True, depth: int | None = None) -> set[int]:
         """Nodes within ``depth`` hops, starts included."""
         side = self.out if forward else self.inc

@@ -71,9 +71,7 @@ def reachability_index_divisors(spark, sf):
 @query("dirty_set_errors", f"WITH {CHAINS}, f AS (SELECT ck.user_id, min(ck.lvl) AS lvl FROM ck JOIN events e ON ck.name = 'event:' || e.event_id WHERE e.event_type = 'error' GROUP BY ck.user_id) SELECT name FROM ck JOIN f USING (user_id) WHERE ck.lvl >= f.lvl")
 def dirty_set_errors(spark, sf):
     g = d.chains(spark, sf)
-    bad = d.event_results(spark, sf).where("status = 'failed'").select("name")
-    pairs = g.closure().join(bad.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name"))
-    return pairs.unionByName(bad).distinct()
+    return g.dirty_set(d.event_results(spark, sf).where("status = 'failed'"))
 
 
 @query("dirty_set_nations", f"WITH {HIERARCHY} SELECT name FROM hn WHERE name LIKE 'nation:%' OR name LIKE 'customer:%' OR name LIKE 'supplier:%' OR name LIKE 'order:%'")
@@ -114,8 +112,9 @@ def parallel_edge_degrees(spark, sf):
 
 @query("predecessors_of_each", f"WITH {DIVISORS} SELECT dst AS name, CAST(count(*) AS BIGINT) AS n, string_agg(src, ',' ORDER BY src) AS names FROM de GROUP BY dst")
 def predecessors_of_each(spark, sf):
-    e = d.divisors(spark, sf).edges
-    return e.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("src")), ",").alias("names"))
+    g = d.divisors(spark, sf)
+    up = g.neighbours(g.nodes, forward=False)
+    return up.groupBy("name").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("neighbour")), ",").alias("names"))
 
 
 @query("matching_glob", f"WITH {HIERARCHY} SELECT name FROM hn WHERE name LIKE 'customer:_0%'")
@@ -171,17 +170,25 @@ def topological_rank(spark, sf):
     return d.turns(spark, sf).topological_rank()
 
 
-@query("topological_rank_divisors")
+#: FIFO order: by level, within it by the last predecessor's rank, then by name; one step of the query per level.
+_KAHN = "q0 AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS rank FROM dv WHERE lvl = 0)" + "".join(
+    f", u{k} AS (SELECT dv.name, max(q{k - 1}.rank) AS up FROM dv JOIN de ON de.dst = dv.name JOIN q{k - 1} ON q{k - 1}.name = de.src WHERE dv.lvl = {k} GROUP BY dv.name)"
+    f", q{k} AS (SELECT * FROM q{k - 1} UNION ALL SELECT name, (SELECT count(*) FROM q{k - 1}) + row_number() OVER (ORDER BY up, name) - 1 FROM u{k})"
+    for k in range(1, 12)
+)
+
+
+@query("topological_rank_divisors", f"WITH RECURSIVE {DIVISORS}, {_DLEVEL}, {_KAHN} SELECT CAST(rank AS INTEGER) AS rank, name FROM q11")
 def topological_rank_divisors(spark, sf):
     return d.divisors(spark, sf).topological_rank()
 
 
-@query("topological_rank_dfs")
+@query("topological_rank_dfs", f"WITH {TURNS}, h AS (SELECT conv_id, 'turn:' || conv_id || '/' || min(turn) AS first FROM tt GROUP BY conv_id) SELECT name, CAST(row_number() OVER (ORDER BY first DESC, turn) - 1 AS INTEGER) AS rank FROM tn JOIN h USING (conv_id)")
 def topological_rank_dfs(spark, sf):
     return d.turns(spark, sf).topological_rank_dfs()
 
 
-@query("topological_rank_priority")
+@query("topological_rank_priority", f"WITH RECURSIVE {DIVISORS}, u AS (SELECT dn.name, dn.k, list(de.src) FILTER (de.src IS NOT NULL) AS ups FROM dn LEFT JOIN de ON de.dst = dn.name GROUP BY ALL), w AS (SELECT -1 AS rank, CAST([] AS VARCHAR[]) AS done UNION ALL SELECT rank + 1, list_append(done, (SELECT u.name FROM u WHERE NOT list_contains(done, u.name) AND (u.ups IS NULL OR list_has_all(done, u.ups)) ORDER BY u.k DESC, u.name LIMIT 1)) FROM w WHERE rank + 1 < (SELECT count(*) FROM dn)) SELECT CAST(rank AS INTEGER) AS rank, done[-1] AS name FROM w WHERE rank >= 0")
 def topological_rank_priority(spark, sf):
     g = d.divisors(spark, sf)
     return g.topological_rank_priority(g.nodes.select("name", F.substring("name", 2, 3).cast("double").alias("priority")))
@@ -278,6 +285,8 @@ def compose(spark, sf):
 
 _BOTTOM = "bl AS (SELECT name, k AS v FROM dn UNION SELECT de.src, bl.v + de.a FROM bl JOIN de ON de.dst = bl.name), bv AS (SELECT name, max(v) AS v FROM bl GROUP BY name)"
 
+_UNIT_BOTTOM = "ul AS (SELECT name, 1 AS v FROM dn UNION SELECT de.src, ul.v + 1 FROM ul JOIN de ON de.dst = ul.name), uv AS (SELECT name, max(v) AS v FROM ul GROUP BY name)"
+
 
 def _sizes(g: Graph) -> DataFrame:
     return g.nodes.select("name", F.substring("name", 2, 3).cast("double").alias("cost"))
@@ -332,15 +341,14 @@ def partition_low_cut(spark, sf):
 @query("cross_edges", f"WITH RECURSIVE {DIVISORS}, {_DLEVEL}, m AS (SELECT max(lvl) + 1 AS n FROM dv), p AS (SELECT name, least(2, floor(lvl / ceil(n / 3.0))) AS q FROM dv, m) SELECT CAST(a.q AS INTEGER) AS src_part, CAST(b.q AS INTEGER) AS dst_part, CAST(count(*) AS BIGINT) AS n FROM de JOIN p a ON a.name = src JOIN p b ON b.name = dst WHERE a.q <> b.q GROUP BY ALL")
 def cross_edges(spark, sf):
     g = d.divisors(spark, sf)
-    p = g.partition_levels(3)
-    e = g.edges.join(p.select(F.col("name").alias("src"), F.col("partition_id").alias("src_part")), "src").join(p.select(F.col("name").alias("dst"), F.col("partition_id").alias("dst_part")), "dst")
-    return e.where("src_part <> dst_part").groupBy("src_part", "dst_part").agg(F.count("*").alias("n"))
+    return g.cross_edges(g.partition_levels(3))
 
 
-@query("partition_stats")
+@query("partition_stats", f"WITH RECURSIVE {DIVISORS}, {_DLEVEL}, m AS (SELECT max(lvl) + 1 AS n FROM dv), p AS (SELECT name, CAST(least(2, floor(lvl / ceil(n / 3.0))) AS INTEGER) AS q FROM dv, m), x AS (SELECT a.q AS s, b.q AS t FROM de JOIN p a ON a.name = src JOIN p b ON b.name = dst WHERE a.q <> b.q) SELECT q AS partition_id, CAST(count(*) AS BIGINT) AS nodes, count(*)::DOUBLE AS total_cost, CAST((SELECT count(*) FROM x WHERE t = q) AS BIGINT) AS incoming, CAST((SELECT count(*) FROM x WHERE s = q) AS BIGINT) AS outgoing FROM p GROUP BY q")
 def partition_stats(spark, sf):
     g = d.divisors(spark, sf)
-    return g.partition_stats(g.partition_levels(3))
+    p = g.partition_stats(g.partition_levels(3))
+    return p.withColumns({"incoming": F.col("incoming").cast("long"), "outgoing": F.col("outgoing").cast("long")})
 
 
 @query("partition_order", "SELECT CAST(x AS INTEGER) AS partition_id, CAST(x AS INTEGER) AS level FROM range(0, 3) t(x)")
@@ -367,9 +375,7 @@ def graph_stats(spark, sf):
 @query("lineage", f"WITH {CHAINS}, {RESULTS} SELECT a.name, coalesce(CAST(max(CASE WHEN b.status = 'completed' THEN a.lvl - b.lvl END) AS INTEGER), 0) AS depth, CAST(count(CASE WHEN b.status = 'completed' THEN 1 END) AS BIGINT) AS n FROM (SELECT ck.*, rs.status FROM ck JOIN rs USING (name)) a LEFT JOIN (SELECT ck.*, rs.status FROM ck JOIN rs USING (name)) b ON a.user_id = b.user_id AND b.lvl < a.lvl GROUP BY a.name")
 def lineage(spark, sf):
     g, r = d.chains(spark, sf), d.event_results(spark, sf)
-    up = g.closure().join(r.where("status = 'completed'").select(F.col("name").alias("src")), "src", "left_semi")
-    got = up.groupBy(F.col("dst").alias("name")).agg(F.max("hops_min").alias("depth"), F.count("*").alias("n"))
-    return g.nodes.select("name").join(got, "name", "left").select("name", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("n", F.lit(0)).alias("n"))
+    return analysis.lineage(g, r, g.nodes).select("name", "depth", F.size("ancestors").cast("long").alias("n"))
 
 
 @query("impact", f"WITH {HIERARCHY} SELECT a.name, CAST((SELECT count(*) FROM he JOIN he h2 ON he.dst = h2.src WHERE he.src = a.name) + (SELECT count(*) FROM he WHERE src = a.name) AS BIGINT) AS affected, CAST((SELECT count(*) FROM he WHERE src = a.name AND dst NOT IN (SELECT src FROM he)) + (SELECT count(*) FROM he JOIN he h2 ON he.dst = h2.src WHERE he.src = a.name) AS BIGINT) AS affected_leaves FROM hn a WHERE a.name LIKE 'nation:%'")
@@ -396,7 +402,7 @@ def profile(spark, sf):
     return analysis.profile(d.chains(spark, sf), d.event_results(spark, sf))
 
 
-@query("profile_summary")
+@query("profile_summary", f"WITH {CHAINS}, {RESULTS}, done AS (SELECT ck.name, user_id, lvl, duration_seconds AS c FROM ck JOIN rs USING (name) WHERE status = 'completed'), seg AS (SELECT *, lvl - row_number() OVER (PARTITION BY user_id ORDER BY lvl) AS s FROM done), t AS (SELECT c, sum(c) OVER (PARTITION BY user_id, s ORDER BY lvl) - c AS es FROM seg), e AS (SELECT es AS z, 1 AS x FROM t WHERE c > 0 UNION ALL SELECT es + c, -1 FROM t WHERE c > 0), b AS (SELECT z, sum(sum(x)) OVER (ORDER BY z) AS n FROM e GROUP BY z) SELECT sum(c) AS total, max(es + c) AS makespan, sum(c) / max(es + c) AS efficiency, CAST((SELECT max(n) FROM b) AS BIGINT) AS max_parallelism FROM t")
 def profile_summary(spark, sf):
     return analysis.profile_summary(d.chains(spark, sf), d.event_results(spark, sf))
 
@@ -440,6 +446,121 @@ def what_if(spark, sf):
     return spark.createDataFrame([(str(k), str(v)) for k, v in r.items()], "figure string, value string")
 
 
+# ---- single nodes, cycles, changes ----
+
+
+@query("known_nodes", f"WITH {HIERARCHY} SELECT x.name, x.name IN (SELECT name FROM hn) AS known FROM (SELECT 'customer:' || o_orderkey AS name FROM orders) x")
+def known_nodes(spark, sf):
+    return d.hierarchy(spark, sf).known_nodes(d.table(spark, sf, "orders").select(d._key("customer", "o_orderkey").alias("name")))
+
+
+@query("known_edges", f"WITH {DIVISORS} SELECT a.name AS src, b.name AS dst, b.k % a.k = 0 AND a.k < b.k AS known FROM dn a JOIN dn b ON b.k = a.k + 2 OR b.k = 2 * a.k")
+def known_edges(spark, sf):
+    g = d.divisors(spark, sf)
+    n = g.nodes.select("name", F.substring("name", 2, 3).cast("int").alias("k"))
+    wanted = n.select(F.col("name").alias("src"), F.explode(F.array_distinct(F.array(F.col("k") + 2, F.col("k") * 2))).alias("k"))
+    return g.known_edges(wanted.join(n.select("k", F.col("name").alias("dst")), "k"))
+
+
+@query("node_names", f"WITH {BASKETS} SELECT name FROM bn")
+def node_names(spark, sf):
+    return d.baskets(spark, sf).node_names()
+
+
+@query("edge_list", f"WITH {BASKETS} SELECT src, dst, weight FROM be")
+def edge_list(spark, sf):
+    return d.baskets(spark, sf).edge_list().select("src", "dst", "weight")
+
+
+@query("payloads_and_metadata", f"WITH {HIERARCHY} SELECT name, CASE WHEN name LIKE 'order:%' THEN 'o' || length(name) END AS payload, CASE WHEN name LIKE 'nation:%' THEN 'nation' END AS kind FROM hn")
+def payloads_and_metadata(spark, sf):
+    g = d.hierarchy(spark, sf)
+    g = g.with_payloads(g.matching_glob("order:*").select("name", F.concat(F.lit("o"), F.length("name").cast("string")).alias("payload")))
+    g = g.with_metadata(g.matching_glob("nation:*").select("name", F.create_map(F.lit("kind"), F.lit("nation")).alias("metadata")))
+    return g.nodes.select("name", "payload", F.col("metadata")["kind"].alias("kind"))
+
+
+@query("successors_of_each", f"WITH {HIERARCHY} SELECT src AS name, dst AS neighbour FROM he WHERE src LIKE 'nation:%'")
+def successors_of_each(spark, sf):
+    g = d.hierarchy(spark, sf)
+    return g.neighbours(g.matching_glob("nation:*"))
+
+
+@query("are_ancestors", f"WITH {DIVISORS} SELECT a.name AS src, b.name AS dst, b.k % a.k = 0 AS reaches FROM dn a JOIN dn b ON b.k > a.k")
+def are_ancestors(spark, sf):
+    g = d.divisors(spark, sf)
+    a, b = g.nodes.select(F.col("name").alias("src")), g.nodes.select(F.col("name").alias("dst"))
+    return g.are_ancestors(a.join(b, F.col("src") < F.col("dst")))
+
+
+@query("creating_cycles", f"WITH {TURNS} SELECT a.name AS src, b.name AS dst FROM tn a JOIN tn b ON a.conv_id = b.conv_id AND b.turn <= a.turn")
+def creating_cycles(spark, sf):
+    g = d.turns(spark, sf)
+    n = g.nodes.select("name", F.substring_index("name", "/", 1).alias("c"))
+    return g.creating_cycles(n.alias("a").join(n.alias("b"), "c").select(F.col("a.name").alias("src"), F.col("b.name").alias("dst")))
+
+
+@query("find_cycles", f"WITH {TURNS} SELECT min(name) AS cycle, list_aggregate(list_sort(list(name)), 'string_agg', ',') AS names FROM tn GROUP BY conv_id HAVING count(*) > 1 AND conv_id % 2 = 0")
+def find_cycles(spark, sf):
+    t = d.turns(spark, sf)
+    first = t.nodes.select("name", F.regexp_extract("name", r"turn:(\d+)/", 1).alias("c"), F.regexp_extract("name", r"/(\d+)$", 1).cast("long").alias("turn"))
+    ends = first.where("c % 2 = 0").groupBy("c").agg(F.max_by("name", "turn").alias("src"), F.min_by("name", "turn").alias("dst")).where("src <> dst").select("src", "dst")
+    found = t.add_edges(ends, check=False).find_cycles()
+    return found.select("cycle", F.array_join("names", ",").alias("names"))
+
+
+@query("explain_dominates", f"WITH {DIVISORS} SELECT a.name, coalesce(list_aggregate(list_sort(list(b.name) FILTER (b.name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM de x WHERE x.dst = b.name AND x.src <> a.name AND NOT EXISTS (SELECT 1 FROM de y WHERE y.src = x.src AND y.dst = a.name) AND NOT EXISTS (SELECT 1 FROM de y WHERE y.src = a.name AND y.dst = x.src)))), 'string_agg', ','), '') AS dominates FROM dn a LEFT JOIN de e ON e.src = a.name LEFT JOIN dn b ON b.name = e.dst GROUP BY a.name")
+def explain_dominates(spark, sf):
+    return analysis.explain(d.divisors(spark, sf)).select("name", F.array_join("dominates", ",").alias("dominates"))
+
+
+@query("all_topological_orders", f"WITH {DIVISORS}, s AS (SELECT name, k FROM dn WHERE k IN (1, 2, 3, 4)), p AS (SELECT a.name AS a, b.name AS b, c.name AS c, d.name AS d FROM s a, s b, s c, s d WHERE a.k = 1 AND b.k <> 1 AND c.k NOT IN (1, b.k) AND d.k NOT IN (1, b.k, c.k) AND NOT (b.k = 4 OR (c.k = 4 AND b.k <> 2))), o AS (SELECT *, row_number() OVER (ORDER BY a, b, c, d) - 1 AS i FROM p) SELECT CAST(i AS INTEGER) AS order_id, CAST(r AS INTEGER) AS rank, name FROM (SELECT i, 0 AS r, a AS name FROM o UNION ALL SELECT i, 1, b FROM o UNION ALL SELECT i, 2, c FROM o UNION ALL SELECT i, 3, d FROM o)")
+def all_topological_orders(spark, sf):
+    g = d.divisors(spark, sf)
+    return g.subgraph(g.nodes.where("name in ('s001', 's002', 's003', 's004')")).all_topological_orders()
+
+
+@query("merge_keep_first", f"WITH {TURNS} SELECT name, CASE WHEN turn % 2 = 0 THEN 'even' WHEN turn % 3 = 0 THEN 'third' ELSE 'first' END AS payload FROM (SELECT name, turn FROM tn WHERE turn % 2 = 0 OR turn % 3 = 0)")
+def merge_keep_first(spark, sf):
+    turn = F.regexp_extract("name", r"/(\d+)$", 1).cast("int")
+    n = d.turns(spark, sf).nodes.select("name", turn.alias("turn"))
+    none = d.turns(spark, sf).edges.limit(0)
+    a = Graph(n.where("turn % 2 = 0").select("name", F.lit("even").alias("payload")), none)
+    b = Graph(n.where("turn % 3 = 0").select("name", F.lit("third").alias("payload")), none)
+    return a.merge(b).nodes.select("name", "payload")
+
+
+@query("subgraph_backward", f"WITH {HIERARCHY} SELECT 'order:' || o_orderkey AS name FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) UNION ALL SELECT 'customer:' || o_custkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders) UNION ALL SELECT 'nation:' || c_nationkey FROM customer WHERE c_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders))")
+def subgraph_backward(spark, sf):
+    first = d.table(spark, sf, "orders").agg(F.min("o_orderkey")).first()[0]
+    return d.hierarchy(spark, sf).subgraph_by_depth(f"order:{first}", 2, "backward").nodes.select("name")
+
+
+@query("extract_partition", f"WITH {CHAINS}, m AS (SELECT max(lvl) + 1 AS depth FROM ck), p AS (SELECT name, least(3, floor(lvl / ceil(depth / 4.0))) AS q FROM ck, m) SELECT src, dst FROM ce JOIN p a ON a.name = src JOIN p b ON b.name = dst WHERE a.q = 1 AND b.q = 1")
+def extract_partition(spark, sf):
+    g = d.chains(spark, sf)
+    return g.extract_partition(g.partition_levels(4), 1).edges.select("src", "dst")
+
+
+@query("changed_graph", f"WITH {HIERARCHY} SELECT src, dst FROM he WHERE src <> 'nation:1' AND dst <> 'nation:1' AND NOT (src = 'region:0' AND dst IN (SELECT 'nation:' || min(n_nationkey) FROM nation WHERE n_regionkey = 0)) UNION ALL SELECT 'region:0', 'extra'")
+def changed_graph(spark, sf):
+    g = d.hierarchy(spark, sf)
+    least = d.table(spark, sf, "nation").where("n_regionkey = 0").agg(F.min("n_nationkey")).first()[0]
+    g = g.remove_edge("region:0", f"nation:{least}").remove_nodes(spark.createDataFrame([("nation:1",)], "name string"))
+    g = g.add_nodes(spark.createDataFrame([("extra",)], "name string")).add_edges(spark.createDataFrame([("region:0", "extra")], "src string, dst string"))
+    return g.snapshot().edges.select("src", "dst")
+
+
+@query("chrome_trace", "SELECT 'user:' || user_id AS name, CASE event_type WHEN 'view' THEN 'B' ELSE 'E' END AS ph, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type IN ('view', 'purchase', 'error') GROUP BY ALL")
+def chrome_trace(spark, sf):
+    from arbora.streaming.replay import chrome_trace as lines
+
+    ev = d.table(spark, sf, "events").where("event_type in ('view', 'purchase', 'error')")
+    kind = F.when(F.col("event_type") == "view", "node_started").when(F.col("event_type") == "purchase", "node_completed").otherwise("node_failed")
+    made = lines(ev.select(kind.alias("event_type"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("timestamp"), d._key("user", "user_id").alias("node_name")))
+    return made.select(F.from_json("line", "name string, ph string").alias("x")).groupBy("x.name", "x.ph").agg(F.count("*").alias("n"))
+
+
 # ---- selection language ----
 
 for _n, (_text, _sql) in {
@@ -453,7 +574,7 @@ for _n, (_text, _sql) in {
     query(_n, _sql)(lambda spark, sf, text=_text: select(d.divisors(spark, sf), text))
 
 
-@query("dsl_critical_path")
+@query("dsl_critical_path", f"WITH RECURSIVE {DIVISORS}, {_UNIT_BOTTOM}, {_DLEVEL}, {_KAHN}, cp AS (SELECT * FROM (SELECT 0 AS place, name, v FROM uv ORDER BY v DESC, name LIMIT 1) UNION ALL SELECT place + 1, n.name, n.v FROM cp, LATERAL (SELECT uv.name, uv.v FROM de JOIN uv ON uv.name = de.dst WHERE de.src = cp.name ORDER BY uv.v DESC, uv.name LIMIT 1) n) SELECT name, CAST(rank AS INTEGER) AS rank FROM cp JOIN q11 USING (name)")
 def dsl_critical_path(spark, sf):
     return select(d.divisors(spark, sf), "critical_path", ranked=True)
 
@@ -512,7 +633,9 @@ def replay_at(spark, sf):
 
 @query("trace_summary", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
 def trace_summary(spark, sf):
-    return d.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    from arbora.streaming.replay import summary
+
+    return summary(d.table(spark, sf, "events"))
 
 
 @query("version_at", "WITH m AS (SELECT event_id AS version, event_type, user_id FROM events), a AS (SELECT user_id::VARCHAR AS name, max(version) FILTER (event_type IN ('view', 'click', 'purchase')) AS added, max(version) FILTER (event_type = 'error') AS gone FROM m WHERE version <= (SELECT max(version) // 2 FROM m) GROUP BY user_id) SELECT name FROM a WHERE added IS NOT NULL AND (gone IS NULL OR added > gone)")

@@ -88,6 +88,11 @@ class ExecutionCallbacks:
     on_cache_hit: Callable | None = None
     on_step_start: Callable | None = None
     on_step_complete: Callable | None = None
+    on_gate_waiting: Callable | None = None
+    on_gate_resolved: Callable | None = None
+    on_dynamic_expand: Callable | None = None
+    on_resource_acquired: Callable | None = None
+    on_resource_released: Callable | None = None
 
     def fire(self, what: str, *args) -> None:
         fn = getattr(self, f"on_{what}", None)
@@ -188,12 +193,68 @@ class Plugin:
     def teardown(self) -> None: ...
 
 
+class _Registry:
+    """Things by name; a later one replaces an earlier one of its name."""
+
+    def __init__(self):
+        self._known: dict[str, object] = {}
+
+    def get(self, name: str):
+        return self._known.get(name)
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._known)
+
+    def _need(self, name: str):
+        if name not in self._known:
+            raise KeyError(f"{type(self).__name__} has no {name!r}")
+        return self._known[name]
+
+
+class SerializerRegistry(_Registry):
+    """Pairs (write, read) by format."""
+
+    def register(self, name: str, write: Callable, read: Callable) -> None:
+        self._known[name] = (write, read)
+
+    def dump(self, name: str, value: object) -> object:
+        return self._need(name)[0](value)
+
+    def load(self, name: str, data: object) -> object:
+        return self._need(name)[1](data)
+
+
+class ExecutorRegistry(_Registry):
+    """Executor classes by name; ``make`` builds one for a graph."""
+
+    def register(self, name: str, kind: type) -> None:
+        self._known[name] = kind
+
+    def make(self, name: str, dag, **options):
+        return self._need(name)(dag, **options)
+
+
+class NodeTypeRegistry(_Registry):
+    """Factories (node name, metadata) -> task by type."""
+
+    def register(self, name: str, factory: Callable) -> None:
+        self._known[name] = factory
+
+    def task(self, kind: str, node: str, metadata: object = None) -> Callable:
+        return self._need(kind)(node, metadata)
+
+    def tasks(self, nodes: dict[str, tuple[str, object]]) -> dict[str, Callable]:
+        """Tasks of nodes given as name -> (type, metadata), for an executor."""
+        return {n: self.task(kind, n, meta) for n, (kind, meta) in nodes.items()}
+
+
 class PluginManager:
     """Plugins of this process and of an entry-point group; one that fails doesn't stop the others."""
 
     def __init__(self, group: str = "arbora.plugins"):
         self.group, self.hooks, self.plugins = group, HookRegistry(), {}
-        self.serializers, self.executors, self.node_types = {}, {}, {}
+        self.serializers, self.executors, self.node_types = SerializerRegistry(), ExecutorRegistry(), NodeTypeRegistry()
 
     def add(self, plugin: Plugin) -> None:
         self.plugins[plugin.name] = plugin
@@ -220,3 +281,15 @@ class PluginManager:
 
     def teardown(self) -> None:
         self._each(lambda p: p.teardown())
+
+
+#: The manager that ``plugin`` registers with.
+manager = PluginManager()
+
+
+def plugin(kind: type) -> type:
+    """Class decorator: an instance joins the process's plugin manager."""
+    if not (isinstance(kind, type) and issubclass(kind, Plugin)):
+        raise TypeError(f"{kind!r} is not a Plugin class")
+    manager.add(kind())
+    return kind

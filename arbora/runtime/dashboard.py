@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import queue
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from arbora.runtime.base import ExecutionCallbacks
@@ -14,12 +15,14 @@ PAGE = "<!doctype html><title>runs</title><pre id=s></pre><script>const f=()=>fe
 
 
 class Dashboard:
-    """/ page, /api/state, /api/events (server-sent, a slow reader is told it lagged), /api/gates/<name>/approve|reject."""
+    """/ page, /api/state, /api/events (server-sent, a slow reader is told it lagged), /api/gates/<name>/approve|reject,
+    /api/profile (durations, critical path and slack of the run so far; 404 without a graph)."""
 
     QUEUE = 256
 
-    def __init__(self, gates: GateController | None = None, host: str = "127.0.0.1", port: int = 0):
+    def __init__(self, gates: GateController | None = None, host: str = "127.0.0.1", port: int = 0, dag=None):
         self.gates, self.status = gates or GateController(), {}
+        self.dag, self.started, self.seconds = dag, {}, {}
         self._readers: list[queue.Queue] = []
         board = self
 
@@ -37,6 +40,8 @@ class Dashboard:
                     self._send(PAGE, "text/html")
                 elif self.path == "/api/state":
                     self._send(json.dumps({"nodes": board.status, "gates": board.gates.to_dict()}))
+                elif self.path == "/api/profile" and board.dag is not None:
+                    self._send(json.dumps(board.profile()))
                 elif self.path == "/api/events":
                     self._events()
                 else:
@@ -84,8 +89,29 @@ class Dashboard:
 
     def _set(self, name: str, status: str) -> None:
         self.status[name] = status
+        if status == "running":
+            self.started[name] = time.monotonic()
+        elif name in self.started:
+            self.seconds[name] = time.monotonic() - self.started[name]
         self.publish({"node": name, "status": status})
 
+    def profile(self) -> dict:
+        """Seconds by node, the path that the run can't be shorter than, and how much later each node could end."""
+        adj = self.dag.adjacency
+        cost = [self.seconds.get(n, 0.0) for n in adj.names]
+        down = adj.bottom_levels(cost.__getitem__)
+        head = [0.0] * len(cost)
+        for i in adj.kahn():
+            for j in adj.out[i]:
+                head[j] = max(head[j], head[i] + cost[i])
+        whole = max(down, default=0.0)
+        slack = {n: whole - head[i] - down[i] for i, n in enumerate(adj.names)}
+        path, at = [], max(range(len(down)), key=lambda i: (down[i], -adj.place[i]), default=None)
+        while at is not None:
+            path.append(adj.names[at])
+            at = max(adj.out[at], key=lambda i: (down[i], -adj.place[i]), default=None)
+        return {"seconds": self.seconds, "makespan": whole, "critical_path": path, "slack": slack}
+
     def callbacks(self) -> ExecutionCallbacks:
         return ExecutionCallbacks(
             on_start=lambda n: self._set(n, "running"), on_complete=lambda n, v: self._set(n, "completed"), on_failure=lambda n, e: self._set(n, "failed"),

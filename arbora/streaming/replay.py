@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import pickle
+import threading
+import time
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +17,71 @@ RUN_LOG = "t double, name string, fp string, dur_ns long, effect string, replaya
 TRACE = "event_type string, timestamp double, node_name string, step_index int, duration double, error string, metadata map<string,string>"
 
 
+class RunLogWriter:
+    """Appends records of a run to ``<folder>/<run>.jsonl``; values go to ``<folder>/values``, equal ones once.
+
+    A value's file is named by the hash of its pickle (``fp`` of the record), so runs that give the same value
+    share it.  Written by the driver: the folder must be one that it and the readers share.
+    """
+
+    def __init__(self, folder: str, run: str):
+        self.folder, self.values = Path(folder), Path(folder, "values")
+        self.values.mkdir(parents=True, exist_ok=True)
+        self._file = (self.folder / f"{run}.jsonl").open("a", encoding="utf-8")
+        self._turn, self._zero = threading.Lock(), time.monotonic()
+
+    def record(self, name: str, value: object = None, seconds: float = 0.0, effect: str = "pure", error: str | None = None, metadata: dict | None = None) -> str | None:
+        """The fingerprint of the value; values that can't be pickled are noted as not replayable."""
+        fp = None
+        if error is None:
+            try:
+                raw = pickle.dumps(value)
+            except Exception:  # noqa: BLE001
+                raw = None
+            if raw is not None:
+                fp = hashlib.sha256(raw).hexdigest()
+                self._keep(fp, raw)
+        row = {"t": time.monotonic() - self._zero, "name": name, "fp": fp, "dur_ns": int(seconds * 1e9), "effect": effect, "replayable": fp is not None, "error": error, "metadata": {str(k): str(v) for k, v in (metadata or {}).items()}}
+        with self._turn:
+            self._file.write(json.dumps(row) + "\n")
+            self._file.flush()
+        return fp
+
+    def _keep(self, fp: str, raw: bytes) -> None:
+        at = self.values / fp
+        if not at.exists():
+            part = self.values / f"{fp}.{os.getpid()}.{threading.get_ident()}.part"
+            part.write_bytes(raw)
+            part.replace(at)
+
+    def value(self, fp: str) -> object:
+        return pickle.loads((self.values / fp).read_bytes())
+
+    def callbacks(self):
+        """Callbacks that record every node of a run."""
+        from arbora.runtime.base import ExecutionCallbacks
+
+        began: dict[str, float] = {}
+        took = lambda n: time.monotonic() - began.get(n, time.monotonic())
+        return ExecutionCallbacks(
+            on_start=lambda n: began.__setitem__(n, time.monotonic()), on_complete=lambda n, v: self.record(n, v, took(n)), on_failure=lambda n, e: self.record(n, seconds=took(n), error=repr(e)),
+        )
+
+    def close(self) -> None:
+        self._file.close()
+
+    def __enter__(self) -> RunLogWriter:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+
+def summary(trace: DataFrame) -> DataFrame:
+    """event_type, n: how often each kind of event occurs in a trace."""
+    return trace.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of a folder and all below it; lines that don't parse are dropped."""
     return spark.read.schema(RUN_LOG).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)

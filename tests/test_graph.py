@@ -182,3 +182,105 @@ def test_divisors_of_large_sizes(spark, tmp_path):
     spark.createDataFrame([(300,), (600,), (900,), (7,)], "p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = derived.divisors(spark, str(tmp_path)).edges.collect()
     assert sorted((r["src"], r["dst"]) for r in got) == [("s300", "s600"), ("s300", "s900")]
+
+
+# ---- cycles, checks, iterators, parts ----
+
+
+@pytest.mark.parametrize("strategy", ["kernel", "rounds"])
+def test_cycles(spark, strategy):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("f", "g"), ("g", "f"), ("h", "h"), ("e", "f")]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src string, dst string"), strategy=strategy)
+    assert {r["cycle"]: r["names"] for r in g.find_cycles().collect()} == {"a": ["a", "b", "c"], "f": ["f", "g"], "h": ["h"]}
+    assert col(g.cyclic_core()) == ["a", "b", "c", "f", "g", "h"]
+    with pytest.raises(CycleError) as e:
+        g.validate()
+    assert e.value.args and g.cycle_through("a") == ["a", "b", "c", "a"] and g.cycle_through("d") == [] and g.cycle_through("h") == ["h", "h"]
+
+
+def test_closing_path_and_checked_changes(graph):
+    spark = graph.spark
+    assert graph.closing_path("f", "a") == ["a", "b", "d", "f"] and graph.closing_path("a", "f") is None and graph.closing_path("a", "a") == ["a"]
+    assert graph.would_create_cycle("f", "a") and not graph.would_create_cycle("a", "f")
+    pair = lambda *p: spark.createDataFrame(list(p), "src string, dst string")
+    with pytest.raises(CycleError):
+        graph.add_edges(pair(("f", "a")))
+    with pytest.raises(NodeNotFoundError):
+        graph.add_edges(pair(("a", "nobody")))
+    with pytest.raises(DuplicateNodeError):
+        graph.add_nodes(spark.createDataFrame([("a",)], "name string"))
+    with pytest.raises(CycleError):
+        graph.collapse(["a", "f"], "af")
+    with pytest.raises(CycleError):
+        graph.merge(Graph.from_edges(pair(("f", "a"))))
+    assert graph.merge(Graph.from_edges(pair(("f", "z")))).node_count() == graph.node_count() + 1
+    assert graph and not Graph(graph.nodes.limit(0), graph.edges.limit(0))
+    assert [tuple(r) for r in graph.creating_cycles(pair(("f", "a"), ("a", "f"), ("b", "b"))).orderBy("src").collect()] == [("b", "b"), ("f", "a")]
+
+
+def test_iterators(graph, dag):
+    assert list(graph.iter_roots()) == sorted(dag.roots()) and list(graph.iter_leaves()) == sorted(dag.leaves())
+    assert list(graph.iter_ancestors("f")) == sorted(dag.ancestors("f")) and list(graph.iter_descendants("b")) == sorted(dag.descendants("b"))
+    assert list(graph.iter_topological()) == dag.topological_sort()
+    assert [sorted(x) for x in graph.iter_levels()] == [sorted(x) for x in dag.topological_levels()]
+
+
+def test_paths_with_a_limit_are_the_first(graph, dag):
+    every = sorted(dag.all_paths("a", "f"))
+    for n in range(1, len(every) + 2):
+        assert sorted(r["path"] for r in graph.all_paths("a", "f", n).collect()) == every[:n]
+
+
+def test_all_orders(spark, graph, dag):
+    sub = ["b", "c", "d", "e", "f"]
+    got = graph.subgraph(sub).all_topological_orders().orderBy("order_id", "rank").collect()
+    orders = {}
+    for r in got:
+        orders.setdefault(r["order_id"], []).append(r["name"])
+    below = {n: dag.descendants(n) for n in sub}
+    assert len(orders) == len(set(map(tuple, orders.values()))) and list(orders.values()) == sorted(orders.values())
+    assert all(o.index(n) < o.index(m) for o in orders.values() for n in sub for m in below[n] if m in sub)
+    assert graph.subgraph(sub).all_topological_orders(2).select("order_id").distinct().count() == 2
+    deep = Graph.from_edges(spark.createDataFrame([(f"n{k:05d}", f"n{k + 1:05d}") for k in range(3000)], "src string, dst string"))
+    assert deep.all_topological_orders(3).count() == 3001
+
+
+def test_dominated(graph, dag):
+    for r in analysis.explain(graph).collect():
+        n, up, down = r["name"], dag.ancestors(r["name"]), dag.descendants(r["name"])
+        want = sorted(m for m in down if not (dag.ancestors(m) - {n} - up - down))
+        assert r["dominates"] == want, n
+
+
+def test_parts(spark, graph, dag):
+    import random
+
+    from arbora.kernels import Adjacency
+
+    r = random.Random(4)
+    names = [f"n{k:03d}" for k in range(60)]
+    edges = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if r.random() < 0.06]
+    g = Graph(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(edges, "src string, dst string"))
+    adj = Adjacency(names, edges)
+    cost = {n: float(r.randint(0, 9)) for n in names}
+    costs = spark.createDataFrame(list(cost.items()), "name string, cost double")
+    for k in (1, 3, 7, 100):
+        assert as_map(g.partition_balanced(k, costs), "name", "partition_id") == dict(zip(names, adj.part_balanced(k, lambda i: cost[names[i]])))
+    for k in (2, 4):
+        start, part = adj.part_by_levels(k), adj.part_low_cut(k, lambda i: cost[names[i]])
+        cut = lambda p: sum(p[names.index(a)] != p[names.index(b)] for a, b in edges)
+        assert set(part) == set(start) and cut(part) <= cut(start) and all(part[names.index(a)] <= part[names.index(b)] for a, b in edges)
+
+
+def test_components_whole_and_in_rounds(spark):
+    import random
+
+    from arbora.operators import fixpoint
+
+    r = random.Random(2)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)]
+    e = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    rounds = {tuple(x) for x in fixpoint.components(e).collect()}
+    assert {tuple(x) for x in fixpoint.components(e, whole=10_000).collect()} == rounds
+    assert {tuple(x) for x in fixpoint.components(e, whole=10).collect()} == rounds
+    assert fixpoint.components(e.limit(0), whole=10).count() == 0
