@@ -4,7 +4,8 @@ Vectors become integers floor(scale * x).  With M the largest norm, x' = (x, sqr
 q' = (q, 0) turn the inner product into a metric: |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, so nearest in x'
 is best in q.x, and the triangle inequality holds.
 
-Rows are dealt to pages by the nearest of some pivots (chosen from a bounded sample of ``SAMPLE`` rows);
+Rows are dealt to pages by the nearest of some pivots (from a sample of rows; their number follows the rows,
+beyond ``MAX_PIVOTS`` as the square root, and so do the pages' sizes);
 every page keeps its covering radius, large pages are split by hash.  A page is an M-tree: routing
 objects with covering radii and parent distances.  Each query first searches its nearest page, then
 every other page that its k-th best score so far doesn't exclude, so the result is exact whatever the
@@ -13,14 +14,17 @@ computing their distance.  Leaf scores are integers.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null
 vec_id, take no part; vectors of different lengths are compared as if the shorter had zeros behind it;
-equal vec_ids in several rows are candidates each (a query never meets rows of its own id, and rows
-that repeat a query's id ask once); components over 2^24 are scored without pruning in whole numbers,
-cut off at the range of a long.
+equal vec_ids in several rows are candidates each (a query never meets rows of its own id; rows that
+repeat a query's id and vector ask once, those with its id and another vector ask with it, for one list of
+the k best); where the product of two norms passes 2^52, and with it what sums in floating point hold
+exactly, scores are made in whole numbers without pruning, cut off at the range of a long; an empty
+table gives no rows; columns other than vec_id and embedding are not read and may have any name.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +39,10 @@ K = 5
 SAMPLE = 4096
 PAGE = 4096
 MAX_PIVOTS = 1024
-SPLIT = 8192
+SPLIT = 2048
 QUERY_CHUNK = 20_000
 LEAF, FANOUT = 64, 16
-WIDE = 1 << 24
+EXACT = 2.0**52
 LONG_MAX = (1 << 63) - 1
 
 
@@ -71,14 +75,19 @@ def unpack(raw: bytes) -> list[int] | np.ndarray:
 
 
 def matrix(vectors: list, dim: int) -> np.ndarray:
-    """Rows padded with zeros; whole numbers of any size as objects if some are wide."""
-    wide = any(isinstance(v, list) or (len(v) and max(abs(int(v.max())), abs(int(v.min()))) > WIDE) for v in vectors)
+    """Rows padded with zeros; whole numbers of any size as objects if some don't fit 64 bits."""
+    wide = any(isinstance(v, list) for v in vectors)
     out = np.zeros((len(vectors), dim), object if wide else np.float64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = [int(x) for x in v] if wide else v
     return out
 
 
+def longest(x: np.ndarray) -> float:
+    """Largest norm of the rows."""
+    return float(np.sqrt(np.square(x.astype(np.float64)).sum(1)).max()) if len(x) else 0.0
+
+
 class MTree:
     """M-tree over integer vectors (float64 rows), bulk-loaded; distances in the augmented space."""
 
@@ -171,7 +180,9 @@ def searched(ids: list[int], vectors: list, queries: list[tuple[int, object, flo
     dim = max(max((len(v) for v in vectors), default=0), max((len(v) for _, v, _ in queries), default=0))
     x, q = matrix(vectors, dim), matrix([v for _, v, _ in queries], dim)
     out = []
-    if x.dtype == object or q.dtype == object:
+    # no partial sum of a product exceeds the product of the norms
+    if x.dtype == object or q.dtype == object or not longest(x) * longest(q) < EXACT:
+        x, q = (matrix([[int(c) for c in v] for v in vs], dim) for vs in (vectors, [v for _, v, _ in queries]))
         xs = x.astype(object)
         for (own, _, _), row in zip(queries, q.astype(object)):
             got = sorted(((int(s), -i) for s, i in zip(xs @ row, ids) if i != own), reverse=True)[:k]
@@ -204,12 +215,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     shape = "vec_id long, q binary, norm2 double"
     pick = [F.col("vec_id").cast("long"), F.col("embedding")]
     rows = checkpoint(vectors.select(*pick).mapInArrow(quantise, shape))
-    asked = checkpoint(queries.select(*pick).mapInArrow(quantise, shape).dropDuplicates(["vec_id"]))
+    asked = checkpoint(queries.select(*pick).mapInArrow(quantise, shape).dropDuplicates(["vec_id", "q"]))
     n, norm2, wide = rows.agg(F.count("*"), F.max("norm2"), F.max(F.length("q"))).first()
     n_asked = asked.count()
     norm2 = float(norm2 or 0.0)
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("q").collect()  # bounded sample
-    n_pivots = max(1, min(MAX_PIVOTS, len(some), n // PAGE))
+    most = max(MAX_PIVOTS, math.isqrt(n))
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, 4 * most)).select("q").collect()
+    n_pivots = max(1, min(most, len(some), n // PAGE))
     seen = [unpack(r[0]) for r in some]
     plain = [v for v in seen if not isinstance(v, list)] or [np.zeros(1, np.int64)]
     step = max(1, len(plain) // n_pivots)
@@ -239,7 +251,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near], pa.float64())], ["vec_id", "q", "page", "d"])
 
     placed = checkpoint(rows.mapInArrow(place, "vec_id long, q binary, page int, d double"))
-    # at most MAX_PIVOTS rows
+    # a row for each pivot
     pages = {r["page"]: (r["n"], r["r"]) for r in placed.groupBy("page").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}
     names = sorted(pages)
     radius = np.array([pages[p][1] for p in names])
