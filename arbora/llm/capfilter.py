@@ -8,7 +8,9 @@ tried one by one.  Vectors that share a filter are compared exactly, in double p
 The number of filters follows the number of vectors and the threshold follows from it, so that a vector
 passes about ``CAPS`` filters and a filter meets a bounded number of unrelated vectors at any size.  There
 are ``TABLES`` codes of independent rotations, and a vector that exceeds few filters of a code takes its
-``NEAREST`` ones, so that none has too few to meet its neighbours.
+``NEAREST`` ones, so that none has too few to meet its neighbours.  Where made-up pairs at ``NEAR_COSINE`` still
+miss each other too often (short vectors), codes are added, and beyond ``MAX_TABLES`` wider caps taken, until
+``RECALL`` of them meet, at any number of vectors.
 
 A pair that shares several filters counts in the smallest of them only (each vector carries its list), so
 no list of pairs is ever written: filters give sums of links and a spanning star of their components.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -41,6 +44,10 @@ NEAREST = 6
 BLOCK = 1024
 PART_ROWS = 16_000
 SEED = 5
+NEAR_COSINE = 0.951
+RECALL = 0.98
+TRIALS = 400
+MAX_TABLES = 12
 
 
 class Table:
@@ -88,11 +95,41 @@ class Table:
         return out
 
 
+def made_up_pairs(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in two arrays, row by row at ``NEAR_COSINE``."""
+    r = np.random.default_rng([seed, dim, 77])
+    x = r.standard_normal((TRIALS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim == 1:
+        return x, x
+    away = r.standard_normal(x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return x, NEAR_COSINE * x + math.sqrt(1 - NEAR_COSINE**2) * away
+
+
+@lru_cache(8)
+def filters_of(dim: int, n: int, caps: int) -> Filters:
+    """One set of codes per worker process."""
+    return Filters(dim, n, caps)
+
+
 class Filters:
-    """``TABLES`` product codes; filter numbers of one table follow those of the one before."""
+    """``TABLES`` product codes or more; filter numbers of one table follow those of the one before."""
 
     def __init__(self, dim: int, n: int, caps: int = CAPS, seed: int = SEED):
-        self.tables = [Table(dim, n, caps / TABLES, [seed, dim, t]) for t in range(TABLES)]
+        x, y = made_up_pairs(dim, seed)
+        while True:
+            self.tables: list[Table] = []
+            apart = np.ones(len(x), bool)
+            while len(self.tables) < TABLES or (apart.mean() > 1 - RECALL and len(self.tables) < MAX_TABLES):
+                t = Table(dim, n, caps / TABLES, [seed, dim, len(self.tables)])
+                self.tables.append(t)
+                at = np.flatnonzero(apart)
+                apart[at] = [not len(np.intersect1d(p, q, True)) for p, q in zip(t.passed(x[at]), t.passed(y[at]))]
+            if apart.mean() <= 1 - RECALL or n < 16:
+                return
+            n //= 4  # so few dimensions that caps of this many filters are narrower than neighbours are apart
 
     def passed(self, unit: np.ndarray) -> list[np.ndarray]:
         """Sorted filter numbers of each row."""
@@ -104,18 +141,27 @@ def raw_vector(values: list | None) -> bytes | None:
     """Bytes of a vector that can link; None otherwise."""
     if not values or any(v is None for v in values):
         return None
-    a = np.asarray(values, np.float64)
-    return (a + 0.0).tobytes() if np.isfinite(a).all() and a.any() else None  # + 0.0: one zero
+    a = np.asarray(values, np.float64) + 0.0  # one zero
+    if not np.isfinite(a).all() or not a.any():
+        return None
+    with np.errstate(over="ignore"):
+        short = a.astype(np.float32)
+    # half the bytes where nothing is lost; the first byte says which
+    return b"f" + short.tobytes() if (short.astype(np.float64) == a).all() else b"d" + a.tobytes()
+
+
+def length_of(raw: bytes) -> int:
+    return (len(raw) - 1) // (4 if raw[:1] == b"f" else 8)
 
 
 def unit_rows(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    x = np.stack([np.frombuffer(r, np.float32 if r[:1] == b"f" else np.float64, offset=1).astype(np.float64) for r in raw])
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def linked(unit_a: np.ndarray, unit_b: np.ndarray | None, lists_a: list[np.ndarray], lists_b: list[np.ndarray] | None, own: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) at or above the threshold whose smallest shared filter is ``own``; within a if b is None."""
+def linked(unit_a: np.ndarray, unit_b: np.ndarray | None, lower_a: list[np.ndarray], lower_b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) at or above the threshold that share none of the lower filters; within a if b is None."""
     sims = unit_a @ (unit_a if unit_b is None else unit_b).T
     near = sims >= threshold
     if unit_b is None:
@@ -123,9 +169,7 @@ def linked(unit_a: np.ndarray, unit_b: np.ndarray | None, lists_a: list[np.ndarr
     i, j = np.nonzero(near)
     if not len(i):
         return i, j
-    lower_a = [x[: np.searchsorted(x, own)] for x in lists_a]
-    lower_b = lower_a if lists_b is None else [x[: np.searchsorted(x, own)] for x in lists_b]
-    names = np.unique(np.concatenate([*lower_a, *lower_b]))
+    names = np.unique(np.concatenate([*lower_a, *(lower_b or [])]))
     if len(names):
         def table(lists: list[np.ndarray]) -> np.ndarray:
             t = np.zeros((len(lists), len(names)), np.float32)
@@ -134,7 +178,7 @@ def linked(unit_a: np.ndarray, unit_b: np.ndarray | None, lists_a: list[np.ndarr
             return t
 
         a = table(lower_a)
-        shared = a @ (a if lists_b is None else table(lower_b)).T > 0
+        shared = a @ (a if lower_b is None else table(lower_b)).T > 0
         keep = ~shared[i, j]
         i, j = i[keep], j[keep]
     return i, j
@@ -157,22 +201,26 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, caps: int = CAP
         for batch in batches:
             raw = batch.column(0).to_pylist()
             lists: list = [None] * len(raw)
-            for dim in {len(x) // 8 for x in raw}:
-                at = [i for i, x in enumerate(raw) if len(x) == 8 * dim]
+            for dim in {length_of(x) for x in raw}:
+                at = [i for i, x in enumerate(raw) if length_of(x) == dim]
                 if dim not in known:
-                    known[dim] = Filters(dim, count, caps)
+                    known[dim] = filters_of(dim, count, caps)
                 for i, f in zip(at, known[dim].passed(unit_rows([raw[i] for i in at]))):
                     lists[i] = f
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], ["raw", "rep", "n", "filters"])
-
-    passed = checkpoint(classes.mapInArrow(decode, "raw binary, rep long, n long, filters array<long>"))
-    member = passed.select("*", F.length("raw").alias("dim"), F.explode("filters").alias("filter"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64() if many else pa.int32()))], ["raw", "rep", "n", "filters"])
+
+    many = count * MAX_TABLES * 8 >= 1 << 31  # filter numbers beyond 32 bits
+    passed = checkpoint(classes.mapInArrow(decode, f"raw binary, rep long, n long, filters array<{'long' if many else 'int'}>"))
+    dim = F.expr("(length(raw) - 1) div if(substring(raw, 1, 1) = X'66', 4, 8)").cast("int").alias("dim")
+    # a member carries the filters below this one only: a pair counts in the smallest that it shares
+    member = passed.select("raw", "rep", "n", "filters", dim, F.posexplode("filters").alias("place", "filter"))
+    member = member.withColumn("lower", F.slice("filters", F.lit(1), F.col("place"))).drop("filters", "place")
     heavy = member.groupBy("dim", "filter").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
     member = member.join(heavy, ["dim", "filter"], "left")
     groups = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
     member = member.withColumn("groups", groups).withColumn("mine", F.pmod(F.xxhash64("raw"), F.col("groups")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    member = member.select("raw", "rep", "n", "filters", "dim", "filter", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    member = member.select("raw", "rep", "n", "lower", "dim", "filter", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     parts = max(1, count * caps // PART_ROWS)
     member = member.withColumn("part", F.pmod(F.xxhash64("dim", "filter", "low", "high"), F.lit(parts)).cast("int"))
 
@@ -181,23 +229,23 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, caps: int = CAP
         keys = np.stack([table[c].to_numpy().astype(np.int64) for c in ("dim", "filter", "low", "high")], 1)
         rep, n, mine = (table[c].to_numpy() for c in ("rep", "n", "mine"))
         raw = table["raw"]
-        lists = table["filters"].combine_chunks() if table["filters"].num_chunks != 1 else table["filters"].chunk(0)
+        lists = table["lower"].combine_chunks() if table["lower"].num_chunks != 1 else table["lower"].chunk(0)
         new = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         edges = [0, *new.tolist(), len(keys)]
         out: list[tuple[int, int, int]] = []
         for a, b in zip(edges, edges[1:]):
             if b - a < 2:
                 continue
-            _, f, low, high = keys[a]
+            _, _, low, high = keys[a]
             unit = unit_rows(raw.slice(a, b - a).to_pylist())
             own = [np.asarray(lists[k].values) for k in range(a, b)]
             if low == high:
-                i, j = linked(unit, None, own, None, f, threshold)
+                i, j = linked(unit, None, own, None, threshold)
             else:
                 x, y = np.flatnonzero(mine[a:b] == low), np.flatnonzero(mine[a:b] == high)
                 if not len(x) or not len(y):
                     continue
-                i, j = linked(unit[x], unit[y], [own[k] for k in x], [own[k] for k in y], f, threshold)
+                i, j = linked(unit[x], unit[y], [own[k] for k in x], [own[k] for k in y], threshold)
                 i, j = x[i], y[j]
             if not len(i):
                 continue
