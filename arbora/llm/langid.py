@@ -2,12 +2,14 @@
 
 Features are hashed counts of letter 1-, 2- and 3-grams of the whole lower-cased text (square roots,
 unit length).  A linear SVM per family decides the family; within the family one linear SVM per pair
-of languages votes.  The classifier is fitted on a bounded sample: at most ``PER_LANG`` rows of each
-language, those with the smallest hash of doc_id.  Prediction reads whole texts of all rows.
+of languages votes.  The classifier is fitted on a bounded sample: at most ``PER_LANG`` different rows of
+each language, those with the smallest hash of doc_id.  Prediction reads whole texts of all rows.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no rows to learn from
 everything is ``und``; a language that ``FAMILIES`` doesn't name is a family of its own; a null doc_id
-is neither learned from nor held out (held_out false); repeated rows stay rows.
+is neither learned from nor held out (held_out false); repeated rows stay rows and are learned from once;
+very long texts are read whole, a stretch at a time; an empty table gives no rows; columns other than
+doc_id, text and lang are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import crc_mod
+from arbora.llm.common import checkpoint, crc_mod
 
 PER_LANG = 1500
 DIM = 1 << 14
 STRETCH = 1 << 18
 EPOCHS = 8
 PARTS = 64
+BROADCAST_ROWS = 200_000
 
 # Families of common language codes.
 FAMILIES = {
@@ -159,11 +162,15 @@ def fit(docs: DataFrame, held_out, per_lang: int = PER_LANG) -> dict:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out & F.col("doc_id").isNotNull())
     # a common language is first cut down in parts of its own, so that no task sees all of its rows
-    order = lambda *by: Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("__part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))
-    for by in (["lang", "__part"], ["lang"]):
-        ids = ids.withColumn("__n", F.row_number().over(order(*by))).where(F.col("__n") <= per_lang)
-    sample = rows.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"])
+    order = lambda *by: Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "tx")
+    rows = rows.withColumn("tx", F.xxhash64("text"))
+    ids = rows.select("doc_id", "lang", "tx").distinct().withColumn("part", F.pmod(F.hash("doc_id", "tx"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        ids = ids.withColumn("place", F.row_number().over(order(*by))).where(F.col("place") <= per_lang)
+    ids = checkpoint(ids.select("doc_id", "lang", "tx"))
+    # three short columns; as many languages as a broadcast holds, beyond that an ordinary join
+    picked = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    sample = rows.join(picked, ["doc_id", "lang", "tx"]).dropDuplicates(["doc_id", "lang", "tx"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
