@@ -11,7 +11,9 @@
 
 Only the table of sources is ordered as a whole; documents meet in shards of bounded size.
 
-Defined cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last
+Defined cases: null and empty texts have size 0 and are taken 0 times; texts of any length count whole; rows
+with one doc_id, source and size (and text, where the id is null) are mixed alike; columns other than doc_id,
+text and source are not read and may have any name; a null source is a source of its own, last
 in order; an empty table gives no rows; repeated rows are rows of their own; a source without words
 has target 0.
 """
@@ -82,13 +84,18 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of ``docs``."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK, seed: str = SEED, keyed: bool = False) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken for every row of ``docs``.
+
+    With ``keyed`` also key, a hash of the text that tells apart rows without a doc_id.
+    """
     fine = 1 << FINE_BITS
     sized = docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
         (seeded_hash(F.col("doc_id"), seed=f"{seed}-shard") % fine).alias("fine"),
+        *([_row_key().alias("key")] if keyed else []),
     )
+    more = ["key"] if keyed else []
     sums = checkpoint(sized.groupBy("source", "fine").agg(F.sum("size").alias("words")))
     sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     sources = sources.withColumn("seats", F.floor(F.col("total") / block + 0.5))
@@ -107,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     places = places.join(q, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard")))
     places = checkpoint(places.select(F.col("source").alias("__source"), F.col("fine").alias("__fine"), "source_size", "target", "shard", "quota", "blocks", "phase"))
     rows = sized.join(places, F.col("source").eqNullSafe(F.col("__source")) & (F.col("fine") == F.col("__fine")))
-    line = Window.partitionBy("source", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("doc_id").cast("string"))), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("doc_id").cast("string"))), "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__s", F.coalesce(F.sum("size").over(line), F.lit(0)))
     start, end, b = F.col("__s"), F.col("__s") + F.col("size"), F.lit(block).cast("long")
     first, last = _div(start, b), _div(end - 1, b)
@@ -118,7 +125,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         .when(first == last, times(first) * F.col("size"))
         .otherwise(times(first) * ((first + 1) * b - start) + b * (before(last) - before(first + 1)) + times(last) * (end - last * b))
     )
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *more)
+
+
+def _row_key() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0)).cast("long")
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
@@ -127,16 +138,17 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     A broken number of times is rounded up or down by a seeded number of the document, so that the
     words of a source stay near its target; documents without a word are left out.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    got = mix(docs, seed=seed, **how)
-    got = got.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
+    got = mix(docs, seed=seed, keyed=True, **how)
+    got = got.where("taken > 0").groupBy("doc_id", "source", "size", "key").agg(F.max("taken").alias("taken"))
     times = F.col("taken") / F.col("size")
-    luck = seeded_hash(F.col("doc_id"), seed=f"{seed}-copies") / float(1 << 32)
-    got = got.withColumn("__times", (F.floor(times) + F.when(luck < times - F.floor(times), 1).otherwise(0)).cast("int")).where("__times > 0")
-    got = got.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__size"), "__times")
-    rows = docs.withColumn("__words", word_count(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__src")) & (F.col("__words") == F.col("__size"))
-    return rows.join(got, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*cols)
+    luck = seeded_hash(F.col("doc_id"), F.col("key"), seed=f"{seed}-copies") / float(1 << 32)
+    got = got.withColumn("times", (F.floor(times) + F.when(luck < times - F.floor(times), 1).otherwise(0)).cast("int")).where("times > 0")
+    got = got.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("size").alias("n"), F.col("key").alias("k"), "times")
+    # the row travels as one column, so no name of it can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _row_key().alias("key"))
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("n")) & (F.col("key") == F.col("k"))
+    return rows.join(got, on).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def mix_query(docs: DataFrame) -> DataFrame:

@@ -147,9 +147,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = simhash_components(docs, radius)
     named = found.where("doc_id = component_id").select("doc_id").distinct()
     nameless = found.where("component_id is null and fp = label").select("fp").distinct()
-    kept = docs.join(named.withColumnRenamed("doc_id", "__id"), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[c.cast("string").asc_nulls_last() for c in cols])
-    kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*cols)
+    # the row travels as one column, so no name of it can clash
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*cols).alias("row"), F.array(*[c.cast("string") for c in cols]).alias("order"))
+    kept = packed.join(named.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("order"))).where("place = 1").select("row.*")
     without = docs.where("doc_id is null")
     if nameless.isEmpty():
         return kept
@@ -271,8 +272,10 @@ def _release(df: DataFrame) -> None:
 
 def shared_shingles(nodes: DataFrame) -> DataFrame:
     """(h, node, n, i) for every shingle h that the prefixes of several nodes hold, i its place in them."""
-    groups = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h")).groupBy("h").agg(F.collect_list(F.struct("node", "n", "i")).alias("g"))
-    return checkpoint(groups.where("size(g) > 1").select("h", F.explode("g").alias("m")).select("h", "m.*"))
+    held = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
+    # a window, which spills, instead of a list of all that hold a common shingle
+    held = held.withColumn("holders", F.count("*").over(Window.partitionBy("h"))).where("holders > 1")
+    return checkpoint(held.select("h", "node", "n", "i"))
 
 
 def star_pairs(nodes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -331,7 +334,8 @@ def keep_one_similar(docs: DataFrame) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in docs.columns]
     best = similar_components(docs).groupBy("label").agg(F.min("rep").alias("rep"))
     best = best.select(F.col("rep.doc_id").alias("__id"), F.col("rep.tx").alias("__tx"))
-    rows = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(best, (F.col("__own") == F.col("__tx")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy("__own", "doc_id").orderBy(*[c.cast("string").asc_nulls_last() for c in cols])
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*cols)
+    # the row travels as one column, so no name of it can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tx"), F.struct(*cols).alias("row"))
+    rows = rows.join(best, (F.col("tx") == F.col("__tx")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    order = Window.partitionBy("tx", "id").orderBy(F.array(*[F.col("row").getField(c).cast("string") for c in docs.columns]))
+    return rows.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")

@@ -81,6 +81,22 @@ def test_wide_components():
     assert got == [(9, 2, 6 * 10**9 + 1), (9, 1, 10**9)]
 
 
+def test_exact_past_many_wide_components():
+    """Where sums in floating point are no longer exact, whole numbers decide."""
+    r = random.Random(3)
+    xs = [[r.randint(-(2**24), 2**24) for _ in range(64)] for _ in range(60)]
+    xs += [[*xs[0][:-1], xs[0][-1] + 1], [*xs[0][:-1], xs[0][-1] - 1]]
+    got = mtree.searched(list(range(62)), [np.array(v) for v in xs], [(99, np.array(xs[0]), -np.inf)], 5, 0.0)
+    want = sorted((-sum(a * b for a, b in zip(xs[0], x)), i) for i, x in enumerate(xs))[:5]
+    assert got == [(99, i, -s) for s, i in want]
+
+
+def test_search_with_repeated_query_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 5.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = collected(mtree.search_query(df))
+    assert got == [(0, 1, 2, 5 * 65536), (0, 2, 1, 3 * 65536), (0, 3, 3, 65536), (0, 4, 3, 65536), (0, 5, 1, 0)]
+
+
 # ---- 2: language model ----
 
 
@@ -142,6 +158,19 @@ def test_highest_quotients(spark):
     assert got == {k: sum(x == k for _, x in heap) for k in "abcd"}
 
 
+def test_mixed_documents_with_clashing_names_and_null_ids(spark):
+    cols = "doc_id long, text string, source string, __words long, times int, row string, key long, size string"
+    rows = [(i if i % 3 else None, f"word {i} " * (1 + i % 5), "s", -1, -1, "r", -1, "z") for i in range(60)]
+    got = mixing.mixed_documents(spark.createDataFrame(rows, cols))
+    assert got.columns == [c.split()[0] for c in cols.split(", ")]
+    kept = got.collect()
+    words = lambda some: sum(len(r[1].split()) for r in some)
+    assert {tuple(r) for r in kept} <= set(rows) and abs(words(kept) - 1.5 * words(rows)) < 0.15 * words(rows)
+    nameless = [r for r in kept if r[0] is None]
+    share = words(nameless) / words([r for r in rows if r[0] is None])
+    assert 1.0 < share < 2.0
+
+
 # ---- 4: personal data ----
 
 
@@ -471,6 +500,25 @@ def test_cap_recall():
         assert np.mean([len(p) for p in a]) < 4 * capfilter.CAPS
 
 
+@pytest.mark.parametrize(("dim", "size"), [(4, 100_000), (8, 2_100_000), (16, 1_000_000), (16, 20_000_000), (64, 3_000_000), (256, 1_000_000)])
+def test_cap_recall_at_any_length_and_size(dim, size):
+    """Fresh pairs, not those that the number of codes was fitted on; sizes on both sides of the change of shape."""
+    r = np.random.default_rng(dim + 1)
+    x = r.normal(size=(800, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = r.normal(size=x.shape)
+    n -= (n * x).sum(1, keepdims=True) * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * n / np.linalg.norm(n, axis=1, keepdims=True)
+    f = capfilter.Filters(dim, size)
+    assert np.mean([bool(set(p) & set(q)) for p, q in zip(f.passed(x), f.passed(y))]) >= 0.95
+
+
+def test_short_and_double_vectors_are_told_apart():
+    a, b = capfilter.raw_vector([0.5, 1.0]), capfilter.raw_vector([0.1, 1.0])
+    assert a[:1] == b"f" and b[:1] == b"d" and capfilter.length_of(a) == capfilter.length_of(b) == 2
+    assert capfilter.raw_vector([1e300, 1.0])[:1] == b"d" and capfilter.raw_vector([-0.0, 1.0]) == capfilter.raw_vector([0.0, 1.0])
+
+
 # ---- 9: passages ----
 
 
@@ -541,6 +589,15 @@ def test_languages(spark):
     assert langid.features(long) is not None
 
 
+def test_languages_of_nothing_and_of_repeated_rows(spark, empty):
+    assert langid.language_query(empty).count() == 0
+    rows = [(i % 4, "the thing and the other" if i % 2 else "der schuh und das ei", "en" if i % 2 else "de") for i in range(400)]
+    df = spark.createDataFrame([*rows, (9, "der schuh und das ei " * 20_000, None), (10, "the thing " * 20_000, None)], "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(False), per_lang=3)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()}
+    assert got == {0: "de", 1: "en", 2: "de", 3: "en", 9: "de", 10: "en"}
+
+
 # ---- pipeline ----
 
 
