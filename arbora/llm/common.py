@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from arbora.operators.fixpoint import checkpoint, components, ensure_checkpoint_dir
 
-__all__ = ["WORD", "checkpoint", "components", "crc_mod", "ensure_checkpoint_dir", "seeded_hash", "sha256_hex", "word_count"]
+__all__ = ["WORD", "checkpoint", "components", "crc_mod", "ensure_checkpoint_dir", "seeded_hash", "sha256_hex", "slices", "word_count"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,3 +35,10 @@ def sha256_hex(data: bytes) -> str:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id gives null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that a worker holds Python copies of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import checkpoint, crc_mod
+from arbora.llm.common import checkpoint, crc_mod, slices
 
 PER_LANG = 1500
 DIM = 1 << 14
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = unpack(packed)
-        for batch in batches:
+        for batch in slices(batches):
             made = [predict(m, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.float64())], ["doc_id", "lang_pred", "score"])
 

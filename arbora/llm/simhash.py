@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.common import checkpoint, components
+from arbora.llm.common import checkpoint, components, slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -198,7 +198,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of shingles that several rows of a sample have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for x in batch.column(0).cast(pa.large_binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view("<i8"), pa.int64())], ["h"])
 
@@ -216,7 +216,7 @@ def shingle_nodes(docs: DataFrame) -> DataFrame:
     common, rank = common_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(x) for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
             fp = np.array([majority([x]) for x in sets], "<u8").view("<i8")
             first = [prefix(x, common, rank).view("<i8") for x in sets]
@@ -234,7 +234,7 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             for x, tx in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist()):
                 if tx not in seen:
                     seen.add(tx)
@@ -242,7 +242,7 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([set_key(found)], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["key", "set"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")

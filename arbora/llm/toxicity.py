@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import crc_mod
+from arbora.llm.common import crc_mod, slices
 from arbora.llm.transducer import Lexicon, Transducer, composed
 
 SAMPLE = 12_000
@@ -350,7 +350,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(json.loads(packed))
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grammar.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -363,7 +363,7 @@ def keep_clean(docs: DataFrame, model: dict, limit: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(json.loads(packed))
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([grammar.score(t) < limit for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
