@@ -33,12 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.llm.common import slices
+
 STRETCH = 1024
 MARGIN = 48
 LONG = 512
 LEAF = 128
 WINDOW = 4
-MEMO = 400_000
+MEMO = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -229,11 +231,10 @@ def loaded(path: str) -> TreeBPE:
 def _each(docs: DataFrame, path: str, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                cols = make(bpe, some.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), *cols.values()], ["doc_id", *cols])
+        for some in slices(batches):
+            cols = make(bpe, some.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([some.column(0), *cols.values()], ["doc_id", *cols])
+        bpe.memo.clear()  # the worker lives on, for other stages
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
