@@ -22,11 +22,13 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,13 +241,15 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 if tx not in seen:
                     seen.add(tx)
                     found = shingle_set(x)
-                    yield pa.RecordBatch.from_arrays([pa.array([set_key(found)], pa.binary()), pa.array([found.tobytes()], pa.binary())], ["key", "set"])
+                    # the text packs into a third of its set of hashes, and gives it again
+                    yield pa.RecordBatch.from_arrays([pa.array([set_key(found)], pa.binary()), pa.array([zstandard.compress(x or b"")], pa.binary())], ["key", "packed"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = lru_cache(64)(lambda packed: shingle_set(zstandard.decompress(packed)))
         for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                x, y = unpacked(x), unpacked(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(OF * both >= ALIKE * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -254,9 +258,9 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = checkpoint(nodes.join(asked, "node", "left_semi").select("node", "key", F.col("rep.tx").alias("tx")))
     picked = asked.select("tx").distinct()
     picked = F.broadcast(picked) if asked.count() <= BROADCAST_ROWS else picked
-    own = _plain(docs).join(picked, "tx", "left_semi").select("text", "tx").mapInArrow(sets, "key binary, set binary")
-    own = checkpoint(own.groupBy("key").agg(F.first("set").alias("set")).join(asked, "key").select("node", "set"))
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    own = _plain(docs).join(picked, "tx", "left_semi").select("text", "tx").mapInArrow(sets, "key binary, packed binary")
+    own = checkpoint(own.groupBy("key").agg(F.first("packed").alias("packed")).join(asked, "key").select("node", "packed"))
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
     return checkpoint(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
 
 
