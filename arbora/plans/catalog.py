@@ -557,7 +557,7 @@ def chrome_trace(spark, sf):
 
     ev = d.table(spark, sf, "events").where("event_type in ('view', 'purchase', 'error')")
     kind = F.when(F.col("event_type") == "view", "node_started").when(F.col("event_type") == "purchase", "node_completed").otherwise("node_failed")
-    made = lines(ev.select(kind.alias("event_type"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("timestamp"), d._key("user", "user_id").alias("node_name")))
+    made = lines(ev.select(kind.alias("event_type"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"), d._key("user", "user_id").alias("node_name")))
     return made.select(F.from_json("line", "name string, ph string").alias("x")).groupBy("x.name", "x.ph").agg(F.count("*").alias("n"))
 
 
