@@ -283,7 +283,7 @@ def shared_shingles(nodes: DataFrame) -> DataFrame:
 
 
 def star_pairs(nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """(a, b): each member of a ball or of a shared shingle with the smallest one of it."""
+    """(a, b, met): each member of a ball or of a shared shingle with the smallest one of it, and how often they met."""
     lead = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     same = nodes.join(lead.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
     balls = link_fingerprints(nodes.select("fp").distinct())
@@ -291,7 +291,23 @@ def star_pairs(nodes: DataFrame, shared: DataFrame) -> DataFrame:
     first = F.min(F.struct("node", "n", "i")).over(Window.partitionBy("h"))
     stars = shared.withColumn("c", first).select("node", "n", "i", F.col("c.node").alias("b"), F.col("c.n").alias("n2"), F.col("c.i").alias("i2")).where(NEAR)
     pairs = same.unionByName(balls.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(stars.select(F.col("node").alias("a"), "b"))
-    return checkpoint(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return checkpoint(pairs.groupBy("a", "b").agg(F.count("*").alias("met")))
+
+
+def best_pairs(stars: DataFrame) -> DataFrame:
+    """(a, b): of the pairs of each a the one that met most often, ties to the smallest b.
+
+    One pair a node links nearly all of a group of copies; its other pairs then need no look.
+    """
+    return checkpoint(stars.groupBy("a").agg(F.max_by("b", F.struct("met", -F.col("b"))).alias("b")))
+
+
+def apart(stars: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): those of ``stars`` that were not tried and lie in different components."""
+    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    rest = stars.select("a", "b").join(tried, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+    return checkpoint(rest.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
 
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
@@ -310,19 +326,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
     _release(docs)
     shared = shared_shingles(nodes)
     _release(docs)
-    tried = star_pairs(nodes, shared)
+    stars = star_pairs(nodes, shared)
     _release(docs)
+    tried = best_pairs(stars)
     links = alike(docs, nodes, tried)
     _release(docs)
     roots = checkpoint(components(links))
-    rest = cross_pairs(shared, roots, tried)
-    del shared, tried
-    _release(docs)
-    if not rest.isEmpty():
-        links = checkpoint(links.unionByName(alike(docs, nodes, rest)))
+    # what is joined already needs no further pair; what is not gets its other stars, then all pairs
+    for step in ("stars", "all"):
+        rest = apart(stars, roots, tried) if step == "stars" else cross_pairs(shared, roots, stars.select("a", "b"))
+        _release(docs)
+        if not rest.isEmpty():
+            links = checkpoint(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(alike(docs, nodes, rest)))
+            roots = checkpoint(components(links))
         del rest
         _release(docs)
-        roots = checkpoint(components(links))
+    del shared, stars, tried
+    _release(docs)
     found = checkpoint(nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("label")))
     del nodes, links, roots
     _release(docs)
