@@ -47,6 +47,8 @@ ALIKE, OF = 4, 5
 SAMPLE_ROWS, SAMPLE_SHARE, COMMON, MAX_COMMON = 4_000, 1 / 64, 3, 200_000
 #: Up to so many texts are picked by a broadcast, more by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Rounds of drawn holders before all pairs that are left.
+DRAWS = 3
 
 
 def shingle_hashes(text: str | bytes | None, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -310,6 +312,20 @@ def apart(stars: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
     return checkpoint(rest.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
 
 
+def drawn_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame, draw: int) -> DataFrame:
+    """(a, b): each node with one drawn holder of a shingle of its own that lies in another component.
+
+    The smallest holder can be unlike a large group of copies; a drawn one is mostly a member of it.
+    """
+    named = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    lead = F.min(F.struct(F.xxhash64("node", F.lit(draw)).alias("luck"), "node", "n", "i", "label")).over(Window.partitionBy("h"))
+    other = [F.col(f"c.{c}").alias(to) for c, to in (("node", "b"), ("n", "n2"), ("i", "i2"), ("label", "label2"))]
+    met = named.withColumn("c", lead).select("node", "n", "i", "label", *other).where(f"label <> label2 and {NEAR}")
+    met = met.select("node", F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).groupBy("node", "a", "b").agg(F.count("*").alias("met"))
+    best = met.join(tried, ["a", "b"], "left_anti").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("met", "a", "b")).alias("p"))
+    return checkpoint(best.select("p.a", "p.b").distinct())
+
+
 def cross_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
     """(a, b): all other pairs that share a shingle and differ in component."""
     named = checkpoint(shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
@@ -332,9 +348,16 @@ def similar_components(docs: DataFrame) -> DataFrame:
     links = alike(docs, nodes, tried)
     _release(docs)
     roots = checkpoint(components(links))
-    # what is joined already needs no further pair; what is not gets its other stars, then all pairs
-    for step in ("stars", "all"):
-        rest = apart(stars, roots, tried) if step == "stars" else cross_pairs(shared, roots, stars.select("a", "b"))
+    # what is joined already needs no further pair; what is not gets its other stars, then drawn ones, then all pairs
+    for step in range(DRAWS + 2):
+        if step == 0:
+            rest = apart(stars, roots, tried)
+            tried = stars.select("a", "b")
+        elif step <= DRAWS:
+            rest = drawn_pairs(shared, roots, tried, step)
+            tried = tried.unionByName(rest)
+        else:
+            rest = cross_pairs(shared, roots, tried)
         _release(docs)
         if not rest.isEmpty():
             links = checkpoint(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(alike(docs, nodes, rest)))
