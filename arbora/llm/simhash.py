@@ -285,12 +285,17 @@ def shared_shingles(nodes: DataFrame) -> DataFrame:
 
 
 def star_pairs(nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """(a, b, met): each member of a ball or of a shared shingle with the smallest one of it, and how often they met."""
+    """(a, b, met): each member of a ball or of a shared shingle with the lead of it, and how often they met.
+
+    The lead of a shingle is the holder that has the fewest rarer ones before it: copies differ by their rare
+    shingles, so of a group of near copies it is the one nearest to what all were copied from, and most others
+    are similar to it, where a holder taken at random can lie too far from most.
+    """
     lead = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     same = nodes.join(lead.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b")
     balls = link_fingerprints(nodes.select("fp").distinct())
     balls = balls.join(lead.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-    first = F.min(F.struct("node", "n", "i")).over(Window.partitionBy("h"))
+    first = F.min(F.struct("i", "node", "n")).over(Window.partitionBy("h"))
     stars = shared.withColumn("c", first).select("node", "n", "i", F.col("c.node").alias("b"), F.col("c.n").alias("n2"), F.col("c.i").alias("i2")).where(NEAR)
     pairs = same.unionByName(balls.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(stars.select(F.col("node").alias("a"), "b"))
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -327,12 +332,18 @@ def drawn_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame, draw: int
 
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """(a, b): all other pairs that share a shingle and differ in component."""
+    """(a, b): all other pairs that share a shingle and differ in component.
+
+    One of two holders in different components lies outside the shingle's largest one, so only those outside
+    are joined with all: a group of copies that is linked already is not compared with itself again.
+    """
     named = checkpoint(shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
-    mixed = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    left = named.join(mixed, "h", "left_semi")
-    other = left.select("h", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
-    rest = left.join(other, "h").where(f"node > b and label <> label2 and {NEAR}").select(F.col("node").alias("a"), "b").distinct()
+    sizes = named.groupBy("h", "label").count().groupBy("h")
+    mixed = sizes.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).where("labels > 1").select("h", "main")
+    held = named.join(mixed, "h")
+    outside = held.where("label <> main").select("h", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
+    met = held.join(outside, "h").where(f"label <> label2 and (label = main or node > b) and {NEAR}")
+    rest = met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     return checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
 
 

@@ -453,6 +453,45 @@ def test_stage_keeps_one_of_similar(spark):
     assert sorted((x["doc_id"] for x in got), key=repr) == sorted(want.values(), key=repr)
 
 
+def test_work_on_a_group_of_near_copies(spark, monkeypatch):
+    """A third of all rows copied from one text, some too far to be similar: pairs compared stay in proportion to rows."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(140)], []
+    for _ in range(400):
+        copy = base[:]
+        for at in r.sample(range(140), r.randint(0, 6)):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(800)]
+    r.shuffle(texts)
+    seen, alike = [], simhash.alike
+
+    def counted(docs, nodes, pairs):
+        seen.append(pairs.count())
+        return alike(docs, nodes, pairs)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    got = simhash.keep_one_similar(spark.createDataFrame([(i, t, "en", "s1", 1) for i, t in enumerate(texts)], DOC).repartition(7)).collect()
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    holders = {}
+    for i, x in enumerate(sets):
+        for h in x:
+            holders.setdefault(h, []).append(i)
+    for i, j in {p for v in holders.values() for p in itertools.combinations(v, 2)}:
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            group[b] = a
+    assert sorted(x["doc_id"] for x in got) == sorted({find(i) for i in group})
+    assert sum(seen) < 3 * len(texts)
+
+
 # ---- 8: embeddings ----
 
 
