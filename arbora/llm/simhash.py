@@ -47,8 +47,6 @@ ALIKE, OF = 4, 5
 SAMPLE_ROWS, SAMPLE_SHARE, COMMON, MAX_COMMON = 4_000, 1 / 64, 3, 200_000
 #: Up to so many texts are picked by a broadcast, more by a shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Rounds of drawn holders before all pairs that are left.
-DRAWS = 3
 
 
 def shingle_hashes(text: str | bytes | None, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
@@ -285,7 +283,7 @@ def shared_shingles(nodes: DataFrame) -> DataFrame:
 
 
 def star_pairs(nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """(a, b, met): each member of a ball or of a shared shingle with the lead of it, and how often they met.
+    """(a, b): each member of a ball or of a shared shingle with the lead of it.
 
     The lead of a shingle is the holder that has the fewest rarer ones before it: copies differ by their rare
     shingles, so of a group of near copies it is the one nearest to what all were copied from, and most others
@@ -298,37 +296,7 @@ def star_pairs(nodes: DataFrame, shared: DataFrame) -> DataFrame:
     first = F.min(F.struct("i", "node", "n")).over(Window.partitionBy("h"))
     stars = shared.withColumn("c", first).select("node", "n", "i", F.col("c.node").alias("b"), F.col("c.n").alias("n2"), F.col("c.i").alias("i2")).where(NEAR)
     pairs = same.unionByName(balls.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(stars.select(F.col("node").alias("a"), "b"))
-    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return checkpoint(pairs.groupBy("a", "b").agg(F.count("*").alias("met")))
-
-
-def best_pairs(stars: DataFrame) -> DataFrame:
-    """(a, b): of the pairs of each a the one that met most often, ties to the smallest b.
-
-    One pair a node links nearly all of a group of copies; its other pairs then need no look.
-    """
-    return checkpoint(stars.groupBy("a").agg(F.max_by("b", F.struct("met", -F.col("b"))).alias("b")))
-
-
-def apart(stars: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """(a, b): those of ``stars`` that were not tried and lie in different components."""
-    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    rest = stars.select("a", "b").join(tried, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
-    return checkpoint(rest.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"))
-
-
-def drawn_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame, draw: int) -> DataFrame:
-    """(a, b): each node with one drawn holder of a shingle of its own that lies in another component.
-
-    The smallest holder can be unlike a large group of copies; a drawn one is mostly a member of it.
-    """
-    named = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    lead = F.min(F.struct(F.xxhash64("node", F.lit(draw)).alias("luck"), "node", "n", "i", "label")).over(Window.partitionBy("h"))
-    other = [F.col(f"c.{c}").alias(to) for c, to in (("node", "b"), ("n", "n2"), ("i", "i2"), ("label", "label2"))]
-    met = named.withColumn("c", lead).select("node", "n", "i", "label", *other).where(f"label <> label2 and {NEAR}")
-    met = met.select("node", F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).groupBy("node", "a", "b").agg(F.count("*").alias("met"))
-    best = met.join(tried, ["a", "b"], "left_anti").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("met", "a", "b")).alias("p"))
-    return checkpoint(best.select("p.a", "p.b").distinct())
+    return checkpoint(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
@@ -353,32 +321,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
     _release(docs)
     shared = shared_shingles(nodes)
     _release(docs)
-    stars = star_pairs(nodes, shared)
+    tried = star_pairs(nodes, shared)
     _release(docs)
-    tried = best_pairs(stars)
-    links = alike(docs, nodes, tried)
+    roots = checkpoint(components(alike(docs, nodes, tried)))
     _release(docs)
-    roots = checkpoint(components(links))
-    # what is joined already needs no further pair; what is not gets its other stars, then drawn ones, then all pairs
-    for step in range(DRAWS + 2):
-        if step == 0:
-            rest = apart(stars, roots, tried)
-            tried = stars.select("a", "b")
-        elif step <= DRAWS:
-            rest = drawn_pairs(shared, roots, tried, step)
-            tried = tried.unionByName(rest)
-        else:
-            rest = cross_pairs(shared, roots, tried)
-        _release(docs)
-        if not rest.isEmpty():
-            links = checkpoint(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(alike(docs, nodes, rest)))
-            roots = checkpoint(components(links))
+    # what is joined already needs no further pair
+    rest = cross_pairs(shared, roots, tried)
+    del shared, tried
+    _release(docs)
+    if not rest.isEmpty():
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(alike(docs, nodes, rest))
         del rest
         _release(docs)
-    del shared, stars, tried
-    _release(docs)
+        roots = checkpoint(components(links))
+        del links
+        _release(docs)
     found = checkpoint(nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("label")))
-    del nodes, links, roots
+    del nodes, roots
     _release(docs)
     return found
 
