@@ -141,15 +141,19 @@ def clause_machine() -> Transducer:
 LETTERS = {k: (k, 0.0) for k in "wTNRQ"} | {"H": ("H", 1.0)} | {str(k): ("I", k / LEVELS) for k in range(1, LEVELS + 1)}
 
 
+#: Words, and clauses, whose weight a worker remembers; the result doesn't depend on it.
+REMEMBERED = 50_000
+
+
 class _Symbols(dict):
-    """Word -> letter of its symbol; forgets all when it holds half a million."""
+    """Word -> letter of its symbol; forgets all when it holds REMEMBERED words."""
 
     def __init__(self, fixed: dict[str, str], lexicon: Lexicon):
         super().__init__(fixed)
         self.fixed, self.lexicon = fixed, lexicon
 
     def __missing__(self, word: str) -> str:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED + len(self.fixed):
             self.clear()
             self.update(self.fixed)
         weight = self.lexicon.weight(word)
@@ -173,7 +177,7 @@ class Grammar:
         """Weight of one clause written in symbol letters."""
         got = self.memo.get(letters)
         if got is None:
-            if len(self.memo) > 200_000:
+            if len(self.memo) > REMEMBERED:
                 self.memo.clear()
             self.memo[letters] = got = self.machine.weight([LETTERS[x] for x in letters])
         return got
