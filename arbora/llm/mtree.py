@@ -41,7 +41,8 @@ PAGE = 4096
 MAX_PIVOTS = 1024
 SPLIT = 2048
 QUERY_CHUNK = 20_000
-LEAF, FANOUT = 64, 16
+#: Rows of a leaf and children of a node; a leaf is answered by one product, so small ones cost more than they save.
+LEAF, FANOUT = 256, 16
 EXACT = 2.0**52
 LONG_MAX = (1 << 63) - 1
 
