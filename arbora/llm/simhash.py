@@ -43,8 +43,11 @@ CHUNK = 1 << 15
 STAGE_SHINGLE = 5
 ALIKE, OF = 4, 5
 #: Common shingles come last in the order of the prefix filter.  They are counted in a sample of the rows;
-#: the order decides on the work, never on the result.
-SAMPLE_ROWS, SAMPLE_SHARE, COMMON, MAX_COMMON = 4_000, 1 / 64, 3, 200_000
+#: the order decides on the work, never on the result.  The share stays the same as the input grows: with a
+#: smaller one a shingle may have more holders before it is found common, and pairs grow with their square.
+SAMPLE_ROWS, SAMPLE_SHARE, COMMON, MAX_COMMON = 4_000, 1 / 16, 3, 200_000
+#: So many shingles before a shared one tell whether a pair has met already.
+BEFORE = 3
 #: Up to so many texts are picked by a broadcast, more by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -303,14 +306,21 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFr
     """(a, b): all other pairs that share a shingle and differ in component.
 
     One of two holders in different components lies outside the shingle's largest one, so only those outside
-    are joined with all: a group of copies that is linked already is not compared with itself again.
+    are joined with all: a group of copies that is linked already is not compared with itself again.  Copies
+    share whole runs of shingles, and meet at the first of a run only: if one of the last few before h in one
+    set is among those of the other, both hold it, so they meet there or earlier.  Nothing is before the first
+    shingle that two sets share, so each pair meets.
     """
-    named = checkpoint(shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    named = shared.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     sizes = named.groupBy("h", "label").count().groupBy("h")
     mixed = sizes.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).where("labels > 1").select("h", "main")
-    held = named.join(mixed, "h")
-    outside = held.where("label <> main").select("h", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"))
-    met = held.join(outside, "h").where(f"label <> label2 and (label = main or node > b) and {NEAR}")
+    order = Window.partitionBy("node").orderBy("i")
+    last = [F.lag("h", k).over(order).alias(f"p{k}") for k in range(1, BEFORE + 1)]
+    held = checkpoint(named.join(mixed, "h").select("h", "node", "n", "i", "label", "main", *last))
+    others = [F.col(f"p{k}").alias(f"q{k}") for k in range(1, BEFORE + 1)]
+    outside = held.where("label <> main").select("h", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("label").alias("label2"), *others)
+    met_before = " or ".join(f"coalesce(p{k} in ({', '.join(f'q{j}' for j in range(1, BEFORE + 1))}), false)" for k in range(1, BEFORE + 1))
+    met = held.join(outside, "h").where(f"label <> label2 and (label = main or node > b) and {NEAR} and not ({met_before})")
     rest = met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     return checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
 

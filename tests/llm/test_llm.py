@@ -492,6 +492,53 @@ def test_work_on_a_group_of_near_copies(spark, monkeypatch):
     assert sum(seen) < 3 * len(texts)
 
 
+def join_rows(spark, run):
+    """The rows made by the joins of ``run`` that compare places in prefixes."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), []
+    ran = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    executions = store.executionsList()
+    for e in (executions.apply(k) for k in range(ran, executions.size())):
+        metrics, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size()) if "Join" in node.name() and "least(" in node.desc()):
+                if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                    made.append(int(metrics.apply(m.accumulatorId()).replace(",", "")))
+    return made
+
+
+def test_copies_meet_once(spark):
+    """Long copies too far from each other to be similar: each pair meets, and not at every shingle it shares."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for size, edits in ((1500, 28), (60, 2), (400, 7)):
+        base = [word() for _ in range(size)]
+        for _ in range(14):
+            copy = base[:]
+            for at in r.sample(range(size), edits):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s1", 1) for i, t in enumerate(texts)], DOC).repartition(3)
+    nodes = simhash.shingle_nodes(docs)
+    shared = simhash.shared_shingles(nodes)
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = []
+    rows = join_rows(spark, lambda: pairs.extend(simhash.cross_pairs(shared, none, spark.createDataFrame([], "a long, b long")).collect()))
+    at = {}
+    for x in nodes.collect():
+        for i, h in enumerate(x["prefix"]):
+            at.setdefault(h, []).append((x["node"], x["n"], i))
+    want = set()
+    for holders in at.values():
+        for (a, n, i), (b, n2, i2) in itertools.combinations(holders, 2):
+            if 9 * min(n - i, n2 - i2) >= 4 * (n + n2):
+                want.add((max(a, b), min(a, b)))
+    assert {(x["a"], x["b"]) for x in pairs} == want and len(want) > 150
+    assert len(rows) == 1 and rows[0] < 2 * len(want)
+
+
 # ---- 8: embeddings ----
 
 
