@@ -179,6 +179,23 @@ def global_rank(df: DataFrame, by: list[str], column: str, offset: int = 0, smal
     return dealt.join(before, "__range").withColumn(column, (number("__range") + F.col("__before") + offset).cast("int")).drop("__range", "__before"), n
 
 
+def running_total(df: DataFrame, by: list[str], value: str, column: str, small: int = 100_000) -> DataFrame:
+    """df with ``column``: the sum of ``value`` over all rows before, in the order of ``by`` (which has no ties).
+
+    Rows are dealt into ranges and summed within each; the ranges' sums are carried on by the same means, so no
+    task sees all rows, nor all ranges, whatever their number.
+    """
+    df = checkpoint(df)
+    n = df.count()
+    before = lambda *part: F.coalesce(F.sum(value).over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if n <= small:
+        return df.withColumn("__one", F.lit(0)).withColumn(column, before("__one")).drop("__one")
+    dealt = checkpoint(df.repartitionByRange(-(-n // small), *by).withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    carried = running_total(sums, ["__range"], "__sum", "__carried", small).select("__range", "__carried")
+    return dealt.join(carried, "__range").withColumn(column, F.col("__carried") + before("__range")).drop("__range", "__carried")
+
+
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int, int]:
     """(name, root) for every node, and the edges and the nodes of the largest components."""
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), whole=KERNEL_EDGES)
