@@ -71,6 +71,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_grammar(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from arbora.llm.grammar import token_query
+
+    return token_query(_table(spark, sf_dir, "documents"), tokenizer or tokenizer_path())
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public vocabulary file on this machine."""
     import public_tokenizers
@@ -79,7 +85,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_top_k, op2_lm_scores, op3_mixing, op4_pii, op5_toxicity, op6_bpe, op7_simhash, op8_embedding_dedup, op9_suffix_dedup, op10_language_id]
+    named = [op1_top_k, op2_lm_scores, op3_mixing, op4_pii, op5_toxicity, op6_bpe, op7_simhash, op8_embedding_dedup, op9_suffix_dedup, op10_language_id, op13_token_grammar]
     return {f.__name__: f for f in named}
 
 
