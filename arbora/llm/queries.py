@@ -71,6 +71,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    from arbora.llm.alignment import alignment_query
+
+    return alignment_query(_table(spark, sf_dir, "documents"), a or tokenizer_path("byte_bpe_50k.json"), b or tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbora.llm.voronoi import mining_query
+
+    return mining_query(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_grammar(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from arbora.llm.grammar import token_query
 
@@ -85,7 +97,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_top_k, op2_lm_scores, op3_mixing, op4_pii, op5_toxicity, op6_bpe, op7_simhash, op8_embedding_dedup, op9_suffix_dedup, op10_language_id, op13_token_grammar]
+    named = [op1_top_k, op2_lm_scores, op3_mixing, op4_pii, op5_toxicity, op6_bpe, op7_simhash, op8_embedding_dedup, op9_suffix_dedup, op10_language_id, op11_alignment, op12_hard_negatives, op13_token_grammar]
     return {f.__name__: f for f in named}
 
 
@@ -94,5 +106,6 @@ def oracle_sql() -> dict[str, str]:
     from arbora.llm.lm import LM_SQL
     from arbora.llm.mixing import MIX_SQL
     from arbora.llm.mtree import SEARCH_SQL
+    from arbora.llm.voronoi import MINING_SQL
 
-    return {"op1_top_k": SEARCH_SQL, "op2_lm_scores": LM_SQL, "op3_mixing": MIX_SQL}
+    return {"op1_top_k": SEARCH_SQL, "op2_lm_scores": LM_SQL, "op3_mixing": MIX_SQL, "op12_hard_negatives": MINING_SQL}

@@ -52,9 +52,12 @@ def _bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Cutter:
-    """Cuts texts by a table of byte pairs; ``dropped`` bytes (blanks) belong to no stretch and always cut."""
+    """Cuts texts by a table of byte pairs.
 
-    def __init__(self, table: np.ndarray, dropped: list[int] | None = None, mapped: np.ndarray | None = None):
+    ``dropped`` bytes (blanks) belong to no stretch and always cut; with ``follow`` a cut before a blank needs one of these bytes behind it.
+    """
+
+    def __init__(self, table: np.ndarray, dropped: list[int] | None = None, mapped: np.ndarray | None = None, follow: np.ndarray | None = None):
         self.flat = table.reshape(-1)
         self.kept = np.ones(256, bool)
         if dropped:
@@ -62,7 +65,7 @@ class Cutter:
             full = table.copy()
             full[dropped] = full[:, dropped] = True
             self.flat = full.reshape(-1)
-        self.drops, self.mapped = bool(dropped), mapped
+        self.drops, self.mapped, self.follow = bool(dropped), mapped, follow
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(all stretches in order, where each text's stretches begin and the last's end); no nulls in ``texts``."""
@@ -75,6 +78,9 @@ class Cutter:
             first = np.zeros(len(raw) + 1, bool)
             if len(raw):
                 first[1:-1] = self.flat[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
+            if self.follow is not None and len(raw):
+                blank = np.flatnonzero(first[:-1] & (raw == 32))
+                first[blank[~self.follow[raw[np.minimum(blank + 1, len(raw) - 1)]]]] = False
             first[at] = True
             first = first[:-1]
             if self.drops:
