@@ -687,51 +687,6 @@ def test_languages_of_nothing_and_of_repeated_rows(spark, empty):
 # ---- pipeline ----
 
 
-def test_pipeline_stages(spark, docs, tmp_path, whole):
-    """Each stage on its own input against a plain version."""
-    import corpus_pipeline
-    from collections import Counter
-
-    toxic = [(300 + k, f"zork zork {prose(random.Random(k), 20)} zork.", "en", "s2", 9) for k in range(40)]
-    spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(i, 1, 1) for i, *_ in toxic[:35]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs.drop("block").unionByName(spark.createDataFrame(toxic, DOC)).write.parquet(str(tmp_path / "documents.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    names, tables = now.columns, {}
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, now, str(tmp_path))
-        assert name == "bpe" or out.columns == names, name
-        out.write.parquet(str(tmp_path / name))
-        tables[name] = (now.collect(), spark.read.parquet(str(tmp_path / name)).collect())
-        now = spark.read.parquet(str(tmp_path / name))
-    before, after = tables["toxicity"]
-    assert Counter(map(repr, after)) == Counter(repr(r) for r in before if "zork" not in (r["text"] or ""))
-    before, after = tables["simhash_near_dedup"]
-    fp = [brute_fingerprint(r["text"]) for r in before]
-    group = {i: i for i in range(len(before))}
-    for _ in range(4):
-        for i, j in itertools.product(group, group):
-            if bin(fp[i] ^ fp[j]).count("1") <= 2:
-                group[i] = group[j] = min(group[i], group[j])
-    best = {}
-    for i, r in enumerate(before):
-        if r["doc_id"] is not None:
-            best[group[i]] = min(r["doc_id"], best.get(group[i], r["doc_id"]))
-    assert sorted(r["doc_id"] for r in after if r["doc_id"] is not None) == sorted(set(best.values()))
-    before, after = tables["pii"]
-    assert len(before) == len(after) and sorted((r["text"] or "") for r in after) == sorted((r["text"] or "") for r in before)  # nothing personal in these
-    before, after = tables["mixing"]
-    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    copies = Counter(r["doc_id"] for r in after)
-    mixed = {r["doc_id"]: r["taken"] / r["size"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "pii"))).collect() if r["size"]}
-    for r in before:
-        n = copies.get(r["doc_id"], 0)
-        assert (n == 0) if not size(r["text"]) else int(mixed[r["doc_id"]]) <= n <= int(mixed[r["doc_id"]]) + 1
-    before, after = tables["bpe"]
-    ids = [whole.encode(r["text"] or "", add_special_tokens=False).ids for r in before]
-    assert sorted(r["ids_sha256"] for r in after) == sorted(hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(after)
-
-
 def test_pipeline_by_the_rule_of_the_stage(spark, docs, empty, tmp_path, whole):
     """All stages in a row, near-duplicates by five words and a similarity of 0.8; then over an empty table."""
     import corpus_pipeline
