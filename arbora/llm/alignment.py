@@ -11,7 +11,7 @@ and signs), so such a place is always a group boundary.  Each different stretch
 once and remembered; a document is the sequence of its stretches.  For tokenizers without such places a
 stretch is the whole text.
 
-Nothing is collected: documents are described in blocks of some 16 MB of text, written to the shared checkpoint
+Nothing is collected: documents are described in blocks of some 4 MB of text, written to the shared checkpoint
 folder.  A block asks for its distinct pairs of ids, counts are summed by pair, joined to what was asked, and come
 back to the block.  The counts' size is bounded by the vocabularies, and what a block asks by its text.
 
@@ -40,7 +40,7 @@ from arbora.llm import stretches as st
 from arbora.llm.bpe import byte_symbols
 from arbora.llm.common import ensure_checkpoint_dir
 
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
 #: A block's ids of A and B as one number.
 SHIFT = 32
 BATCH = 1024
@@ -167,7 +167,7 @@ class Aligner:
         order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        index = rank[index]
+        index = rank.astype(np.int32)[index]
         made = self.known.of(coded.dictionary.take(pa.array(order)).to_pylist())
         heads = np.frombuffer(b"".join([m[:16] for m in made]), "<u4").reshape(-1, 4).astype(np.int64)
         odd = heads[:, 0] == 0xFFFFFFFF
@@ -178,8 +178,7 @@ class Aligner:
         before = np.concatenate([[0], np.cumsum(odd[index])])[at]
         good = np.diff(before) == 0  # documents that both tokenizers spell out
         cuts = np.diff(at)
-        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(heads[index], 0)])[at]
-        per = np.diff(sums, axis=0) * good[:, None]
+        per = np.stack([np.diff(np.concatenate([[0], np.cumsum(heads[:, k][index])])[at]) for k in range(4)], 1) * good[:, None]
         listed = index.tolist()
         text = [b";".join([groups[i] for i in listed[a:b]]) if ok and b > a else b"" for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), good.tolist())]
         used = np.repeat(good, cuts)
