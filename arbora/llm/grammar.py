@@ -1,7 +1,7 @@
 """Token files compressed by Re-Pair grammars, with random access.
 
 ``write_tokens`` orders documents by doc_id in ranges, encodes them and packs them into shards of whole
-documents, some two million ids each.  In a shard the pairs of neighbouring symbols that occur most are replaced
+documents, some million ids each.  In a shard the pairs of neighbouring symbols that occur most are replaced
 by new symbols (nonterminals), again and again: every round counts all pairs, takes those that occur often
 enough, prefers the more frequent where two overlap, and rewrites the sequence; the bound on "often" falls from
 round to round down to ``FREQUENT``, and it ends when a round no longer replaces 1/64 of the symbols.  Pairs
@@ -35,10 +35,12 @@ from arbora.llm.common import ensure_checkpoint_dir
 from arbora.operators.fixpoint import running_total
 
 END = 1
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 #: Documents of one range of doc_ids; its shards are written by one task.
 RANGE_ROWS = 20_000
 FREQUENT = 16
+#: Bytes of text that are encoded at a time.
+GROUP_BYTES = 1 << 22
 #: Ids that fit two bytes.
 SHORT = 1 << 16
 
@@ -281,7 +283,7 @@ def _shards(path: str, end_id: int, shard_ids: int, frequent: int):
         held, n, seq = [], 0, 0
         for batch in batches:
             texts = batch.column("text")
-            for a, b in st.grouped(pc.fill_null(texts, ""), 1 << 23):
+            for a, b in st.grouped(pc.fill_null(texts, ""), GROUP_BYTES):
                 some = batch.slice(a, b - a)
                 ids, counts = enc.encode(some.column("text"))
                 cuts = np.cumsum(counts)
