@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from arbora.errors import CycleError, DuplicateNodeError, EdgeNotFoundError, GraphError, NodeNotFoundError, StaleNodeRefError, TooLargeError
 from arbora.functions.patterns import glob_to_regex
 from arbora.kernels import Adjacency
-from arbora.operators import fixpoint
+from arbora.operators import contraction, fixpoint
 
 NODE_COLUMNS = {"payload": "string", "metadata": "map<string,string>", "epoch": "long", "ord": "long"}
 EDGE_COLUMNS = {"weight": "double", "label": "string", "edge_id": "long"}
@@ -485,12 +485,34 @@ class Graph:
 
         return fixpoint.by_component(self.nodes, self.edges, self._components[0], kernel, "src string,dst string,hops_min int,hops_max int")
 
-    def reachability_index(self) -> DataFrame:
-        """name, bucket, bits: bitmaps of the positions each node reaches, itself included (built-in bitmaps)."""
-        pos, _ = fixpoint.global_rank(self.nodes.select("name"), ["name"], "pos")
-        pairs = self.closure().select("src", "dst").unionByName(self.nodes.select(F.col("name").alias("src"), F.col("name").alias("dst")))
-        p = pairs.join(pos.withColumnRenamed("name", "dst"), "dst")
-        return p.groupBy(F.col("src").alias("name"), F.expr("bitmap_bucket_number(pos)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(pos))").alias("bits"))
+    @cached_property
+    def _index(self):
+        from arbora.operators.labels import ReachIndex
+
+        return ReachIndex(self)
+
+    def reachability_index(self):
+        """Interval labels of all nodes (``ReachIndex``): can_reach, reachable_from and sizes without a closure."""
+        return self._index
+
+    def can_reach(self, pairs: DataFrame) -> DataFrame:
+        """src, dst, reaches for each given pair of nodes, from the index."""
+        return self._index.can_reach(pairs)
+
+    def reachable_from(self, names: DataFrame) -> DataFrame:
+        """(start, name): all descendants of each name, from the index."""
+        return self._index.reachable_from(names)
+
+    @cached_property
+    def _reversed(self) -> Graph:
+        g = self.reverse()
+        if "_components" in self.__dict__:
+            g.__dict__["_components"] = self._components  # the same without direction
+        return g
+
+    def ancestors_of(self, names: DataFrame) -> DataFrame:
+        """(start, name): all ancestors of each name, from the index of the reversed graph."""
+        return self._reversed._index.reachable_from(names)
 
     # ---- orders ----
 
@@ -501,36 +523,55 @@ class Graph:
                 return {"name": adj.names, "level": adj.levels()}
 
             return fixpoint.by_component(self.nodes, self.edges, self._components[0], kernel, "name string,level int")
-        v = fixpoint.relax(self.nodes.withColumn("__one", F.lit(1.0)), self.edges, "__one")
+        v = contraction.longest_sums(self.nodes.withColumn("__one", F.lit(1.0)), self.edges, "__one")
         return v.select("name", (F.col("value") - 1).cast("int").alias("level"))
 
     def levels_priority(self, priorities: DataFrame) -> DataFrame:
         """name, level, place within it: priority descending, then name."""
         p = self.levels().join(priorities.select("name", "priority"), "name", "left").withColumn("priority", F.coalesce("priority", F.lit(0.0)))
-        w = Window.partitionBy("level").orderBy(F.desc("priority"), "name")
-        return p.select("name", "level", F.row_number().over(w).alias("place"))
+        ranked, _ = fixpoint.global_rank(p.withColumn("__last", -F.col("priority")), ["level", "__last", "name"], "pos")
+        first = ranked.groupBy("level").agg(F.min("pos").alias("first"))
+        return ranked.join(first, "level").select("name", "level", (F.col("pos") - F.col("first") + 1).cast("int").alias("place"))
 
     def topological_rank(self) -> DataFrame:
-        """name, rank in FIFO Kahn order: by level, within it by the last predecessor's rank, then name."""
+        """name, rank in FIFO Kahn order: by level, within it by the last predecessor's rank, then name.
+
+        That is the order of the names on the way down from a root, over each node's last predecessor of the level
+        before.  Where no node has two of them these ways are known, and compared by doubling their length; the
+        levels where some node has to choose cut the graph into such segments.
+        """
         lvl = fixpoint.checkpoint(self.levels())
-        depth = lvl.agg(F.max("level")).first()[0]
-        if depth is None:
-            return lvl.select("name", F.lit(0).alias("rank")).limit(0)
-        if depth > 64 and self.node_count() <= SEQUENTIAL_NODES:
-            return self._sequential(lambda a, _: a.kahn(), "rank")
-        ranks, offset = None, 0
-        for k in range(depth + 1):
-            now = lvl.where(F.col("level") == k).select("name")
-            if ranks is None:
-                now = now.withColumn("up", F.lit(0))
-            else:
-                ups = self.edges.join(ranks.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.max("rank").alias("up"))
-                now = now.join(ups, "name")
-            now, n = fixpoint.global_rank(now, ["up", "name"], "rank", offset)
-            now = fixpoint.checkpoint(now.select("name", "rank"))
-            offset += n
-            ranks = now if ranks is None else ranks.unionByName(now)
-        return ranks
+        at = lambda c: lvl.select(F.col("name").alias(c), F.col("level").alias(f"{c}_level"))
+        e = self.edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst").where("dst_level = src_level + 1")
+        ups = fixpoint.checkpoint(e.select(F.col("dst").alias("name"), F.col("src").alias("up"), F.col("dst_level").alias("level")))
+        one = ups.groupBy("name", "level").agg(F.count("*").alias("n"), F.min("up").alias("up"))
+        cuts = [r[0] for r in one.where("n > 1").select("level").distinct().orderBy("level").collect()]  # a segment each
+        names, _ = fixpoint.global_rank(lvl.join(one.select("name", "up"), "name", "left").select("name", "level", "up"), ["name"], "key")
+        names = fixpoint.checkpoint(names)
+        start = names.where("level = 0").withColumn("up", F.lit(None).cast("string"))
+        done, low = None, 0
+        for cut in [*cuts, None]:
+            upper = F.lit(True) if cut is None else F.col("level") < cut
+            part = self._compared(start.unionByName(names.where((F.col("level") > low) & upper)))
+            done = part if done is None else done.unionByName(part)
+            if cut is not None:
+                last = ups.where(F.col("level") == cut).join(part.select(F.col("name").alias("up"), F.col("key").alias("last")), "up").groupBy("name", "level").agg(F.max("last").alias("last"))
+                start, _ = fixpoint.global_rank(last, ["last", "name"], "key")
+                start = fixpoint.checkpoint(start.select("name", "level", F.lit(None).cast("string").alias("up"), "key"))
+                low = cut
+        ranked, _ = fixpoint.global_rank(done.select("name", "level", "key"), ["level", "key"], "rank")
+        return ranked.select("name", "rank")
+
+    @staticmethod
+    def _compared(part: DataFrame) -> DataFrame:
+        """part (name, level, up, key) with keys that order each level by the whole way down to a node, the top of it first."""
+        part = fixpoint.checkpoint(part)
+        while not part.where("up is not null").isEmpty():
+            above = part.select(F.col("name").alias("up"), F.col("key").alias("first"), F.col("up").alias("next"))
+            twice = part.join(above, "up", "left").select("name", "level", F.coalesce("first", F.lit(-1)).alias("first"), F.col("key").alias("then"), F.col("next").alias("up"))
+            part, _ = fixpoint.global_rank(twice, ["level", "first", "then"], "key")
+            part = fixpoint.checkpoint(part.select("name", "level", "up", "key"))
+        return part
 
     def _sequential(self, order, column: str, priorities: DataFrame | None = None) -> DataFrame:
         """Positions of a sequential order, in one task; refuses what doesn't fit one."""
@@ -570,29 +611,55 @@ class Graph:
     # ---- paths ----
 
     def all_paths(self, src: str, dst: str, limit: int | None = None) -> DataFrame:
-        """path (array); with a limit the first by names.  Walks only nodes that lie between the two.
-
-        Every beginning leads to a path, so of the beginnings in order no more than ``limit`` are followed.
-        """
+        """path (array); with a limit the first by names.  Walks only nodes that lie between the two."""
         self._require([src, dst])
         spark = self.spark
         if src == dst:
             return spark.createDataFrame([([src],)], "path array<string>")
         up = fixpoint.reach(self._flipped(), spark.createDataFrame([(dst,)], "name string"), None, True).select("name")
         e = fixpoint.checkpoint(self.edges.join(up.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst"))
+        if limit is not None:
+            return self._first_paths(src, dst, e, limit)
         front = spark.createDataFrame([([src],)], "path array<string>")
         done = front.limit(0)
         while True:
             step = front.join(e, F.element_at("path", -1) == F.col("src")).select(F.concat("path", F.array("dst")).alias("path"))
-            if limit is not None:
-                step = step.unionByName(done).orderBy("path").limit(limit)
             step = fixpoint.checkpoint(step)
-            over = step.where(F.element_at("path", -1) == dst)
-            done = done.unionByName(over) if limit is None else over
+            done = done.unionByName(step.where(F.element_at("path", -1) == dst))
             front = step.where(F.element_at("path", -1) != dst)
             if front.isEmpty():
                 return done
 
+    def _first_paths(self, src: str, dst: str, edges: DataFrame, limit: int) -> DataFrame:
+        """The first ``limit`` paths by names: ways from each node are counted, then path k is built from its number alone."""
+        most = "1000000000000000000000000000000"  # counts stop here: no limit comes near it
+        e = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+        inside = fixpoint.reach(e, self.spark.createDataFrame([(src,)], "name string"), None, True).select("name")
+        e = fixpoint.checkpoint(e.join(inside.withColumnRenamed("name", "src"), "src", "left_semi"))
+        if e.isEmpty():
+            return self.spark.createDataFrame([], "path array<string>")
+        back = Graph.from_edges(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), strategy=self.strategy)
+        far = fixpoint.checkpoint(e.join(back.levels().withColumnRenamed("name", "src"), "src"))
+        ways = self.spark.createDataFrame([(dst, 1)], "name string, ways int").select("name", F.col("ways").cast("decimal(38,0)").alias("ways"))
+        for k in range(1, far.agg(F.max("level")).first()[0] + 1):
+            sums = far.where(F.col("level") == k).join(ways.withColumnRenamed("name", "dst"), "dst").groupBy(F.col("src").alias("name"))
+            now = sums.agg(F.least(F.sum((F.col("n") * F.col("ways")).cast("decimal(38,0)")), F.lit(most).cast("decimal(38,0)")).alias("ways"))
+            ways = ways.unionByName(fixpoint.checkpoint(now))
+        # of the paths from src, those over dst have the numbers lo to hi
+        w = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+        size = (F.col("n") * F.col("ways")).cast("decimal(38,0)")
+        spans = e.join(ways.withColumnRenamed("name", "dst"), "dst").withColumn("lo", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("decimal(38,0)")).withColumn("hi", F.col("lo") + size)
+        spans = fixpoint.checkpoint(spans.select("src", "dst", "n", "lo", "hi"))
+        total = ways.where(F.col("name") == src).first()["ways"]
+        front = self.spark.range(int(min(limit, total))).select(F.col("id").cast("decimal(38,0)").alias("no"), F.array(F.lit(src)).alias("path"))
+        while True:
+            step = front.join(spans, (F.element_at("path", -1) == F.col("src")) & (F.col("no") >= F.col("lo")) & (F.col("no") < F.col("hi")))
+            step = step.select(F.floor((F.col("no") - F.col("lo")) / F.col("n")).cast("decimal(38,0)").alias("no"), F.concat("path", F.array("dst")).alias("path"))
+            step = fixpoint.checkpoint(front.where(F.element_at("path", -1) == dst).unionByName(step))
+            if step.where(F.element_at("path", -1) != dst).isEmpty():
+                return step.select("path")
+            front = step
+
     def shortest_path(self, src: str, dst: str) -> DataFrame:
         """path, hops: fewest hops, smallest by names; no row if there is none."""
         self._require([src, dst])
@@ -645,7 +712,7 @@ class Graph:
                 return {"name": adj.names, "bottom_level": adj.bottom_levels(cols["cost"].__getitem__)}
 
             return fixpoint.by_component(c, self.edges, self._components[0], kernel, "name string,bottom_level double", ["cost"])
-        return fixpoint.relax(c, self._flipped(), "cost").select("name", F.col("value").alias("bottom_level"))
+        return contraction.longest_sums(c, self._flipped(), "cost").select("name", F.col("value").alias("bottom_level"))
 
     def critical_path(self, costs: DataFrame | None = None) -> DataFrame:
         """place, name, bottom_level: from the greatest bottom level always to the greatest successor."""
@@ -667,8 +734,7 @@ class Graph:
         """step_index, name, start_time, duration: a step a level, starting when the longest of each step before is done."""
         p = self.levels().join(self.costed(costs), "name")
         per = p.groupBy("level").agg(F.max("cost").alias("longest"))
-        w = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-        starts = per.select("level", F.coalesce(F.sum("longest").over(w), F.lit(0.0)).alias("start_time"))
+        starts = fixpoint.running_total(per, ["level"], "longest", "start_time").select("level", "start_time")
         return p.join(starts, "level").select(F.col("level").alias("step_index"), "name", "start_time", F.col("cost").alias("duration"))
 
     def execution_plan_constrained(self, workers: int, costs: DataFrame | None = None) -> DataFrame:
@@ -708,12 +774,7 @@ class Graph:
         """
         p = self.levels().join(self.costed(costs), "name")
         ranked, n = fixpoint.global_rank(p, ["level", "name"], "pos")
-        ranked = ranked.withColumn("__range", F.floor(F.col("pos") / 100_000))
-        sums = ranked.groupBy("__range").agg(F.sum("cost").alias("__sum"))
-        before = sums.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
-        line = Window.partitionBy("__range").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = ranked.join(before, "__range").withColumn("sum", F.col("__before") + F.coalesce(F.sum("cost").over(line), F.lit(0.0)))
-        ranked = fixpoint.checkpoint(ranked.select("name", "pos", "cost", "sum"))
+        ranked = fixpoint.checkpoint(fixpoint.running_total(ranked.select("name", "pos", "cost"), ["pos"], "cost", "sum"))
         k = max(1, min(k, n))
         share = (ranked.agg(F.sum("cost")).first()[0] or 0.0) / k
         part, start, least = F.lit(0), 0.0, 1
@@ -768,10 +829,26 @@ class Graph:
     # ---- structure ----
 
     def transitive_reduction(self) -> Graph:
-        """Without the edges that a way of two hops or more makes redundant."""
+        """Without the edges that a way of two hops or more makes redundant.
+
+        Such an edge spans two levels at least.  The starts of these edges gather the labels of what their other
+        successors reach; an edge whose end lies in one of them is redundant.
+        """
+        from arbora.operators.labels import covered
+
+        lvl = fixpoint.checkpoint(self.levels())
         e = self.edges.select("src", "dst").distinct()
-        long = e.join(self.closure().select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst")).distinct()
-        return self._same(self.nodes, self.edges.join(long, ["src", "dst"], "left_anti"))
+        at = lambda c: lvl.select(F.col("name").alias(c), F.col("level").alias(f"{c}_level"))
+        e = fixpoint.checkpoint(e.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", (F.col("dst_level") - F.col("src_level")).alias("gap")))
+        wide = e.where("gap > 1").select("src", "dst")
+        if wide.isEmpty():
+            return self._same(self.nodes, self.edges)
+        beside = e.select("src", "dst").join(wide.select("src").distinct(), "src", "left_semi")
+        reach = self._index.intervals(beside.select(F.col("dst").alias("name"))).withColumnRenamed("key", "dst")
+        below = beside.join(reach, "dst").select(F.col("src").alias("key"), "lo", "hi")
+        points = wide.join(self._index.nodes.select(F.col("name").alias("dst"), F.col("lo").alias("at")), "dst").select(F.col("src").alias("key"), "at", "dst")
+        long = covered(points, below).where("hit").select(F.col("key").alias("src"), "dst")
+        return self._same(self.nodes, self.edges.join(fixpoint.checkpoint(long), ["src", "dst"], "left_anti"))
 
     def transitive_closure(self) -> Graph:
         """With an edge of weight 1 for every reachable pair that has none."""
@@ -779,30 +856,78 @@ class Graph:
         return self.add_edges(new, check=False)
 
     def dominator_tree(self, root: str) -> DataFrame:
-        """name, idom of every node reachable from root.
+        """name, idom of every node reachable from root; root is its own.
 
-        Dominator sets level by level: a node and what dominates all its predecessors; the immediate one
-        is the deepest but itself.  A kernel does the same where the component fits a task.
+        A node's immediate dominator is the lowest common ancestor, in the tree of dominators so far, of all its
+        predecessors.  Ancestors 1, 2, 4, ... steps up are kept for each node, so that sets of predecessors are lifted
+        by joins; nodes with one predecessor need none.  A kernel does the same where the nodes fit a task.
         """
         self._require([root])
-        inside = self.reached([root]).select("name").unionByName(self.spark.createDataFrame([(root,)], "name string"))
-        sub = self.subgraph(fixpoint.checkpoint(inside))
+        inside = fixpoint.checkpoint(self.reached([root]).select("name").unionByName(self.spark.createDataFrame([(root,)], "name string")))
+        sub = self.subgraph(inside)
         sub.strategy = self.strategy
-        if sub._kernel():
+        if self.strategy == "kernel" or (self.strategy == "auto" and sub.edge_count() <= fixpoint.KERNEL_EDGES):
             def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
                 if root not in adj.index:
                     return {"name": [], "idom": []}
                 got = adj.dominators(adj.at(root))
                 return {"name": adj.label(got), "idom": adj.label(got.values())}
 
-            return fixpoint.by_component(sub.nodes, sub.edges, sub._components[0], kernel, "name string,idom string")
+            one = inside.withColumn("root", F.lit(root))  # all are below the root: one component
+            return fixpoint.by_component(sub.nodes, sub.edges, one, kernel, "name string,idom string")
+        return self._dominators_by_lifting(sub, root)
+
+    def _dominators_by_lifting(self, sub: Graph, root: str) -> DataFrame:
         lvl = fixpoint.checkpoint(sub.levels())
         e = fixpoint.checkpoint(sub.edges.select("src", "dst").distinct().join(lvl.withColumnRenamed("name", "dst"), "dst"))
-        doms = lvl.where(F.col("name") == root).select("name", F.array(F.struct("level", "name")).alias("doms"))
-        for k in range(1, int(lvl.agg(F.max("level")).first()[0] or 0) + 1):
-            ups = e.where(F.col("level") == k).join(doms.withColumnRenamed("name", "src"), "src").groupBy("dst").agg(F.count("*").alias("n"), F.collect_list("doms").alias("all"))
-            both = F.aggregate(F.slice("all", 2, F.size("all")), F.element_at("all", 1), lambda x, y: F.array_intersect(x, y))
-            now = ups.select(F.col("dst").alias("name"), F.concat(both, F.array(F.struct(F.lit(k).alias("level"), F.col("dst").alias("name")))).alias("doms"))
-            doms = doms.unionByName(fixpoint.checkpoint(now))
-        up = F.array_max(F.filter("doms", lambda d: d["name"] != F.col("name")))["name"]
-        return doms.select("name", F.coalesce(up, F.col("name")).alias("idom"))
+        one = fixpoint.checkpoint(e.groupBy(F.col("dst").alias("name"), "level").agg(F.count("*").alias("n"), F.min("src").alias("up")))
+        cuts = [r[0] for r in one.where("n > 1").select("level").distinct().orderBy("level").collect()]
+        tree = self.spark.createDataFrame([(root, None, 0)], "name string, up string, depth int")
+        lift: dict[int, DataFrame] = {}  # power -> (name, up)
+        found: DataFrame | None = None
+        for low, cut in zip([0, *cuts], [*cuts, None]):
+            # single predecessors between the cuts, under the nodes decided at the lower one
+            upper = F.lit(True) if cut is None else F.col("level") < cut
+            new = one.where((F.col("n") == 1) & (F.col("level") >= low) & upper).select("name", "up")
+            if found is not None:
+                new = new.unionByName(found)
+            new = fixpoint.checkpoint(new)
+            walk = fixpoint.checkpoint(new.select("name", "up", F.lit(1).alias("steps")))
+            while True:  # how far below the nodes known before
+                ahead = walk.select(F.col("name").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"), F.lit(True).alias("on"))
+                walk = fixpoint.checkpoint(walk.join(ahead, "up", "left").select("name", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("on", F.lit(False)).alias("on")))
+                if walk.where("on").isEmpty():
+                    break
+                walk = walk.drop("on")
+            deep = walk.join(tree.select(F.col("name").alias("up"), "depth"), "up").select("name", (F.col("depth") + F.col("steps")).alias("depth"))
+            tree = fixpoint.checkpoint(tree.unionByName(new.join(deep, "name").select("name", "up", "depth")))
+            if cut is None:
+                break
+            step, k = new, 0
+            while not step.isEmpty():
+                lift[k] = fixpoint.checkpoint(lift[k].unionByName(step) if k in lift else step)
+                step = fixpoint.checkpoint(step.join(lift[k].select(F.col("name").alias("up"), F.col("up").alias("up2")), "up").select("name", F.col("up2").alias("up")))
+                k += 1
+            at = e.where(F.col("level") == cut).join(one.where("n > 1").select(F.col("name").alias("dst")), "dst", "left_semi").select("dst", F.col("src").alias("x"))
+            found = self._meeting(at, tree, lift)
+        return tree.select("name", F.coalesce("up", "name").alias("idom"))
+
+    @staticmethod
+    def _meeting(at: DataFrame, tree: DataFrame, lift: dict[int, DataFrame]) -> DataFrame:
+        """(name, up): the lowest common ancestor of each dst's nodes x."""
+        at = at.join(tree.select(F.col("name").alias("x"), "depth"), "x")
+        least = at.groupBy("dst").agg(F.min("depth").alias("least"))
+        at = at.join(least, "dst").select("dst", "x", (F.col("depth") - F.col("least")).alias("over"))
+        power = lambda k: lift[k].select(F.col("name").alias("x"), F.col("up").alias("y"))
+        for k in sorted(lift):  # all to the depth of the highest
+            moved = at.join(power(k), "x", "left")
+            at = moved.select("dst", F.when(F.col("over").bitwiseAND(1 << k) > 0, F.col("y")).otherwise(F.col("x")).alias("x"), "over")
+        at = fixpoint.checkpoint(at.select("dst", "x").distinct())
+        ways = Window.partitionBy("dst")  # no more rows than the node has predecessors
+        for k in sorted(lift, reverse=True):  # up together while they stay apart
+            moved = at.join(power(k), "x", "left").withColumn("apart", F.min("y").over(ways) != F.max("y").over(ways))
+            at = moved.select("dst", F.when(F.col("apart"), F.col("y")).otherwise(F.col("x")).alias("x"))
+            if k % 8 == 0:
+                at = fixpoint.checkpoint(at.distinct())
+        last = at.join(power(0), "x", "left").groupBy("dst").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"))
+        return last.select(F.col("dst").alias("name"), F.when(F.col("n") > 1, F.col("y")).otherwise(F.col("x")).alias("up"))

@@ -348,7 +348,8 @@ class Adjacency:
 
     def dominators(self, root: int) -> dict[int, int]:
         """Immediate dominator of every node reachable from root; root is its own."""
-        order = [i for i in self.kahn() if i in self.reach([root])]
+        below = self.reach([root])
+        order = [i for i in self.kahn() if i in below]
         rank = {i: r for r, i in enumerate(order)}
         idom = {root: root}
         for i in order:
@@ -370,9 +371,8 @@ class Adjacency:
         out = set()
         for u in range(len(self.names)):
             nxt = set(self.out[u])
-            for v in nxt:
-                if any(w != v and v in self.reach([w]) for w in nxt):
-                    out.add((u, v))
+            if len(nxt) > 1:  # nothing reaches itself, so what one of them reaches is another's
+                out |= {(u, v) for v in nxt & self.reach({k for w in nxt for k in self.out[w]})}
         return out
 
     def strong_components(self) -> list[int]:

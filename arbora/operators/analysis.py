@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.errors import GraphError
+from arbora.errors import EdgeNotFoundError, GraphError
 from arbora.graph import Graph
-from arbora.operators import fixpoint
+from arbora.kernels import Adjacency
+from arbora.operators import contraction, fixpoint
 
 
 def stats(g: Graph) -> DataFrame:
@@ -69,17 +70,34 @@ def lineage(g: Graph, results: DataFrame, names: DataFrame) -> DataFrame:
     """name, inputs (direct, completed), ancestors (completed), depth: what went into each name."""
     done = results.where("status = 'completed'").select("name")
     starts = names.select("name")
-    if g._kernel():
-        up = g.closure().join(starts.withColumnRenamed("name", "dst"), "dst", "left_semi").select(F.col("dst").alias("start"), F.col("src").alias("name"), F.col("hops_min").alias("hops"))
-    else:
-        up = fixpoint.reach(g.reverse().edges, starts)
-    up = fixpoint.checkpoint(up)
+    up = fixpoint.checkpoint(_above(g, starts))
     got = up.join(done, "name", "left_semi").groupBy(F.col("start").alias("name")).agg(F.array_sort(F.collect_set("name")).alias("ancestors"), F.max("hops").alias("depth"))
     direct = up.where("hops = 1").join(done, "name", "left_semi").groupBy(F.col("start").alias("name")).agg(F.array_sort(F.collect_set("name")).alias("inputs"))
     empty = F.array().cast("array<string>")
     return starts.join(direct, "name", "left").join(got, "name", "left").select("name", F.coalesce("inputs", empty).alias("inputs"), F.coalesce("ancestors", empty).alias("ancestors"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+def _above(g: Graph, starts: DataFrame) -> DataFrame:
+    """(start, name, hops): the ancestors of each start, fewest hops; of the starts only."""
+    if not g._kernel():
+        return fixpoint.reach(g.reverse().edges, starts)
+    asked = g.nodes.select("name").join(starts.select("name").distinct().withColumn("hit", F.lit(1)), "name", "left").select("name", F.coalesce("hit", F.lit(0)).alias("hit"))
+
+    def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+        out: dict[str, list] = {"start": [], "name": [], "hops": []}
+        for i, hit in enumerate(cols["hit"]):
+            seen, edge, step = {i}, [i] if hit else [], 0
+            while edge:
+                step += 1
+                edge = list(dict.fromkeys(j for k in edge for j in adj.inc[k] if j not in seen))
+                seen.update(edge)
+                for c, v in (("start", [adj.names[i]] * len(edge)), ("name", adj.label(edge)), ("hops", [step] * len(edge))):
+                    out[c] += v
+        return out
+
+    return fixpoint.by_component(asked, g.edges, g._components[0], kernel, "start string,name string,hops int", ["hit"])
+
+
 def impact(g: Graph, results: DataFrame, names: DataFrame) -> DataFrame:
     """name, affected (completed descendants), affected_leaves: how far each name reaches."""
     done = results.where("status = 'completed'").select("name")
@@ -110,67 +128,142 @@ def lineage_summary(results: DataFrame) -> DataFrame:
 # ---- explanation ----
 
 
-def dominated(g: Graph, pairs: DataFrame | None = None) -> DataFrame:
+def dominated(g: Graph) -> DataFrame:
     """name, dominates (sorted): the descendants whose other ancestors all lie above or below the node.
 
-    What is above a node is above its descendants, so it is enough to count: ancestors of the descendant
-    = the node, the node's ancestors and what lies between the two.
+    A descendant isn't dominated if one of its predecessors lies beside the node, or if it is below such a
+    descendant.  In components that fit a task ancestors are bitmaps; else the pairs with a predecessor beside the node
+    are passed on downward, and all other pairs are left.
     """
-    pairs = fixpoint.checkpoint(g.closure().select("src", "dst")) if pairs is None else pairs
-    above = pairs.groupBy(F.col("dst").alias("of")).agg(F.count("*").alias("n"))
-    a, b = pairs.alias("a"), pairs.alias("b")
-    between = a.join(b, F.col("a.dst") == F.col("b.src")).groupBy(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).agg(F.count("*").alias("between"))
-    j = pairs.join(between, ["src", "dst"], "left").join(above.select(F.col("of").alias("dst"), F.col("n").alias("all")), "dst")
-    j = j.join(above.select(F.col("of").alias("src"), F.col("n").alias("own")), "src", "left")
-    hit = j.where(F.col("all") == 1 + F.coalesce("own", F.lit(0)) + F.coalesce("between", F.lit(0)))
-    got = hit.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_list("dst")).alias("dominates"))
+    if g._kernel() and g._components[2] ** 2 <= 2 * fixpoint.KERNEL_PAIRS:
+        def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+            order = adj.kahn()
+            above, below = [0] * len(order), [0] * len(order)
+            for i in order:
+                for j in adj.inc[i]:
+                    above[i] |= above[j] | 1 << j
+            for i in reversed(order):
+                for j in adj.out[i]:
+                    below[i] |= below[j] | 1 << j
+            out: dict[str, list] = {"name": [], "dst": []}
+            for i in order:
+                line, left = above[i] | below[i] | 1 << i, below[i]
+                while left:
+                    j = (left & -left).bit_length() - 1
+                    left &= left - 1
+                    if not above[j] & ~line:
+                        out["name"].append(adj.names[i])
+                        out["dst"].append(adj.names[j])
+            return out
+
+        hit = fixpoint.by_component(g.nodes, g.edges, g._components[0], kernel, "name string,dst string")
+    else:
+        pairs = fixpoint.checkpoint(g.closure().select("src", "dst"))
+        e = fixpoint.checkpoint(g.edges.select(F.col("src").alias("p"), "dst").distinct())
+        ways = pairs.join(e, "dst").where("p <> src")
+        line = pairs.select("src", F.col("dst").alias("p")).unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("p")))
+        off = fixpoint.checkpoint(ways.join(line, ["src", "p"], "left_anti").select("src", "dst").distinct())
+        front = off
+        while not front.isEmpty():
+            front = front.select("src", F.col("dst").alias("p")).join(e, "p").select("src", "dst").distinct()
+            front = fixpoint.checkpoint(front.join(off, ["src", "dst"], "left_anti"))
+            off = fixpoint.checkpoint(off.unionByName(front))
+        hit = pairs.join(off, ["src", "dst"], "left_anti").withColumnRenamed("src", "name")
+    got = hit.groupBy("name").agg(F.array_sort(F.collect_list("dst")).alias("dominates"))
     return g.nodes.select("name").join(got, "name", "left").select("name", F.coalesce("dominates", F.array().cast("array<string>")).alias("dominates"))
 
 
 def explain(g: Graph, costs: DataFrame | None = None) -> DataFrame:
     """For every node: depth, on_critical_path, bottleneck, counts around it, is_root, is_leaf, dominates.
 
-    bottleneck = descendants / total, halved off the critical path, two decimals.
+    bottleneck = descendants / total, halved off the critical path, two decimals.  What is above and below a node is
+    counted from interval labels, without listing it.
     """
     n = g.node_count()
-    near = g.degrees()
-    pairs = fixpoint.checkpoint(g.closure().select("src", "dst"))
-    down = pairs.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("descendants"))
-    up = pairs.groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("ancestors"))
+    down = g.reachability_index().sizes().withColumnRenamed("n", "descendants")
+    up = g._reversed.reachability_index().sizes().withColumnRenamed("n", "ancestors")
     cp = g.critical_path(costs).select("name", F.lit(True).alias("on_critical_path"))
-    j = g.levels().join(near, "name").join(down, "name", "left").join(up, "name", "left").join(cp, "name", "left").join(dominated(g, pairs), "name")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    j = g.levels().join(g.degrees(), "name").join(down, "name").join(up, "name").join(cp, "name", "left").join(dominated(g), "name")
     on = F.coalesce("on_critical_path", F.lit(False))
     return j.select(
-        "name", F.col("level").alias("depth"), on.alias("on_critical_path"), F.round(z("descendants") / max(1, n) * F.when(on, 1.0).otherwise(0.5), 2).alias("bottleneck"),
-        "in_degree", "out_degree", z("ancestors").alias("ancestors"), z("descendants").alias("descendants"), (F.col("in_degree") == 0).alias("is_root"), (F.col("out_degree") == 0).alias("is_leaf"), "dominates",
+        "name", F.col("level").alias("depth"), on.alias("on_critical_path"), F.round(F.col("descendants") / max(1, n) * F.when(on, 1.0).otherwise(0.5), 2).alias("bottleneck"),
+        "in_degree", "out_degree", "ancestors", "descendants", (F.col("in_degree") == 0).alias("is_root"), (F.col("out_degree") == 0).alias("is_leaf"), "dominates",
     )
 
 
-def what_if(g: Graph, add_nodes: list[str] = (), add_edges: list[tuple[str, str]] = (), remove_nodes: list[str] = (), remove_edges: list[tuple[str, str]] = (), costs: DataFrame | None = None) -> dict:
-    """Effect of a change on a copy: counts, new roots, width, critical path; or the cycle it would make."""
-    spark, h = g.spark, g
-    if add_edges:
-        e = spark.createDataFrame(list(add_edges), "src string, dst string")
-        ends = e.select(F.explode(F.array("src", "dst")).alias("name")).distinct().join(h.nodes, "name", "left_anti")
-        h = h.add_nodes(ends, check=False).add_edges(e, check=False)
-        at = h.cyclic_core().agg(F.min("name")).first()[0]
+def changed(g: Graph, add_nodes: DataFrame | None = None, add_edges: DataFrame | None = None, remove_nodes: DataFrame | None = None, remove_edges: DataFrame | None = None) -> Graph:
+    """A copy with edges (src, dst; unknown ends become nodes) and nodes added, then one edge of each given pair and nodes removed."""
+    h = g
+    if add_edges is not None:
+        ends = add_edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct().join(h.nodes, "name", "left_anti")
+        h = h.add_nodes(ends, check=False).add_edges(add_edges, check=False)
+    if add_nodes is not None:
+        h = h.add_nodes(add_nodes.select("name").distinct().join(h.nodes, "name", "left_anti"), check=False)
+    if remove_edges is not None:
+        w = Window.partitionBy("src", "dst").orderBy("edge_id", "weight", "label")  # as many rows as there are parallel edges
+        gone = remove_edges.groupBy("src", "dst").agg(F.count("*").alias("__gone"))
+        lost = gone.join(h.edges, ["src", "dst"], "left_anti").first()
+        if lost:
+            raise EdgeNotFoundError(f"{lost['src']} -> {lost['dst']}")
+        e = h.edges.withColumn("__n", F.row_number().over(w)).join(gone, ["src", "dst"], "left").where("__n > coalesce(__gone, 0)").drop("__n", "__gone")
+        h = h._same(h.nodes, e)
+    return h.remove_nodes(remove_nodes) if remove_nodes is not None else h
+
+
+def relevelled(g: Graph, before: DataFrame, h: Graph) -> DataFrame:
+    """name, level of the changed graph ``h`` from the levels ``before`` of ``g``: only the cone of the change is relaxed again.
+
+    The cone is what new, changed and cut edges lead to and all below; a node of it starts from the levels of its
+    predecessors outside.
+    """
+    was, now = g.edges.select("src", "dst").distinct(), h.edges.select("src", "dst").distinct()
+    ends = now.join(was, ["src", "dst"], "left_anti").unionByName(was.join(now, ["src", "dst"], "left_anti")).select(F.col("dst").alias("name"))
+    fresh = h.nodes.select("name").join(g.nodes.select("name"), "name", "left_anti")
+    touched = ends.unionByName(fresh).distinct().join(h.nodes.select("name"), "name", "left_semi")
+    cone = fixpoint.checkpoint(h.dirty_set(touched))
+    into = fixpoint.checkpoint(now.join(cone.withColumnRenamed("name", "dst"), "dst", "left_semi"))
+    outer = into.join(cone.withColumnRenamed("name", "src"), "src", "left_anti").join(before.select(F.col("name").alias("src"), "level"), "src")
+    base = cone.join(outer.groupBy(F.col("dst").alias("name")).agg(F.max(F.col("level") + 1.0).alias("b")), "name", "left").select("name", F.coalesce("b", F.lit(0.0)).alias("b"))
+    inner = into.join(cone.withColumnRenamed("name", "src"), "src", "left_semi").select("src", "dst", F.lit(1.0).alias("w"))
+    again = contraction.weighted_sums(base, inner).select("name", F.col("value").cast("int").alias("level"))
+    same = before.join(h.nodes.select("name"), "name", "left_semi").join(cone, "name", "left_anti").select("name", "level")
+    return same.unionByName(again)
+
+
+def what_if(g: Graph, add_nodes: list[str] = (), add_edges: list[tuple[str, str]] = (), remove_nodes: list[str] = (), remove_edges: list[tuple[str, str]] = (), costs: DataFrame | None = None) -> DataFrame:
+    """figure, place, name, value: the effect of a change on a copy.
+
+    Rows: node_count, edge_count and width_delta with their value; orphaned with the name of each node that has become a root;
+    critical_path with place and name; or only cycle with place and name if new edges would close one.
+    """
+    spark = g.spark
+    frame = lambda rows, kind: spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], kind) if rows else None
+    new, e, gone = frame(list(add_nodes), "name string"), frame(list(add_edges), "src string, dst string"), frame(list(remove_nodes), "name string")
+    h = changed(g, new, e, gone, frame(list(remove_edges), "src string, dst string")).snapshot()
+    row = lambda df, figure, place, name, value: df.select(F.lit(figure).alias("figure"), place.cast("int").alias("place"), name.cast("string").alias("name"), value.cast("long").alias("value"))
+    none = F.lit(None)
+    if e is not None:
+        after = changed(g, None, e)
+        closing = after.creating_cycles(e)  # of the new edges, those whose end reaches their start
+        at = closing.agg(F.min("src")).first()[0]
         if at is not None:
-            return {"cycle": h.cycle_through(at)}
-    fresh = [x for x in add_nodes if not h.has_node(x)]
-    if fresh:
-        h = h.add_nodes(spark.createDataFrame([(x,) for x in fresh], "name string"), check=False)
-    for a, b in remove_edges:
-        h = h.remove_edge(a, b)
-    if remove_nodes:
-        h = h.remove_nodes(spark.createDataFrame([(x,) for x in remove_nodes], "name string"))
-    h = h.snapshot()
-    width = lambda x: stats(x).select("width").first()[0]
-    orphaned = [r[0] for r in h.roots().join(g.roots(), "name", "left_anti").where(~F.col("name").isin(list(fresh))).orderBy("name").collect()]
-    return {
-        "cycle": None, "node_count": h.node_count(), "edge_count": h.edge_count(), "orphaned": orphaned,
-        "width_delta": width(h) - width(g), "critical_path": [r["name"] for r in h.critical_path(costs).orderBy("place").collect()],
-    }
+            walk = after.cycle_through(at)  # one cycle
+            return row(spark.createDataFrame(list(enumerate(walk)), "place int, name string"), "cycle", F.col("place"), F.col("name"), none)
+    return effects(g, h, costs)
+
+
+def effects(g: Graph, h: Graph, costs: DataFrame | None = None) -> DataFrame:
+    """figure, place, name, value: what sets the changed graph ``h`` apart from ``g``, see ``what_if``."""
+    row = lambda df, figure, place, name, value: df.select(F.lit(figure).alias("figure"), place.cast("int").alias("place"), name.cast("string").alias("name"), value.cast("long").alias("value"))
+    none = F.lit(None)
+    before = fixpoint.checkpoint(g.levels())
+    width = lambda lvl, sign: lvl.groupBy("level").count().agg((F.coalesce(F.max("count"), F.lit(0)) * sign).alias("n"))
+    delta = width(relevelled(g, before, h), 1).unionByName(width(before, -1)).agg(F.sum("n").alias("n"))
+    roots = h.roots().join(g.roots(), "name", "left_anti")
+    roots = roots.join(g.nodes.select("name"), "name", "left_semi")  # new nodes aren't orphans
+    out = row(h.nodes.agg(F.count("*").alias("n")), "node_count", none, none, F.col("n")).unionByName(row(h.edges.agg(F.count("*").alias("n")), "edge_count", none, none, F.col("n")))
+    out = out.unionByName(row(delta, "width_delta", none, none, F.col("n"))).unionByName(row(roots, "orphaned", none, F.col("name"), none))
+    return out.unionByName(row(h.critical_path(costs), "critical_path", F.col("place"), F.col("name"), none))
 
 
 # ---- lint and shape rules ----
@@ -269,15 +362,15 @@ def profile_summary(g: Graph, results: DataFrame) -> DataFrame:
     p = fixpoint.checkpoint(profile(g, results))
     edge = p.where("duration > 0").select(F.explode(F.array(F.struct(F.col("earliest_start").alias("t"), F.lit(1).alias("d")), F.struct((F.col("earliest_start") + F.col("duration")).alias("t"), F.lit(-1).alias("d")))).alias("x")).select("x.*")
     steps = edge.groupBy("t").agg(F.sum("d").alias("d"))
-    busy = steps.select(F.sum("d").over(Window.orderBy("t")).alias("n")).agg(F.max("n").alias("max_parallelism"))
+    busy = fixpoint.running_total(steps, ["t"], "d", "before").agg(F.max(F.col("before") + F.col("d")).alias("max_parallelism"))
     total = p.agg(F.sum("duration").alias("total"), F.max(F.col("earliest_start") + F.col("duration")).alias("makespan"))
     return total.crossJoin(F.broadcast(busy)).select("total", "makespan", F.when(F.col("makespan") > 0, F.col("total") / F.col("makespan")).otherwise(0.0).alias("efficiency"), "max_parallelism")
 
 
 def bottlenecks(g: Graph, results: DataFrame, k: int = 5) -> DataFrame:
     """The k nodes of greatest duration x (1 + descendants)."""
-    down = g.closure().groupBy(F.col("src").alias("name")).agg(F.count("*").alias("descendants"))
     done = results.where("status = 'completed'").groupBy("name").agg(F.max("duration_seconds").alias("duration"))
+    down = g.reachability_index().sizes().withColumnRenamed("n", "descendants")
     s = done.join(down, "name", "left").withColumn("descendants", F.coalesce("descendants", F.lit(0))).withColumn("impact", F.col("duration") * (1 + F.col("descendants")))
     return s.orderBy(F.desc("impact"), "name").limit(k)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.errors import CycleError
@@ -179,21 +179,29 @@ def global_rank(df: DataFrame, by: list[str], column: str, offset: int = 0, smal
     return dealt.join(before, "__range").withColumn(column, (number("__range") + F.col("__before") + offset).cast("int")).drop("__range", "__before"), n
 
 
-def running_total(df: DataFrame, by: list[str], value: str, column: str, small: int = 100_000) -> DataFrame:
-    """df with ``column``: the sum of ``value`` over all rows before, in the order of ``by`` (which has no ties).
+def running(df: DataFrame, by: list[str], value: str, column: str, agg: Callable[[str], Column] = F.sum, small: int = 100_000) -> DataFrame:
+    """df with ``column``: ``agg`` (a sum, maximum or minimum) of ``value`` over all rows before, in the order of ``by``; null before the first.
 
     Rows are dealt into ranges and summed within each; the ranges' sums are carried on by the same means, so no
-    task sees all rows, nor all ranges, whatever their number.
+    task sees all rows, nor all ranges, whatever their number.  Rows that are equal in ``by`` may come in any order.
     """
     df = checkpoint(df)
     n = df.count()
-    before = lambda *part: F.coalesce(F.sum(value).over(Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = lambda part: agg(value).over(Window.partitionBy(part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
     if n <= small:
         return df.withColumn("__one", F.lit(0)).withColumn(column, before("__one")).drop("__one")
     dealt = checkpoint(df.repartitionByRange(-(-n // small), *by).withColumn("__range", F.spark_partition_id()))
-    sums = dealt.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    carried = running_total(sums, ["__range"], "__sum", "__carried", small).select("__range", "__carried")
-    return dealt.join(carried, "__range").withColumn(column, F.col("__carried") + before("__range")).drop("__range", "__carried")
+    sums = dealt.groupBy(F.col("__range").alias("part")).agg(agg(value).alias("held"))
+    carried = running(sums, ["part"], "held", "carried", agg, small).select(F.col("part").alias("__range"), F.col("carried").alias("__carried"))
+    inner = dealt.join(carried, "__range").withColumn("__inner", before("__range"))
+    both = F.coalesce(F.col("__carried") + F.col("__inner"), "__carried", "__inner") if agg is F.sum else (F.greatest if agg is F.max else F.least)("__carried", "__inner")
+    return inner.withColumn(column, both).drop("__range", "__carried", "__inner")
+
+
+def running_total(df: DataFrame, by: list[str], value: str, column: str, small: int = 100_000) -> DataFrame:
+    """df with ``column``: the sum of ``value`` over all rows before, in the order of ``by``; 0 before the first."""
+    out = running(df, by, value, column, F.sum, small)
+    return out.withColumn(column, F.coalesce(column, F.lit(0)))
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int, int]:

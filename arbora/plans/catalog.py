@@ -65,7 +65,7 @@ def closure_doubling_divisors(spark, sf):
 
 @query("reachability_index_divisors", f"WITH {DIVISORS} SELECT name, CAST(1 + (SELECT count(*) FROM de WHERE src = dn.name) AS BIGINT) AS reach FROM dn")
 def reachability_index_divisors(spark, sf):
-    return d.divisors(spark, sf).reachability_index().groupBy("name").agg(F.sum(F.expr("bitmap_count(bits)")).alias("reach"))
+    return d.divisors(spark, sf).reachability_index().sizes().select("name", (F.col("n") + 1).alias("reach"))
 
 
 @query("dirty_set_errors", f"WITH {CHAINS}, f AS (SELECT ck.user_id, min(ck.lvl) AS lvl FROM ck JOIN events e ON ck.name = 'event:' || e.event_id WHERE e.event_type = 'error' GROUP BY ck.user_id) SELECT name FROM ck JOIN f USING (user_id) WHERE ck.lvl >= f.lvl")
@@ -351,10 +351,10 @@ def partition_stats(spark, sf):
     return p.withColumns({"incoming": F.col("incoming").cast("long"), "outgoing": F.col("outgoing").cast("long")})
 
 
-@query("partition_order", "SELECT CAST(x AS INTEGER) AS partition_id, CAST(x AS INTEGER) AS level FROM range(0, 3) t(x)")
+@query("partition_order", f"WITH RECURSIVE {CHAINS}, m AS (SELECT max(lvl) + 1 AS depth FROM ck), p AS (SELECT name, CAST(least(3, floor(lvl / ceil(depth / 4.0))) AS INTEGER) AS q FROM ck, m), pe AS (SELECT DISTINCT a.q AS s, b.q AS t FROM ce JOIN p a ON a.name = src JOIN p b ON b.name = dst WHERE a.q <> b.q), l AS (SELECT DISTINCT q, 0 AS lev FROM p UNION SELECT pe.t, l.lev + 1 FROM l JOIN pe ON pe.s = l.q) SELECT q AS partition_id, CAST(max(lev) AS INTEGER) AS level FROM l GROUP BY q")
 def partition_order(spark, sf):
-    g = d.divisors(spark, sf)
-    return g.partition_order(g.partition_levels(3))
+    g = d.chains(spark, sf)
+    return g.partition_order(g.partition_levels(4))
 
 
 @query("weak_components", f"WITH {CHAINS} SELECT name, min(name) OVER (PARTITION BY user_id) AS component FROM ck")
@@ -440,10 +440,13 @@ def graph_rules(spark, sf):
     return rules.validate(d.hierarchy(spark, sf))
 
 
-@query("what_if")
+@query("what_if", f"WITH {CHAINS}, p AS (SELECT name AS gone FROM ck WHERE lvl = 1), cut AS (SELECT ck.*, lvl AS old, CASE WHEN lvl >= 2 THEN lvl - 2 ELSE lvl END AS lev FROM ck WHERE lvl <> 1), last AS (SELECT user_id, max(n) AS n, max(name) FILTER (lvl = 0) AS first FROM ck GROUP BY user_id), w AS (SELECT (SELECT max(c) FROM (SELECT count(*) AS c FROM cut GROUP BY lev)) - (SELECT max(c) FROM (SELECT count(*) AS c FROM ck GROUP BY lvl)) AS d), top AS (SELECT max(n) AS n FROM ck), tail AS (SELECT name, user_id, lev, n, count(*) FILTER (old >= 2) OVER (PARTITION BY user_id) AS len FROM cut WHERE old >= 2), best AS (SELECT name AS head, user_id FROM tail WHERE lev = 0 AND len = (SELECT max(len) FROM tail) ORDER BY name LIMIT 1) SELECT 'node_count' AS figure, CAST(NULL AS INTEGER) AS place, CAST(NULL AS VARCHAR) AS name, CAST((SELECT count(*) FROM cut) AS BIGINT) AS value UNION ALL SELECT 'edge_count', NULL, NULL, CAST((SELECT count(*) FROM ce WHERE src NOT IN (SELECT gone FROM p) AND dst NOT IN (SELECT gone FROM p)) AS BIGINT) UNION ALL SELECT 'width_delta', NULL, NULL, CAST(d AS BIGINT) FROM w UNION ALL SELECT 'orphaned', NULL, name, NULL FROM cut WHERE old = 2 UNION ALL SELECT 'critical_path', CAST(lev AS INTEGER), name, NULL FROM tail WHERE user_id = (SELECT user_id FROM best)")
 def what_if(spark, sf):
-    r = analysis.what_if(d.divisors(spark, sf), add_edges=[("s048", "goal")], remove_nodes=["s001"])
-    return spark.createDataFrame([(str(k), str(v)) for k, v in r.items()], "figure string, value string")
+    """The second event of every user removed."""
+    g = d.chains(spark, sf)
+    second = g.levels().where("level = 1")
+    h = analysis.changed(g, remove_nodes=second)
+    return analysis.effects(g, h)
 
 
 # ---- single nodes, cycles, changes ----

@@ -10,9 +10,11 @@ import threading
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.operators.fixpoint import global_rank
+
 RUN_LOG = "t double, name string, fp string, dur_ns long, effect string, replayable boolean, error string, metadata map<string,string>"
 TRACE = "event_type string, timestamp double, node_name string, step_index int, duration double, error string, metadata map<string,string>"
 
@@ -120,6 +122,6 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 def chrome_trace(trace: DataFrame) -> DataFrame:
     """line: Chrome trace events (microseconds, a thread id per node) of node starts and ends."""
     kind = F.when(F.col("event_type").endswith("started"), "B").when(F.col("event_type").rlike("(completed|failed|timed_out|cancelled)$"), "E")
-    ids = trace.where("node_name is not null").select("node_name").distinct().withColumn("tid", F.row_number().over(Window.orderBy("node_name")))
+    ids, _ = global_rank(trace.where("node_name is not null").select("node_name").distinct(), ["node_name"], "tid", 1)
     e = trace.where("node_name is not null").withColumn("ph", kind).where("ph is not null").join(ids, "node_name")
     return e.select(F.to_json(F.struct(F.col("node_name").alias("name"), "ph", (F.col("timestamp") * 1e6).cast("long").alias("ts"), F.lit(1).alias("pid"), "tid")).alias("line"))
