@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are cut at a time; masks of this size stay in the processor's cache.
 CUT_BYTES = 1 << 20
 #: Stretches that a worker remembers, and bytes of the longest one it does.
-MEMO, MEMO_BYTES = 400_000, 64
+MEMO, MEMO_BYTES = 250_000, 64
 
 BLANKS = [9, 10, 11, 12, 13, 32]
 LETTERS = [*range(65, 91), *range(97, 123)]
