@@ -3,7 +3,9 @@
 Features are hashed counts of letter 1-, 2- and 3-grams of the whole lower-cased text (square roots,
 unit length).  A linear SVM per family decides the family; within the family one linear SVM per pair
 of languages votes.  The classifier is fitted on a bounded sample: at most ``PER_LANG`` different rows of
-each language, those with the smallest hash of doc_id.  Prediction reads whole texts of all rows.
+each language, those with the smallest hash of doc_id.  Each pair of languages is learned in a task of its own, all
+families in one, from ``FAMILY_ROWS`` of these rows (at least ``FAMILY_LEAST`` of a language); rows stay sparse.
+Prediction reads whole texts of all rows.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no rows to learn from
 everything is ``und``; a language that ``FAMILIES`` doesn't name is a family of its own; a null doc_id
@@ -33,6 +35,8 @@ STRETCH = 1 << 18
 EPOCHS = 8
 PARTS = 64
 BROADCAST_ROWS = 200_000
+#: Rows that the families' task learns from in all, and from each language at least.
+FAMILY_ROWS, FAMILY_LEAST = 6000, 50
 
 # Families of common language codes.
 FAMILIES = {
@@ -73,7 +77,26 @@ def features(text: str) -> np.ndarray | None:
     return (out / np.linalg.norm(out)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, lam: float = 1e-4) -> np.ndarray:
+def sparse(f: np.ndarray) -> bytes:
+    return np.flatnonzero(f).astype("<i4").tobytes() + f[f != 0].astype("<f4").tobytes()
+
+
+class Rows:
+    """Packed feature vectors; only the rows asked for are made dense."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed, self.shape = packed, (len(packed), DIM)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), DIM), np.float32)
+        for k, i in enumerate(at):
+            f = self.packed[i]
+            half = len(f) // 2
+            out[k, np.frombuffer(f[:half], "<i4")] = np.frombuffer(f[half:], "<f4")
+        return out
+
+
+def linear_svm(x: Rows, y: np.ndarray, epochs: int = EPOCHS, lam: float = 1e-4) -> np.ndarray:
     """Pegasos on the hinge loss with balanced classes; the last weight is the bias."""
     rng = np.random.default_rng(7)
     n, d = x.shape
@@ -87,10 +110,11 @@ def linear_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, lam: float =
             i = order[at : at + 64]
             t += 1
             eta = 1 / (lam * (t + 1000))
-            bad = y[i] * (x[i] @ w[:d] + w[d]) < 1
+            some = x[i]
+            bad = y[i] * (some @ w[:d] + w[d]) < 1
             g = (weight[i] * y[i] * bad)
             w *= 1 - eta * lam
-            w[:d] += eta / len(i) * (g @ x[i])
+            w[:d] += eta / len(i) * (g @ some)
             w[d] += eta / len(i) * 0.1 * g.sum()
             if epoch >= epochs // 2:
                 mean += w
@@ -98,26 +122,18 @@ def linear_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, lam: float =
     return mean / max(1, step)
 
 
-def train(rows: list[tuple[np.ndarray, str]]) -> dict:
-    """Model from (features, language) pairs: families, their SVMs and the pairwise SVMs."""
-    langs = sorted({lang for _, lang in rows})
-    model: dict = {"langs": langs, "families": {}, "family_w": {}, "pair_w": {}}
-    if not langs:
-        return model
-    x = np.stack([f for f, _ in rows])
-    lab = np.array([langs.index(lang) for _, lang in rows])
+def grouped(langs: list[str]) -> dict[str, list[int]]:
+    """Family -> numbers of its languages."""
     groups: dict[str, list[int]] = {}
     for k, lang in enumerate(langs):
         groups.setdefault(family_of(lang), []).append(k)
-    model["families"] = groups
-    if len(groups) > 1:
-        for name, members in groups.items():
-            model["family_w"][name] = linear_svm(x, np.where(np.isin(lab, members), 1.0, -1.0))
-    for members in groups.values():
-        for a, b in combinations(members, 2):
-            at = np.isin(lab, (a, b))
-            model["pair_w"][f"{a},{b}"] = linear_svm(x[at], np.where(lab[at] == a, 1.0, -1.0))
-    return model
+    return groups
+
+
+def family_svms(packed: list[bytes], lab: np.ndarray, groups: dict[str, list[int]]) -> dict[str, np.ndarray]:
+    """One SVM for each family against all others."""
+    x = Rows(packed)
+    return {name: linear_svm(x, np.where(np.isin(lab, members), 1.0, -1.0)) for name, members in groups.items()}
 
 
 def pack(model: dict) -> str:
@@ -176,24 +192,37 @@ def fit(docs: DataFrame, held_out, per_lang: int = PER_LANG) -> dict:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                made = [(f, lang) for f, lang in zip(map(features, some.column(0).to_pylist()), some.column(1).to_pylist()) if f is not None]
+                made = [(sparse(f), lang, key) for f, lang, key in zip(map(features, some.column(0).to_pylist()), some.column(1).to_pylist(), some.column(2).to_pylist()) if f is not None]
                 if made:
-                    packed = [np.flatnonzero(f).astype("<i4").tobytes() + f[f != 0].astype("<f4").tobytes() for f, _ in made]
-                    yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array([x for _, x in made])], ["f", "lang"])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for batch in batches:
-            for f, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                half, v = len(f) // 2, np.zeros(DIM, np.float32)
-                v[np.frombuffer(f[:half], "<i4")] = np.frombuffer(f[half:], "<f4")
-                got.append((v, lang))
-        got.sort(key=lambda r: (r[1], r[0].tobytes()))  # the same model whatever order rows arrive in
-        yield pa.RecordBatch.from_arrays([pa.array([pack(train(got))])], ["model"])
-
-    made = sample.select("text", "lang").mapInArrow(vectors, "f binary, lang string").repartition(1).mapInArrow(learn, "model string")
-    row = made.first()
-    return unpack(row[0]) if row else train([])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.binary(), pa.string(), pa.int64()))], ["f", "lang", "key"])
+
+    vs = checkpoint(sample.select("text", "lang", F.xxhash64("doc_id").alias("key")).mapInArrow(vectors, "f binary, lang string, key long"))
+    langs = sorted(r[0] for r in vs.select("lang").distinct().collect())
+    groups = grouped(langs)
+    model: dict = {"langs": langs, "families": groups, "family_w": {}, "pair_w": {}}
+    # a task for all families, of some rows of each language, and a task for each pair
+    pairs = [(a, b) for members in groups.values() for a, b in combinations(members, 2)]
+    jobs = [(langs[k], f"{a},{b}") for a, b in pairs for k in (a, b)]
+    if not langs or not (jobs or len(groups) > 1):
+        return model
+    each = max(FAMILY_LEAST, FAMILY_ROWS // len(langs))
+    first = vs.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "f"))).where(F.col("place") <= each)  # at most per_lang rows a language
+    family = first.select(F.lit("").alias("job"), "lang", "f") if len(groups) > 1 else None
+    pair = vs.join(F.broadcast(docs.sparkSession.createDataFrame(jobs, "lang string, job string")), "lang").select("job", "lang", "f") if jobs else None  # two rows for each pair of languages
+    dealt = pair if family is None else family if pair is None else family.unionByName(pair)
+
+    def learn(key: tuple, table: pa.Table) -> pa.Table:
+        job, got = key[0].as_py(), sorted(zip(table["lang"].to_pylist(), table["f"].to_pylist()))  # the same model whatever order rows arrive in
+        packed, lab = [f for _, f in got], np.array([langs.index(lang) for lang, _ in got])
+        if job:
+            made = {job: linear_svm(Rows(packed), np.where(lab == int(job.split(",")[0]), 1.0, -1.0))}
+        else:
+            made = family_svms(packed, lab, groups)
+        return pa.table([pa.array([bool(job)] * len(made)), pa.array(list(made)), pa.array([np.asarray(w, "<f4").tobytes() for w in made.values()])], ["pair", "name", "w"])
+
+    for r in dealt.groupBy("job").applyInArrow(learn, "pair boolean, name string, w binary").collect():  # a row for each family and each pair
+        model["pair_w" if r["pair"] else "family_w"][r["name"]] = np.frombuffer(r["w"], "<f4")
+    return model
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
