@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment (DataFrame functions only).
 
-1. Sizes per (source, fine shard): one aggregate over all documents, at most ``FINE`` rows a source,
-   so a source that holds a third of all rows is already spread before anything is joined.
+1. Sizes per (source, fine shard): one aggregate over all documents, 4,096 cells a source and more where a
+   cell would hold over 1,024 rows, so a source that holds a third of all rows is already spread before anything
+   is joined, and shards follow its size.  Rows without a doc_id are dealt by their text.
 2. Targets by water filling: sources by weight, stopping at ``limit`` times a source's size.
 3. Equal blocks of ``block`` words are given to sources by the highest quotients target / (2 j + 1),
    and within a source to its shards in the same way: integer quotas per shard.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import checkpoint, seeded_hash, word_count
 
 FINE_BITS = 12
+CELL_ROWS = 1024
 SHARD_WORDS = 65536
 BLOCK = 4
 SEED = "mix"
@@ -89,10 +91,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     With ``keyed`` also key, a hash of the text that tells apart rows without a doc_id.
     """
-    fine = 1 << FINE_BITS
+    # more cells for more rows, so that a cell holds about CELL_ROWS of them at any size
+    fine_bits = min(30, max(FINE_BITS, (docs.count() // CELL_ROWS).bit_length()))
+    fine = 1 << fine_bits
+    place = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.xxhash64(F.col("text").cast("string")).cast("string"))).otherwise(F.col("doc_id").cast("string"))
     sized = docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-        (seeded_hash(F.col("doc_id"), seed=f"{seed}-shard") % fine).alias("fine"),
+        (seeded_hash(place, seed=f"{seed}-shard") % fine).alias("fine"),
         *([_row_key().alias("key")] if keyed else []),
     )
     more = ["key"] if keyed else []
@@ -101,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sources = sources.withColumn("seats", F.floor(F.col("total") / block + 0.5))
     sources = sainte_lague(sources, [], ["idx", "source"], "target", "seats").withColumnRenamed("quota", "source_quota")
     bits = F.coalesce(F.floor(F.log2(F.col("source_size") / float(SHARD_WORDS))), F.lit(0))
-    sources = sources.withColumn("shards", F.call_function("shiftleft", F.lit(1), F.least(F.lit(FINE_BITS), F.greatest(F.lit(0), bits)).cast("int")))
+    sources = sources.withColumn("shards", F.call_function("shiftleft", F.lit(1), F.least(F.lit(fine_bits), F.greatest(F.lit(0), bits)).cast("int")))
     sources = checkpoint(sources.select("source", "source_size", "target", "source_quota", "shards"))
     s = sources.withColumnRenamed("source", "__source")
     places = sums.join(s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("shard", F.col("fine") % F.col("shards"))

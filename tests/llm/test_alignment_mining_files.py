@@ -278,3 +278,37 @@ def test_remembered_forgets():
     memo = stretches.Remembered(lambda words: [calls.append(w) or w.upper() for w in words], most=3)
     assert memo.of([b"a", b"b", b"a"]) and memo.of([b"c" * 100, b"d", b"e"]) == [b"C" * 100, b"D", b"E"]
     assert len(memo.known) <= 3 and b"c" * 100 not in memo.known and memo.of([b"d"]) == [b"D"] and calls.count(b"d") == 1
+
+
+# ---- 3 and 10: no hot cell, bounded fits ----
+
+
+def test_rows_without_ids_lie_in_many_shards(spark, monkeypatch):
+    from arbora.llm import mixing
+
+    seen = []
+    real = mixing.checkpoint
+    monkeypatch.setattr(mixing, "checkpoint", lambda df: seen.append(real(df)) or seen[-1])
+    df = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "concat('a b c d e ', id) as text", "'one' as source")
+    assert abs(mixing.mix(df).agg(F.sum("taken")).first()[0] - 900_000) < 500
+    cells = seen[0].agg(F.count("*"), F.max("words")).first()
+    assert cells[0] > 4000 and cells[1] < 600
+    monkeypatch.setattr(mixing, "CELL_ROWS", 4)
+    seen.clear()
+    mixing.mix(df)
+    assert seen[0].count() > 20_000  # cells follow the rows
+
+
+def test_a_fit_of_sixty_languages_in_bounded_tasks(spark, monkeypatch):
+    from arbora.llm import langid
+
+    r = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:02d}": ["".join(r.choices(alphabet, k=3)) for _ in range(6)] for k in range(60)}
+    rows = [(i, " ".join("".join(r.choices(own[lang], k=2)) for _ in range(25)), lang) for i, lang in enumerate(list(own) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "family_of", lambda lang: f"f{int(lang[1:]) // 4}")
+    model = langid.fit(df, F.col("doc_id") % 8 == 7)
+    assert len(model["langs"]) == 60 and len(model["family_w"]) == 15 and len(model["pair_w"]) == 90
+    dense = langid.Rows([langid.sparse(langid.features(t)) for _, t, _ in rows[:3]])
+    assert np.array_equal(dense[np.array([2])][0], langid.features(rows[2][1])) and langid.predict(model, rows[5][1])[0] == rows[5][2]
