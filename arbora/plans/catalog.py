@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arbora.graph import Graph
 from arbora.operators import analysis
 from arbora.plans import derived as d
-from arbora.plans.derived import BASKETS, CHAINS, DIVISORS, HIERARCHY, REDUCED, RESULTS, TURNS
+from arbora.plans.derived import BASKETS, CHAINS, DIVISORS, HIERARCHY, REDUCED, RESULTS, SHORTCUTS, TURNS
 from arbora.plans.selection import select
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,9 +390,9 @@ def broken_lineage(spark, sf):
     return analysis.broken_lineage(d.chains(spark, sf), d.event_results(spark, sf))
 
 
-@query("data_flow_path", f"WITH {DIVISORS} SELECT 's001>s048' AS path, CAST(1 AS INTEGER) AS hops")
+@query("data_flow_path", f"WITH RECURSIVE {DIVISORS}, {REDUCED}, w AS (SELECT 's001' AS cur, 's001' AS path, 0 AS hops UNION ALL SELECT dr.dst, path || '>' || dr.dst, hops + 1 FROM w JOIN dr ON dr.src = w.cur WHERE dr.dst <> 's002') SELECT path, CAST(hops AS INTEGER) AS hops FROM w WHERE cur = 's048' ORDER BY hops, path LIMIT 1")
 def data_flow_path(spark, sf):
-    g = d.divisors(spark, sf)
+    g = d.divisors(spark, sf).transitive_reduction()
     done = g.nodes.select("name", F.when(F.col("name") == "s002", "failed").otherwise("completed").alias("status"))
     return analysis.data_flow_path(g, done, "s001", "s048").select(F.array_join("path", ">").alias("path"), "hops")
 
@@ -564,6 +564,80 @@ def chrome_trace(spark, sf):
     return made.select(F.from_json("line", "name string, ph string").alias("x")).groupBy("x.name", "x.ph").agg(F.count("*").alias("n"))
 
 
+# ---- large graphs: work that grows with the tables ----
+
+
+@query("can_reach_chains", f"WITH {CHAINS} SELECT a.name AS src, b.name AS dst, a.user_id = b.user_id AND a.lvl < b.lvl AS reaches FROM ck a, (VALUES (1), (150), (-7)) s(k), ck b WHERE b.name = 'event:' || (split_part(a.name, ':', 2)::BIGINT + k)")
+def can_reach_chains(spark, sf):
+    g = d.chains(spark, sf)
+    at = d.table(spark, sf, "events").select("event_id", F.explode(F.array(F.lit(1), F.lit(150), F.lit(-7))).alias("k"))
+    pairs = at.select(d._key("event", "event_id").alias("src"), F.concat(F.lit("event:"), (F.col("event_id") + F.col("k")).cast("string")).alias("dst"))
+    return g.can_reach(pairs.join(g.nodes.select(F.col("name").alias("dst")), "dst", "left_semi"))
+
+
+@query("reachable_from_world", f"WITH {HIERARCHY}, o AS (SELECT c_nationkey AS k, count(DISTINCT c_custkey) AS c, count(o_orderkey) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey), s AS (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY s_nationkey), n AS (SELECT n_nationkey AS k, n_regionkey AS r, coalesce(c, 0) + coalesce(o, 0) + coalesce(s, 0) AS n FROM nation LEFT JOIN o ON o.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey) SELECT 'region:' || r AS start, CAST(sum(n + 1) AS BIGINT) AS n FROM n GROUP BY r UNION ALL SELECT 'nation:' || k, CAST(n AS BIGINT) FROM n WHERE n > 0")
+def reachable_from_world(spark, sf):
+    """Descendants where suppliers and regions lead to customers too: listed from interval labels."""
+    g = d.world(spark, sf)
+    return g.reachable_from(g.nodes.where("name like 'region:%' or name like 'nation:%'")).groupBy("start").agg(F.count("*").alias("n"))
+
+
+@query("ancestors_of_world", f"WITH {HIERARCHY}, sc AS (SELECT c_custkey AS c, count(s_suppkey) AS n FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 10 = c_custkey % 10 GROUP BY c_custkey) SELECT 'order:' || o_orderkey AS start, CAST(4 + n AS BIGINT) AS n FROM orders JOIN sc ON c = o_custkey WHERE o_orderkey % 3 = 0")
+def ancestors_of_world(spark, sf):
+    g = d.world(spark, sf)
+    return g.ancestors_of(g.nodes.where("name like 'order:%' and cast(substring(name, 7) as long) % 3 = 0")).groupBy("start").agg(F.count("*").alias("n"))
+
+
+@query("reach_sizes_chains", f"WITH {CHAINS} SELECT name, CAST(n - 1 - lvl AS BIGINT) AS n FROM ck")
+def reach_sizes_chains(spark, sf):
+    return d.shortcut_chains(spark, sf).reachability_index().sizes()
+
+
+@query("reduction_chains", f"WITH {CHAINS} SELECT src, dst FROM ce")
+def reduction_chains(spark, sf):
+    return d.shortcut_chains(spark, sf).transitive_reduction().edges.select("src", "dst")
+
+
+@query("dominators_world", "SELECT 'world' AS name, 'world' AS idom UNION ALL SELECT 'region:' || r_regionkey, 'world' FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'customer:' || c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'region:' || n_regionkey ELSE 'nation:' || c_nationkey END FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders")
+def dominators_world(spark, sf):
+    return d.world(spark, sf).dominator_tree("world")
+
+
+@query("bottom_levels_chains", f"WITH {CHAINS}, {RESULTS} SELECT name, sum(duration_seconds + 1) OVER (PARTITION BY user_id ORDER BY lvl DESC) AS bottom_level FROM ck JOIN rs USING (name)")
+def bottom_levels_chains(spark, sf):
+    g = d.chains(spark, sf)
+    g.strategy = "rounds"  # contraction
+    return g.bottom_levels(d.event_results(spark, sf).select("name", (F.col("duration_seconds") + 1).alias("cost")))
+
+
+@query("execution_plan_chains", f"WITH {CHAINS}, {RESULTS}, x AS (SELECT name, lvl, duration_seconds + 1 AS c FROM ck JOIN rs USING (name)), m AS (SELECT lvl, max(c) AS longest FROM x GROUP BY lvl), st AS (SELECT lvl, coalesce(sum(longest) OVER (ORDER BY lvl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM m) SELECT CAST(lvl AS INTEGER) AS step_index, name, CAST(s AS DOUBLE) AS start_time, c AS duration FROM x JOIN st USING (lvl)")
+def execution_plan_chains(spark, sf):
+    return d.chains(spark, sf).execution_plan(d.event_results(spark, sf).select("name", (F.col("duration_seconds") + 1).alias("cost")))
+
+
+_LONGEST = "lg AS (SELECT user_id FROM ck WHERE lvl = 0 AND n = (SELECT max(n) FROM ck) ORDER BY name LIMIT 1)"
+
+
+@query("critical_path_chains", f"WITH {CHAINS}, {_LONGEST} SELECT CAST(lvl AS INTEGER) AS place, name, CAST(n - lvl AS DOUBLE) AS bottom_level FROM ck WHERE user_id = (SELECT user_id FROM lg)")
+def critical_path_chains(spark, sf):
+    return d.chains(spark, sf).critical_path()
+
+
+@query("explain_chains", f"WITH {CHAINS}, {_LONGEST}, t AS (SELECT count(*) AS t FROM ck) SELECT name, CAST(lvl AS INTEGER) AS depth, user_id = (SELECT user_id FROM lg) AS on_critical_path, round((n - 1 - lvl)::DOUBLE / t * CASE WHEN user_id = (SELECT user_id FROM lg) THEN 1.0 ELSE 0.5 END, 2) AS bottleneck, CAST(lvl AS BIGINT) AS ancestors, CAST(n - 1 - lvl AS BIGINT) AS descendants, lvl = 0 AS is_root, lvl = n - 1 AS is_leaf, CAST(n - 1 - lvl AS BIGINT) AS dominated FROM ck, t")
+def explain_chains(spark, sf):
+    e = analysis.explain(d.chains(spark, sf))
+    return e.select("name", "depth", "on_critical_path", "bottleneck", "ancestors", "descendants", "is_root", "is_leaf", F.size("dominates").cast("long").alias("dominated"))
+
+
+@query("first_paths_chains", f"WITH RECURSIVE {CHAINS}, {SHORTCUTS}, f AS (SELECT name, lvl FROM ck WHERE user_id = (SELECT min(user_id) FROM ck WHERE n > 12) AND lvl IN (0, 12)), w AS (SELECT [name] AS path, name AS cur FROM f WHERE lvl = 0 UNION ALL SELECT list_append(path, dst), dst FROM w JOIN cs ON src = cur WHERE len(path) < 13) SELECT array_to_string(path, '>') AS path FROM (SELECT path FROM w WHERE cur = (SELECT name FROM f WHERE lvl = 12) ORDER BY path LIMIT 100)")
+def first_paths_chains(spark, sf):
+    """Of the many ways from a user's first event to the 13th the first hundred, each built from its number."""
+    g, ev = d.shortcut_chains(spark, sf), d.table(spark, sf, "events")
+    user = ev.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 12").agg(F.min("user_id")).first()[0]
+    mine = [r[0] for r in ev.where(F.col("user_id") == user).orderBy("ts", "event_id").limit(13).select(d._key("event", "event_id")).collect()]  # 13 rows
+    return g.all_paths(mine[0], mine[12], 100).select(F.array_join("path", ">").alias("path"))
+
+
 # ---- selection language ----
 
 for _n, (_text, _sql) in {

@@ -53,6 +53,31 @@ ce AS (SELECT 'event:' || event_id AS src, 'event:' || nxt AS dst FROM (SELECT e
 ck AS (SELECT 'event:' || event_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS lvl, count(*) OVER (PARTITION BY user_id) AS n, user_id FROM events)"""
 
 
+def shortcut_chains(spark: SparkSession, sf_dir: str) -> Graph:
+    """The chains, and an edge from each event to the second after it in its chain."""
+    ev = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    far = ev.withColumn("far", F.lead("event_id", 2).over(w)).where("far is not null").select(_key("event", "event_id").alias("src"), _key("event", "far").alias("dst"))
+    g = chains(spark, sf_dir)
+    return g.add_edges(far, check=False)
+
+
+SHORTCUTS = """
+cs AS (SELECT src, dst FROM ce UNION ALL SELECT 'event:' || event_id, 'event:' || far FROM (SELECT event_id, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS far FROM events) WHERE far IS NOT NULL)"""
+
+
+def world(spark: SparkSession, sf_dir: str) -> Graph:
+    """The hierarchy under one root, with second ways: suppliers to customers of their nation, regions to each seventh customer."""
+    g = hierarchy(spark, sf_dir)
+    t = lambda n: table(spark, sf_dir, n)
+    top = t("region").select(F.lit("world").alias("src"), _key("region", "r_regionkey").alias("dst"))
+    same = t("supplier").join(t("customer"), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_suppkey") % 10 == F.col("c_custkey") % 10))
+    seventh = t("customer").where("c_custkey % 7 = 0").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    more = top.unionByName(same.select(_key("supplier", "s_suppkey").alias("src"), _key("customer", "c_custkey").alias("dst")))
+    more = more.unionByName(seventh.select(_key("region", "n_regionkey").alias("src"), _key("customer", "c_custkey").alias("dst")))
+    return g.add_nodes(spark.createDataFrame([("world",)], "name string"), check=False).add_edges(more, check=False)
+
+
 def divisors(spark: SparkSession, sf_dir: str) -> Graph:
     """Sizes of all parts; a -> b where a divides b.  Names sort as the numbers do."""
     s = table(spark, sf_dir, "part").select("p_size").where("p_size > 0").distinct()
