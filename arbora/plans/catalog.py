@@ -726,6 +726,38 @@ def version_at(spark, sf):
     return at_version(log, half).nodes.select("name")
 
 
+#: Events as changes: users come, go and are changed, and each event links its user to the next number's.
+_CHANGES = "ch AS (SELECT event_id AS v, user_id::VARCHAR AS u, (user_id + 1)::VARCHAR AS t, event_type AS k FROM events), hf AS (SELECT max(event_id) // 2 AS h FROM events), cv AS (SELECT ch.* FROM ch, hf WHERE v <= h)"
+
+
+def _changes(spark, sf):
+    ev = d.table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "view", "add_node").when(F.col("event_type") == "click", "set_payload").when(F.col("event_type") == "error", "remove_node").when(F.col("event_type") == "purchase", "add_edge").otherwise("remove_edge")
+    user, then = F.col("user_id").cast("string"), (F.col("user_id") + 1).cast("string")
+    of_edge = F.col("event_type").isin("purchase", "signup")
+    return ev.select(
+        F.col("event_id").alias("version"), kind.alias("mutation_type"), F.when(~of_edge, user).alias("name"), F.when(of_edge, user).alias("src"), F.when(of_edge, then).alias("dst"),
+        F.when(of_edge, F.lit(1.0)).alias("weight"), F.when(~of_edge, F.concat(F.lit("p"), "event_id")).alias("payload"),
+    ), ev.agg(F.expr("max(event_id) div 2")).first()[0]
+
+
+@query("version_nodes", f"WITH {_CHANGES}, a AS (SELECT u, max(v) FILTER (k = 'error') AS gone FROM cv GROUP BY u), l AS (SELECT cv.u, min(v) FILTER (k = 'view') AS born FROM cv JOIN a USING (u) WHERE v > coalesce(gone, -1) GROUP BY cv.u) SELECT l.u AS name, 'p' || max(v) AS payload FROM l JOIN cv ON cv.u = l.u AND v >= born WHERE k IN ('view', 'click') GROUP BY l.u")
+def version_nodes(spark, sf):
+    """Nodes with their payloads at half of all versions, from the table of intervals."""
+    from arbora.streaming.intervals import as_of, edge_intervals, node_intervals
+
+    log, half = _changes(spark, sf)
+    return as_of(node_intervals(log), edge_intervals(log), half).nodes.select("name", "payload")
+
+
+@query("version_edges", f"WITH {_CHANGES}, e AS (SELECT v, u, t, k, greatest(coalesce((SELECT max(v) FROM cv x WHERE x.k = 'error' AND x.u = cv.u), -1), coalesce((SELECT max(v) FROM cv x WHERE x.k = 'error' AND x.u = cv.t), -1)) AS cut FROM cv WHERE k IN ('purchase', 'signup')), s AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY v) AS no FROM e WHERE k = 'purchase' AND v > cut), r AS (SELECT u, count(*) AS n FROM e WHERE k = 'signup' AND v > cut GROUP BY u) SELECT u AS src, t AS dst, v AS valid_from FROM s LEFT JOIN r USING (u) WHERE no > coalesce(n, 0)")
+def version_edges(spark, sf):
+    from arbora.streaming.intervals import as_of, edge_intervals, node_intervals
+
+    log, half = _changes(spark, sf)
+    return as_of(node_intervals(log), edge_intervals(log), half).edges.select("src", "dst", F.col("edge_id").alias("valid_from"))
+
+
 @query("schema_violations", "SELECT 'c_acctbal' AS column, 'null_values' AS kind, CAST(0 AS BIGINT) AS n WHERE false UNION ALL SELECT 'c_phone', 'missing', 0 UNION ALL SELECT 'c_name', 'dtype', 0 UNION ALL SELECT NULL, 'max_rows', (SELECT count(*) FROM customer)")
 def schema_violations(spark, sf):
     from arbora.quality.schema import ColumnRule, FrameRules, violations
