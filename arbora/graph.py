@@ -832,10 +832,17 @@ class Graph:
         """Without the edges that a way of two hops or more makes redundant.
 
         Such an edge spans two levels at least.  The starts of these edges gather the labels of what their other
-        successors reach; an edge whose end lies in one of them is redundant.
+        successors reach; an edge whose end lies in one of them is redundant.  Small components are looked at in tasks.
         """
         from arbora.operators.labels import covered
 
+        if self._kernel() and self._components[2] ** 2 <= 2 * fixpoint.KERNEL_PAIRS:
+            def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+                drop = sorted(adj.redundant())
+                return {"src": adj.label(a for a, _ in drop), "dst": adj.label(b for _, b in drop)}
+
+            long = fixpoint.by_component(self.nodes, self.edges, self._components[0], kernel, "src string,dst string")
+            return self._same(self.nodes, self.edges.join(fixpoint.checkpoint(long), ["src", "dst"], "left_anti"))
         lvl = fixpoint.checkpoint(self.levels())
         e = self.edges.select("src", "dst").distinct()
         at = lambda c: lvl.select(F.col("name").alias(c), F.col("level").alias(f"{c}_level"))
