@@ -676,6 +676,23 @@ def json_round_trip(spark, sf):
     return from_json(spark, to_json(d.divisors(spark, sf))).edges.select("src", "dst")
 
 
+for _form in ("json", "bytes"):
+
+    @query(f"files_{_form}", f"WITH {HIERARCHY} SELECT name AS src, NULL AS dst FROM hn UNION ALL SELECT src, dst FROM he")
+    def _files(spark, sf, form=_form):
+        """The hierarchy written in parts in the shared checkpoint folder and read back."""
+        import uuid
+
+        from arbora.operators.fixpoint import ensure_checkpoint_dir
+        from arbora.sources.files import read_graph, write_graph
+
+        ensure_checkpoint_dir(spark)
+        folder = f"{spark.sparkContext.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+        write_graph(d.hierarchy(spark, sf), folder, form)
+        g = read_graph(spark, folder)
+        return g.nodes.select(F.col("name").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(g.edges.select("src", "dst"))
+
+
 @query("to_dot", f"WITH {DIVISORS} SELECT '  \"' || src || '\" -> \"' || dst || '\";' AS line FROM de")
 def to_dot(spark, sf):
     from arbora.sources.text import dot_lines

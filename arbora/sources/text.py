@@ -68,7 +68,7 @@ def to_mermaid(g: Graph) -> str:
 # ---- byte stream: counts and length-prefixed UTF-8 strings, little-endian ----
 
 
-def _put(text: str | None) -> bytes:
+def put_text(text: str | None) -> bytes:
     if text is None:
         return b"\0"
     raw = text.encode("utf-8")
@@ -79,14 +79,15 @@ def to_bytes(g: Graph) -> bytes:
     out = []
     nodes = list(g.nodes.orderBy("ord", "name").select("name", "payload").toLocalIterator())
     out.append(struct.pack("<Q", len(nodes)))
-    out += [_put(r[0]) + _put(r[1]) for r in nodes]
+    out += [put_text(r[0]) + put_text(r[1]) for r in nodes]
     edges = list(g.edges.orderBy("edge_id", "src", "dst").select("src", "dst", "weight", "label").toLocalIterator())
     out.append(struct.pack("<Q", len(edges)))
-    out += [_put(r[0]) + _put(r[1]) + struct.pack("<d", r[2]) + _put(r[3]) for r in edges]
+    out += [put_text(r[0]) + put_text(r[1]) + struct.pack("<d", r[2]) + put_text(r[3]) for r in edges]
     return b"".join(out)
 
 
-def from_bytes(spark: SparkSession, raw: bytes) -> Graph:
+def byte_rows(raw: bytes) -> tuple[list[tuple], list[tuple]]:
+    """(name, payload) of the nodes and (src, dst, weight, label) of the edges of a byte stream."""
     at = 0
 
     def take(fmt: str):
@@ -107,9 +108,14 @@ def from_bytes(spark: SparkSession, raw: bytes) -> Graph:
         at += n
         return raw[at - n : at].decode("utf-8")
 
-    nodes = [(text(), text(), k) for k in range(take("<Q"))]
-    edges = [(text(), text(), take("<d"), text(), k) for k in range(take("<Q"))]
-    return Graph(spark.createDataFrame(nodes, "name string, payload string, ord long"), spark.createDataFrame(edges, "src string, dst string, weight double, label string, edge_id long"))
+    nodes = [(text(), text()) for _ in range(take("<Q"))]
+    return nodes, [(text(), text(), take("<d"), text()) for _ in range(take("<Q"))]
+
+
+def from_bytes(spark: SparkSession, raw: bytes) -> Graph:
+    nodes, edges = byte_rows(raw)
+    n = spark.createDataFrame([(*r, k) for k, r in enumerate(nodes)], "name string, payload string, ord long")
+    return Graph(n, spark.createDataFrame([(*r, k) for k, r in enumerate(edges)], "src string, dst string, weight double, label string, edge_id long"))
 
 
 # ---- for people ----

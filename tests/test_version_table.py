@@ -48,3 +48,27 @@ def test_version_table(spark, rows, tmp_path):
     for v in (59, 90):
         with pytest.raises(GraphError):
             c.at(v)
+
+
+@pytest.mark.parametrize("form", ["json", "bytes"])
+def test_graph_files_in_parts(spark, tmp_path, form):
+    import os
+
+    from arbora.graph import Graph
+    from arbora.sources import text
+    from arbora.sources.files import read_graph, write_graph
+
+    nodes = spark.createDataFrame([(f'n"{k} é', f'{{"k": {k}}}' if k % 2 else None) for k in range(40)], "name string, payload string").repartition(3)
+    edges = spark.createDataFrame([('n"1 é', 'n"2 é', 2.5, "x"), ('n"1 é', 'n"2 é', 1.0, None)], "src string, dst string, weight double, label string")
+    folder = str(tmp_path / form)
+    write_graph(Graph(nodes, edges), folder, form)
+    back = read_graph(spark, folder)
+    assert sorted(map(tuple, back.nodes.select("name", "payload").collect()), key=repr) == sorted(map(tuple, nodes.collect()), key=repr)
+    assert sorted(map(tuple, back.edges.select("src", "dst", "weight", "label").collect()), key=repr) == sorted(map(tuple, edges.collect()), key=repr)
+    parts = [f for f in os.listdir(folder) if f.startswith("part-")]
+    assert len(parts) > 2 and not [f for f in os.listdir(folder) if f.startswith("_part")]
+    if form == "bytes":
+        with open(os.path.join(folder, parts[0]), "rb") as f:
+            assert text.from_bytes(spark, f.read()).node_count() >= 0
+    write_graph(Graph(nodes.limit(0), edges.limit(0)), folder, form)
+    assert read_graph(spark, folder).node_count() == 40
