@@ -1,7 +1,7 @@
 """Token files compressed by Re-Pair grammars, with random access.
 
 ``write_tokens`` orders documents by doc_id in ranges, encodes them and packs them into shards of whole
-documents, some million ids each.  In a shard the pairs of neighbouring symbols that occur most are replaced
+documents, half a million ids each.  In a shard the pairs of neighbouring symbols that occur most are replaced
 by new symbols (nonterminals), again and again: every round counts all pairs, takes those that occur often
 enough, prefers the more frequent where two overlap, and rewrites the sequence; the bound on "often" falls from
 round to round down to ``FREQUENT``, and it ends when a round no longer replaces 1/64 of the symbols.  Pairs
@@ -35,12 +35,12 @@ from arbora.llm.common import ensure_checkpoint_dir
 from arbora.operators.fixpoint import running_total
 
 END = 1
-SHARD_IDS = 1_000_000
+SHARD_IDS = 500_000
 #: Documents of one range of doc_ids; its shards are written by one task.
 RANGE_ROWS = 20_000
 FREQUENT = 16
 #: Bytes of text that are encoded at a time.
-GROUP_BYTES = 1 << 22
+GROUP_BYTES = 1 << 21
 #: Ids that fit two bytes.
 SHORT = 1 << 16
 
@@ -74,7 +74,7 @@ class WordEncoder:
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         self.cutter = st.Cutter(table, st.BLANKS, lower)
-        self.known = st.Remembered(self.encoded)
+        self.known = st.KnownWords(self.encoded)
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word."""
@@ -104,12 +104,10 @@ class WordEncoder:
             plain = texts
         words, at = self.cutter.cut(plain)
         coded = words.dictionary_encode()
-        made = self.known.of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
-        flat = np.frombuffer(b"".join(made), "<u4")
+        flat, begins, sizes = self.known.of(coded.dictionary)
         index = coded.indices.to_numpy()
         lens = sizes[index]
-        ids = flat[st.spread((np.cumsum(sizes) - sizes)[index], lens)]
+        ids = flat[st.spread(begins[index], lens)]
         counts = np.diff(np.concatenate([[0], np.cumsum(lens)])[at])
         if not len(odd):
             return ids, counts
@@ -299,9 +297,10 @@ def _shards(path: str, end_id: int, shard_ids: int, frequent: int):
                     if n >= shard_ids:
                         yield packed(held, seq, enc)
                         held, n, seq = [], 0, seq + 1
+                        pa.default_memory_pool().release_unused()
         if held:
             yield packed(held, seq, enc)
-        enc.known.known.clear()  # the worker lives on, for other stages
+        enc.known.clear()  # the worker lives on, for other stages
 
     return run
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 CUT_BYTES = 1 << 20
 #: Stretches that a worker remembers, and bytes of the longest one it does.
 MEMO, MEMO_BYTES = 250_000, 64
+#: Words that a worker knows as flat arrays.
+KNOWN = 600_000
 
 BLANKS = [9, 10, 11, 12, 13, 32]
 LETTERS = [*range(65, 91), *range(97, 123)]
@@ -126,6 +128,46 @@ class Remembered:
         return found
 
 
+class KnownWords:
+    """Ids of words met before, as flat arrays: some forty bytes a word.  When full it begins anew; long words are not kept."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], most: int = KNOWN):
+        self.make, self.most = make, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.large_binary())
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, sizes): word k has the ids from begins[k] on, sizes[k] of them; ``words`` are all different."""
+        found = pc.index_in(words, value_set=self.words)
+        lost = found.is_null().to_numpy(zero_copy_only=False)
+        place = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        ids, sizes = self.ids, self.sizes
+        if lost.any():
+            new = words.filter(pa.array(lost))
+            made = self.make(new.to_pylist())
+            place[lost] = len(sizes) + np.arange(len(new))
+            ids = np.concatenate([ids, np.frombuffer(b"".join(made), "<u4")])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, made), np.int64, len(made)) >> 2])
+        begins = np.cumsum(sizes) - sizes
+        out = ids, begins[place], sizes[place]
+        if lost.any():
+            self._keep(new, made)
+        return out
+
+    def _keep(self, new: pa.Array, made: list[bytes]) -> None:
+        short = pc.less_equal(pc.binary_length(new), MEMO_BYTES)
+        new, made = new.filter(short), [m for m, s in zip(made, short.to_pylist()) if s]
+        if len(self.words) + len(new) > self.most:
+            self.clear()
+            new, made = new.slice(0, self.most), made[: self.most]
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, made), np.int64, len(made)) >> 2])
+
+
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every range, one after the other."""
     ends = np.cumsum(lens)

@@ -312,3 +312,13 @@ def test_a_fit_of_sixty_languages_in_bounded_tasks(spark, monkeypatch):
     assert len(model["langs"]) == 60 and len(model["family_w"]) == 15 and len(model["pair_w"]) == 90
     dense = langid.Rows([langid.sparse(langid.features(t)) for _, t, _ in rows[:3]])
     assert np.array_equal(dense[np.array([2])][0], langid.features(rows[2][1])) and langid.predict(model, rows[5][1])[0] == rows[5][2]
+
+
+def test_known_words_begin_anew():
+    calls = []
+    known = stretches.KnownWords(lambda words: [calls.append(w) or np.frombuffer(w, np.uint8).astype("<u4").tobytes() for w in words], most=3)
+    for some in ([b"a", b"bc"], [b"bc", b"d" * 80, b"e"], [b"f", b"a", b"g"], [b"a"], []):
+        ids, begins, sizes = known.of(pa.array(some, pa.large_binary()))
+        assert [bytes(ids[b : b + n].astype(np.uint8)) for b, n in zip(begins, sizes)] == some
+        assert len(known.words) <= 3
+    assert calls.count(b"bc") == 1
