@@ -8,10 +8,12 @@ import os
 import pickle
 import threading
 import time
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from arbora.operators.fixpoint import global_rank
 
@@ -109,6 +111,47 @@ def last_values(stream: DataFrame) -> DataFrame:
     return stream.groupBy("name").agg(F.max_by(F.struct("t", "fp", "error"), "t").alias("last")).select("name", "last.*")
 
 
+class _Last(StatefulProcessor):
+    """A name's last record (by seq) not later than ``at``; given out once the watermark has passed ``at``."""
+
+    def __init__(self, at: float):
+        self.at, self.due = at, int(at * 1000) + 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, t double, fp string, error string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        had = self.last.get() if self.last.exists() else None
+        best = had
+        for r in rows:
+            if r["t"] <= self.at and (best is None or r["seq"] > best[0]):
+                best = (r["seq"], r["t"], r["fp"], r["error"])
+        if best is not had:
+            self.last.update(tuple(best))
+            if had is None:
+                self.handle.registerTimer(self.due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        seq, t, fp, error = self.last.get()
+        self.last.clear()
+        yield Row(name=key[0], seq=seq, t=t, fp=fp, error=error)
+
+    def close(self) -> None:
+        pass
+
+
+def replay_stream(stream: DataFrame, at: float, late: str = "10 minutes") -> DataFrame:
+    """name, seq, t, fp, error: streaming form of ``replay`` for a log whose times don't fall with seq, in whatever order it arrives.
+
+    State is one record a name, kept by event time: a name's row comes, once, when the watermark (``late`` behind the
+    greatest time seen) has passed ``at``.  Append mode; needs the RocksDB state store.
+    """
+    timed = stream.select("name", "seq", "t", "fp", "error", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("name").transformWithState(_Last(at), "name string, seq long, t double, fp string, error string", "Append", "EventTime")
+
+
 def rates(stream: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Records and errors a window of event time, late ones within the watermark; an extension."""
     timed = stream.withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", late)
