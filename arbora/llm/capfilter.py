@@ -275,3 +275,16 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, caps: int = CAP
 
 def dedup_query(embeddings: DataFrame) -> DataFrame:
     return near_links(embeddings)
+
+
+#: The same rows by DuckDB, from all pairs; equal where the index misses no link (there is none to miss in the small tables).
+DEDUP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, e FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) >= 0.95 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node)
+SELECT vec_id, CAST((SELECT count(*) FROM l WHERE l.a = vec_id) AS BIGINT) AS n_links, min(low) AS component_id, vec_id = min(low) AS kept
+FROM embeddings JOIN r ON r.node = vec_id GROUP BY vec_id
+"""

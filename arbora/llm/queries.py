@@ -103,9 +103,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can express: the others are tested against brute force, round trips or held-out rows."""
+    from arbora.llm.capfilter import DEDUP_SQL
     from arbora.llm.lm import LM_SQL
     from arbora.llm.mixing import MIX_SQL
     from arbora.llm.mtree import SEARCH_SQL
     from arbora.llm.voronoi import MINING_SQL
 
-    return {"op1_top_k": SEARCH_SQL, "op2_lm_scores": LM_SQL, "op3_mixing": MIX_SQL, "op12_hard_negatives": MINING_SQL}
+    return {"op1_top_k": SEARCH_SQL, "op2_lm_scores": LM_SQL, "op3_mixing": MIX_SQL, "op8_embedding_dedup": DEDUP_SQL, "op12_hard_negatives": MINING_SQL}

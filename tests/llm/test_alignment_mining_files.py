@@ -322,3 +322,24 @@ def test_known_words_begin_anew():
         assert [bytes(ids[b : b + n].astype(np.uint8)) for b, n in zip(begins, sizes)] == some
         assert len(known.words) <= 3
     assert calls.count(b"bc") == 1
+
+
+# ---- 8 ----
+
+
+def test_embedding_groups_by_sql(spark, tmp_path):
+    """Planted copies, near copies and a chain of them, against all pairs in SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from arbora.llm import capfilter
+
+    r = np.random.default_rng(2)
+    base = r.normal(size=(60, 16))
+    near = [base[k] + r.normal(size=16) * 0.02 for k in range(12)]
+    chain = [base[40] + k * 0.28 * np.linalg.norm(base[40]) * np.eye(16)[3] for k in range(1, 4)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*base, *near, *chain, base[5], base[5] * 3, np.zeros(16)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    want = sorted(con.sql(capfilter.DEDUP_SQL).fetchall())
+    assert sorted(map(tuple, capfilter.dedup_query(df).select("vec_id", "n_links", "component_id", "kept").collect())) == want and sum(x[1] for x in want) >= 24
