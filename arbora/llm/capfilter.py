@@ -20,7 +20,7 @@ pairs of blocks dealt to tasks of their own.
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing;
 vectors of different lengths don't link; rows without a vec_id have no links, no component and are not
 kept; repeated rows count as vectors each (the component is the same, kept is true for each with the
-smallest id); an empty table gives no rows.
+smallest id); an empty table gives no rows; columns other than vec_id and embedding are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ lower-cased A-Z and split at \\x20 and \\x09-\\x0D: c(abc) / c(ab) where it occu
 The first two words of a text start at the order that their history allows.
 
 Defined cases: null and empty texts have 0 words and score 0; documents with the same doc_id are scored
-each for itself; equal texts in other rows count as other documents; a null doc_id stays null.
+each for itself; equal texts in other rows count as other documents; a null doc_id stays null; texts of any length
+are read whole, a block is as large as its largest; an empty table gives no rows; columns other than doc_id and text
+are not read and may have any name.
 """
 
 from __future__ import annotations

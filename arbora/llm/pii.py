@@ -10,7 +10,9 @@ Patterns are written so that they run in linear time and constant stack on any t
 plain leftmost forms match.
 
 Everything happens within a row: no shuffle, no join, so null or repeated doc_ids keep their rows.
-Defined cases: null text is the empty text (no spans); positions are code points, ends exclusive.
+Defined cases: null text is the empty text (no spans); positions are code points, ends exclusive; texts of any length
+are read whole; an empty table gives no rows; other columns keep their values, those with names used here may clash
+only in ``all_spans``, which ``redacted`` and the query feed their own columns.
 """
 
 from __future__ import annotations

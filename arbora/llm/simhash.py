@@ -8,7 +8,8 @@ component whole, and a value can hold at most 65 distinct fingerprints at radius
 copies grows, as exact copies are one fingerprint before the shuffle.
 
 Defined cases: null or word-less text has fingerprint 0 and is linked like any other; a null doc_id
-never names a component (a component of null ids only has a null id); repeated rows stay rows.
+never names a component (a component of null ids only has a null id); repeated rows stay rows; texts of any
+length are read whole; an empty table gives no rows; columns other than doc_id and text are not read and may have any name.
 
 The pipeline's stage (:func:`keep_one_similar`) has a rule of its own: texts are linked whose sets of
 five-word shingles have a Jaccard similarity of 0.8 or more.  64 bits don't reach that (about ten of them

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is written
 as Parquet and read again as the next one's docs.  All but the last return the columns of ``documents``.
+
+Defined cases, in every stage: null and empty texts are documents like others (never toxic, all alike for
+near-duplicates, nothing to redact; a document without a word is taken 0 times by the mix and so ends there); texts
+of any length are handled whole; a null doc_id stays a row of its own; repeated rows stay rows until one of each
+group of near-duplicates is kept; an empty table gives an empty one; further columns travel along whatever their names.
 """
 
 from __future__ import annotations

@@ -733,3 +733,40 @@ def test_pipeline_by_the_rule_of_the_stage(spark, docs, empty, tmp_path, whole):
     empty.write.parquet(f"{none}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
     assert corpus_pipeline.run(spark, none).count() == 0
+
+
+# ---- long texts, null and repeated ids, clashing names ----
+
+
+def test_very_long_texts_in_counts_mix_and_fingerprints(spark):
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    df = spark.createDataFrame([(1, long, "a"), (2, long + " end", "a"), (3, "short text here", "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["n_words"] for r in lm.lm_query(df).collect()} == {1: 60_000, 2: 60_001, 3: 3}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_query(df).collect()} == {1: 60_000, 2: 60_001, 3: 3}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert got[1] == (f"{brute_fingerprint(long):016x}", 1) and got[2][1] == 1 and got[3] == (f"{brute_fingerprint('short text here'):016x}", 3)
+
+
+def test_personal_data_of_null_and_repeated_ids(spark, empty):
+    rows = [(None, "mail a@b.cd now"), (7, "mail a@b.cd now"), (7, "mail a@b.cd now"), (7, None), (None, None), (8, "x " * 100_000 + "10.0.0.1")]
+    got = sorted(((r["doc_id"], r["n_email"], r["n_ip"]) for r in pii.pii_query(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(None, 1, 0), (7, 1, 0), (7, 1, 0), (7, 0, 0), (None, 0, 0), (8, 0, 1)], key=repr)
+    assert pii.pii_query(empty).count() == 0
+
+
+def test_pipeline_over_clashing_columns(spark, tmp_path):
+    """Columns named like those used inside travel through all stages but the last."""
+    import corpus_pipeline
+
+    odd = "doc_id long, text string, lang string, source string, n_chars long, block int, spans string, fine int, taken long, row string, label int, node long, key long, score double"
+    rows = [(k, prose(random.Random(k), 40), "en", f"s{k % 2}", 5, k, "x", k, 1, "r", 0, k, k, 0.5) for k in range(12)] + [(None, "one two three four five six", "en", None, 1, 1, "y", 1, 2, "r", 1, 1, 1, 0.1)]
+    spark.createDataFrame(rows, odd).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == names, name
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    assert {r["block"] for r in now.collect() if r["doc_id"] is not None} <= set(range(12)) and now.count() >= 13
