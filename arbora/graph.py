@@ -419,12 +419,13 @@ class Graph:
         return self.reached([name], forward=False).select("name")
 
     def is_ancestor(self, a: str, b: str) -> bool:
-        return not self.reached([a]).where(F.col("name") == b).isEmpty()
+        self._require([a])
+        return not fixpoint.reaches(self.edges, self.spark.createDataFrame([(a, b)], "src string, dst string")).isEmpty()
 
     def are_ancestors(self, pairs: DataFrame) -> DataFrame:
         """src, dst, reaches: whether src of each given pair is an ancestor of dst."""
         p = pairs.select("src", "dst")
-        down = self.reached(p.select(F.col("src").alias("name")).distinct()).select(F.col("start").alias("src"), F.col("name").alias("dst"), F.lit(True).alias("__hit"))
+        down = fixpoint.reaches(self.edges, p).withColumn("__hit", F.lit(True))
         return p.join(down, ["src", "dst"], "left").select("src", "dst", F.coalesce("__hit", F.lit(False)).alias("reaches"))
 
     def dirty_set(self, changed: DataFrame) -> DataFrame:
@@ -437,7 +438,7 @@ class Graph:
                 return {"name": adj.label(sorted({*starts, *adj.reach(starts)}))}
 
             return fixpoint.by_component(hit, self.edges, self._components[0], kernel, "name string", ["hit"])
-        return fixpoint.reach(self.edges, changed.select("name").join(self.nodes.select("name"), "name", "left_semi"), None, True).select("name").distinct()
+        return fixpoint.reach_set(self.edges, changed.select("name").join(self.nodes.select("name"), "name", "left_semi"))
 
     def change_provenance(self, changed: DataFrame) -> DataFrame:
         """(name, changed): every dirty node with the changed nodes that reach it, itself included."""

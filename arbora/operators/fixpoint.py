@@ -119,6 +119,45 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, keep_st
     return seen if keep_start else seen.where("hops > 0")
 
 
+def reach_set(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """name: the given names and all that any of them reaches; a row per node, whichever start came first."""
+    e = edges.select("src", "dst").distinct()
+    front = checkpoint(starts.select("name").distinct())
+    seen = front
+    for step in count(1):
+        new = e.join(front, e["src"] == front["name"], "left_semi")
+        front = checkpoint(new.select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+        if step % 8 == 0:
+            seen = checkpoint(seen)
+
+
+def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst): those of the given pairs whose src reaches dst.
+
+    A start is followed only while some pair of its own is open, so a near answer ends its search.
+    """
+    e = edges.select("src", "dst").distinct()
+    left = checkpoint(pairs.select("src", "dst").distinct())
+    front = checkpoint(left.select(F.col("src").alias("start"), F.col("src").alias("name")).distinct())
+    seen, found = front, left.limit(0)
+    for step in count(1):
+        new = front.join(e, front["name"] == e["src"]).select("start", F.col("dst").alias("name")).distinct()
+        front = checkpoint(new.join(seen, ["start", "name"], "left_anti"))
+        if front.isEmpty():
+            return found
+        hit = checkpoint(left.join(front.select(F.col("start").alias("src"), F.col("name").alias("dst")), ["src", "dst"], "left_semi"))
+        if not hit.isEmpty():
+            found = found.unionByName(hit)
+            left = checkpoint(left.join(hit, ["src", "dst"], "left_anti"))
+            front = checkpoint(front.join(left.select(F.col("src").alias("start")).distinct(), "start", "left_semi"))
+        seen = seen.unionByName(front)
+        if step % 8 == 0:
+            seen = checkpoint(seen)
+
+
 def closure_doubling(edges: DataFrame) -> DataFrame:
     """(src, dst, hops_min, hops_max) of all reachable pairs by path doubling; raises on a cycle."""
     p = edges.groupBy("src", "dst").agg(F.lit(1).alias("hops_min"), F.lit(1).alias("hops_max"))

@@ -55,6 +55,20 @@ def test_index(both):
     assert {r["name"]: r["n"] for r in g.reachability_index().sizes().collect()} == {n: len(below[n]) for n in dag}
 
 
+def test_pairs_and_dirty_set(both):
+    dag, g = both
+    spark = g.spark
+    below = {n: set(dag.descendants(n)) for n in dag}
+    every = spark.createDataFrame([(a, b) for a in dag for b in dag] * 2, "src string, dst string")
+    got = g.are_ancestors(every).collect()
+    assert len(got) == 2 * len(below) ** 2 and all(r["reaches"] == (r["dst"] in below[r["src"]]) for r in got)
+    assert g.is_ancestor("n0000", "z0004") and not g.is_ancestor("z0004", "n0000") and not g.is_ancestor("n0000", "n0000")
+    assert g.are_ancestors(every.limit(0)).count() == 0
+    changed = ["n0003", "n0007", "z0002", "not there"]
+    rows = g.dirty_set(spark.createDataFrame([(x,) for x in changed * 2], "name string")).collect()
+    assert sorted(r["name"] for r in rows) == sorted(set().union(*({x} | below[x] for x in changed if x in below)))
+
+
 def test_levels_orders_reduction(both):
     dag, g = both
     lvl = {n: k for k, x in enumerate(dag.topological_levels()) for n in x}
