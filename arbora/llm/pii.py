@@ -36,13 +36,13 @@ BASE = {
 # High-recall patterns; what they find is only a candidate.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]{0,36}::)[0-9A-Fa-f]{0,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}+)(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z._-])[0-9](?:[ .-]?[0-9]){12,18}+(?![0-9A-Za-z_])",
-    "phone": r"(?<![0-9A-Za-z+._/-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z_/-])",
+    "phone": r"(?<![0-9A-Za-z+._/-])(?:(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\(?0[1-9][0-9]{0,3}\)?[ ./-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}+)(?![0-9A-Za-z_/-])",
 }
 # A text without any of these can't hold a match: a cheap test before the patterns.
 NEEDS = {"email": "instr(text, '@') > 0", "ip": "text rlike '[0-9]\\\\.[0-9]'", "card": "text rlike '[0-9][ -]?[0-9]'", "phone": "instr(text, '+') > 0"}
-LOOSE_NEEDS = {"email": "text rlike '@|\\\\((?:at)\\\\)|\\\\[(?:at)\\\\]'", "ip": "text rlike '[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:'", "card": "text rlike '[0-9][ .-]?[0-9]'", "phone": "text rlike '[0-9]{4}'"}
+LOOSE_NEEDS = {"email": "text rlike '@|\\\\((?:at)\\\\)|\\\\[(?:at)\\\\]'", "ip": "text rlike '::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:'", "card": "text rlike '[0-9][ .-]?[0-9]'", "phone": "text rlike '[0-9]{4}|0[1-9][0-9]{0,3}[)]?[ ./-][0-9]{2}'"}
 CUES = {
     "email": "mail|e-mail|contact|write to|correo|courriel",
     "ip": "ip|host|server|address|adresse",
@@ -50,6 +50,7 @@ CUES = {
     "phone": "phone|tel|call|mobile|cell|fax|ring|anruf|telefon|appel|tél|llame",
 }
 REACH = 24
+CHUNK = 256
 FEATURES = ["kind", "digits", "length", "luhn", "cue", "counter_cue", "separators", "one_separator", "grouped", "bracket", "first_digit", "tld"]
 COUNTER_CUES = "order|invoice|isbn|version|serial|tracking|ref|no\\\\.|nr\\\\.|id|bestell|commande|pedido|token|hash|time"
 TREES, DEPTH, RATE, PRECISION = 30, 3, 0.3, 0.98
@@ -59,18 +60,34 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def swept(items: str, state: dict[str, str], step: str, kind: str) -> str:
+    """SQL: a fold over ``items`` with the fields of ``state`` that appends rows of type ``kind`` to ``a.got``.
+
+    Appending copies the list, so the fold goes by chunks of ``CHUNK`` items, each with a list of its own: the
+    work grows with the number of items, not with its square.  ``step`` maps a (the state) and x to a new state.
+    """
+    carried = ", ".join(f"acc.{f} as {f}" for f in state)
+    begin = ", ".join(f"{v} as {f}" for f, v in state.items())
+    result = ", ".join(f"r.{f} as {f}" for f in state)
+    return f"""flatten(transform(array({items}), z -> aggregate(
+      transform(sequence(0, greatest(0, size(z) - 1) div {CHUNK}), j -> slice(z, cast(j * {CHUNK} + 1 as int), {CHUNK})),
+      struct({begin}, cast(array() as array<array<{kind}>>) as got),
+      (acc, chunk) -> transform(array(aggregate(chunk, struct({carried}, cast(array() as array<{kind}>) as got), (a, x) -> {step})),
+        r -> struct({result}, array_append(acc.got, r.got) as got))[0],
+      acc -> acc.got))[0])"""
+
+
 def found(kind: str, pattern: str, needs: str) -> str:
-    """SQL: array of (s, e, m) of all matches, from the matches and the lengths of what lies between."""
+    """SQL: array of (s, e, m, b) of all matches, b the ``REACH`` characters before; no position is looked up in the text."""
     rx = _sql_str(pattern)
-    return f"""if({needs},
-      aggregate(
-        arrays_zip(transform(split(text, {rx}, -1), x -> length(x)), regexp_extract_all(text, {rx}, 0)),
-        struct(0 as at, cast(array() as array<struct<s:int,e:int,m:string>>) as got),
-        (a, x) -> if(x['1'] is null, a, struct(
-            a.at + x['0'] + length(x['1']) as at,
-            array_append(a.got, struct(a.at + x['0'] as s, a.at + x['0'] + length(x['1']) as e, x['1'] as m)) as got)),
-        a -> a.got),
-      cast(array() as array<struct<s:int,e:int,m:string>>))"""
+    before = f"if(length(x['0']) >= {REACH}, right(x['0'], {REACH}), right(concat(a.tail, x['0']), {REACH}))"
+    step = f"""if(x['1'] is null, a, struct(
+        a.at + length(x['0']) + length(x['1']) as at,
+        right(concat({before}, x['1']), {REACH}) as tail,
+        array_append(a.got, struct(a.at + length(x['0']) as s, a.at + length(x['0']) + length(x['1']) as e, x['1'] as m, {before} as b)) as got))"""
+    row = "struct<s:int,e:int,m:string,b:string>"
+    items = f"arrays_zip(split(text, {rx}, -1), regexp_extract_all(text, {rx}, 0))"
+    return f"if({needs}, {swept(items, {'at': '0', 'tail': chr(39) * 2}, step, row)}, cast(array() as array<{row}>))"
 
 
 def luhn(digits: str) -> str:
@@ -100,9 +117,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
-def features(number: int, kind: str, text: str = "text") -> str:
+def features(number: int, kind: str) -> str:
     """SQL: the feature struct of candidate c."""
-    before = f"lower(substr({text}, greatest(1, c.s + 1 - {REACH}), c.s - greatest(0, c.s - {REACH})))"
+    before = "lower(c.b)"
     seps = "regexp_replace(c.m, '[0-9A-Za-z]', '')"
     return f"""struct(c.s as s, c.e as e, {number} as kind, length({DIGITS}) as digits, length(c.m) as length,
       if({"length(" + DIGITS + ") >= 12 and " + luhn(DIGITS)}, 1, 0) as luhn,
@@ -134,6 +151,14 @@ def generated(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     def phone() -> str:
         return r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(d(3), d(3), d(4))
 
+    def national() -> str:
+        sep = r.choice([" ", ".", "-"])
+        return r.choice([f"0{r.randint(1, 9)}{d(1)} {d(7)}", f"0{r.randint(1, 9)}{d(2)}/{d(3)} {d(4)}", f"(0{r.randint(1, 9)}{d(1)}) {d(4)} {d(4)}", sep.join([f"0{r.randint(1, 9)}", d(2), d(2), d(2), d(2)])])
+
+    def short_ip() -> str:
+        group = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4)))
+        return ":".join(group() for _ in range(r.randint(1, 3))) + "::" + ":".join(group() for _ in range(r.randint(1, 3)))
+
     cues = {"email": ["mail", "contact"], "ip": ["host", "server"], "card": ["card", "visa", "credit card"], "phone": ["phone", "call", "tel"]}
     against = ["order", "invoice", "isbn", "serial", "tracking", "ref", "id", "token", "time"]
     rows = []
@@ -146,7 +171,7 @@ def generated(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
             lead = r.choice([cue, word()]) if good else word()
         elif kind == "ip":
             good = r.random() < 0.5
-            m = ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
+            m = short_ip() if r.random() < 0.4 else ":".join("".join(r.choice("0123456789abcdef") for _ in range(4)) for _ in range(8))
             lead = cue if good else r.choice([counter, word()])
         elif kind == "card":
             form = r.randint(0, 3)
@@ -156,7 +181,7 @@ def generated(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         else:
             form = r.randint(0, 3)
             good = form <= 1
-            m = phone() if form <= 1 else d(10) if form == 2 else phone()
+            m = d(10) if form == 2 else national() if r.random() < 0.4 else phone()
             lead = cue if good else counter if form == 3 else r.choice([counter, word()])
         text = f"{word()} {lead}{r.choice([' ', ': '])}"
         rows.append((text + m + f" {word()}", kind, len(text), len(text) + len(m), int(good)))
@@ -205,7 +230,7 @@ def trained(spark: SparkSession, n: int = 1600, seed: int = 11) -> dict:
     rows = [dict(zip(("text", "kind", "s", "e", "label"), r)) for r in generated(n, seed)]
     literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,kind:string,s:int,e:int,label:int>>")
     df = spark.range(1).select(F.explode(literal).alias("g")).select("g.*")
-    df = df.withColumn("c", F.expr("struct(s, e, substr(text, s + 1, e - s) as m)"))
+    df = df.withColumn("c", F.expr(f"struct(s, e, substr(text, s + 1, e - s) as m, right(substr(text, 1, s), {REACH}) as b)"))
     case = " ".join(f"when '{k}' then {features(i, k)}" for i, k in enumerate(KINDS))
     got = df.select(F.expr(f"case kind {case} end").alias("f"), "label").collect()
     x = np.array([[r["f"][name] for name in FEATURES] for r in got], float)
@@ -230,12 +255,14 @@ def trained(spark: SparkSession, n: int = 1600, seed: int = 11) -> dict:
 
 # ---- the operator ----
 
+SCORED = "struct<s:int,k:int,e:int,over:double>"
+
 
 def all_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (s, k, e), k the index in KINDS, in order.
+    """``docs`` with ``base``, ``selected`` and ``spans``: arrays of (s, k, e), k the index in KINDS, in order.
 
-    ``spans`` has the base and those loose candidates that no base span overlaps and whose score
-    reaches the threshold of their kind.
+    ``selected`` has the base and all loose candidates whose score reaches the threshold of their kind.  ``spans``
+    has the base and, best score first (ties: smaller start, kind), those candidates that overlap no span taken before.
     """
     model = model or trained(docs.sparkSession)
     out = base_spans(docs)
@@ -245,9 +272,20 @@ def all_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
     limit = "case c.kind " + " ".join(f"when {i} then {model['thresholds'][k]!r}D" for i, k in enumerate(KINDS)) + " end"
     loose = [f"transform({found(k, LOOSE[k], LOOSE_NEEDS[k])}, c -> {features(i, k)})" for i, k in enumerate(KINDS)]
     out = out.withColumn("candidates", F.expr(f"concat({', '.join(loose)})"))
-    chosen = f"""transform(filter(candidates, c -> {margin} >= {limit}
-        and not exists(base, b -> b.s < c.e and c.s < b.e)), c -> struct(c.s as s, c.kind as k, c.e as e))"""
-    return out.withColumn("spans", F.expr(f"array_sort(concat(base, if(size(candidates) = 0, array(), {chosen})))"))
+    out = out.withColumn("extra", F.expr(f"""if(size(candidates) = 0, cast(array() as array<{SCORED}>),
+        filter(transform(candidates, c -> struct(c.s as s, c.kind as k, c.e as e, {margin} - {limit} as over)), c -> c.over >= 0))"""))
+    # runs of spans that overlap one after another are settled each for itself
+    rows = "concat(array_sort(concat(transform(base, c -> struct(c.s as s, c.k as k, c.e as e, cast(null as double) as over)), extra)), array(null))"
+    run = f"""if(x is null or x.s >= a.upto,
+        struct(coalesce(x.e, 0) as upto, if(x is null, cast(array() as array<{SCORED}>), array(x)) as run, if(size(a.run) = 0, a.got, array_append(a.got, a.run)) as got),
+        struct(greatest(a.upto, x.e) as upto, array_append(a.run, x) as run, a.got as got))"""
+    runs = swept(rows, {"upto": "0", "run": f"cast(array() as array<{SCORED}>)"}, run, f"array<{SCORED}>")
+    given = "transform(filter(run, c -> c.over is null), c -> struct(c.s as s, c.k as k, c.e as e))"
+    best = "array_sort(transform(filter(run, c -> c.over is not null), c -> struct(-c.over as under, c.s as s, c.k as k, c.e as e)))"
+    settled = f"""if(size(run) = 1, transform(run, c -> struct(c.s as s, c.k as k, c.e as e)), aggregate({best}, {given},
+        (t, c) -> if(exists(t, b -> b.s < c.e and c.s < b.e), t, array_append(t, struct(c.s as s, c.k as k, c.e as e)))))"""
+    out = out.withColumn("spans", F.expr(f"if(size(extra) = 0, base, array_sort(flatten(transform({runs}, run -> {settled}))))"))
+    return out.withColumn("selected", F.expr("if(size(extra) = 0, base, array_sort(concat(base, transform(extra, c -> struct(c.s as s, c.k as k, c.e as e)))))"))
 
 
 def listed(spans: str) -> Column:
@@ -264,7 +302,9 @@ def pii_query(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its texts replaced by [KIND]; overlapping spans become one.
+    """``docs`` with every selected span of its texts replaced by [KIND]; overlapping spans become one, of the first one's kind.
+
+    Whatever reaches its threshold goes, also where ``spans`` settles on another reading of the same place.
 
     n_chars, where there is such a column, is counted anew for changed texts; null texts stay null.
     """
@@ -272,11 +312,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("text"), F.struct(*plain).alias("__row"))
     rows = all_spans(rows)
     tags = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    text = F.expr(f"""if(size(spans) = 0, text, aggregate(spans, struct(0 as at, '' as got),
-        (a, c) -> if(c.e <= a.at, a, struct(c.e as at, concat(a.got,
-            if(c.s >= a.at, concat(substr(text, a.at + 1, c.s - a.at), {tags}[c.k]), '')) as got)),
-        a -> concat(a.got, substr(text, a.at + 1))))""")
-    rows = rows.select("__row", F.when(F.col("__row.text").isNull(), F.lit(None)).otherwise(text).alias("__text"), (F.size("spans") > 0).alias("__hit"))
+    joined = swept("concat(selected, array(null))", {"s": "-1", "k": "0", "e": "-1"}, """if(x is not null and x.s < a.e, struct(a.s as s, a.k as k, greatest(a.e, x.e) as e, a.got as got),
+        struct(coalesce(x.s, -1) as s, coalesce(x.k, 0) as k, coalesce(x.e, -1) as e, if(a.e < 0, a.got, array_append(a.got, struct(a.s as s, a.k as k, a.e as e))) as got))""", "struct<s:int,k:int,e:int>")
+    # the text is cut once for every CHUNK spans, and their pieces are cut from that cut
+    rows = rows.withColumn("joined", F.expr(joined))
+    last = f"sequence(0, greatest(0, size(joined) - 1) div {CHUNK})"
+    cut = f"""transform({last}, j -> struct(slice(joined, cast(j * {CHUNK} + 1 as int), {CHUNK}) as own,
+        if(j = 0, 0, joined[cast(j * {CHUNK} as int) - 1].e) as at, joined[cast(least(size(joined), (j + 1) * {CHUNK}) as int) - 1].e as upto))"""
+    pieces = f"""transform(c.own, (x, i) -> concat(substr(c.part, if(i = 0, 0, c.own[i - 1].e - c.at) + 1, x.s - if(i = 0, c.at, c.own[i - 1].e)), {tags}[x.k]))"""
+    text = F.expr(f"""if(size(joined) = 0, text, concat(array_join(transform(transform({cut},
+        c -> struct(c.own as own, c.at as at, substr(text, c.at + 1, c.upto - c.at) as part)), c -> array_join({pieces}, '')), ''), substr(text, element_at(joined, -1).e + 1)))""")
+    rows = rows.select("__row", F.when(F.col("__row.text").isNull(), F.lit(None)).otherwise(text).alias("__text"), (F.size("joined") > 0).alias("__hit"))
     cols = []
     for c in names:
         col = F.col(f"__row.`{c}`")

@@ -770,3 +770,36 @@ def test_pipeline_over_clashing_columns(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     assert {r["block"] for r in now.collect() if r["doc_id"] is not None} <= set(range(12)) and now.count() >= 13
+
+
+def test_pii_selection_and_long_lists(spark):
+    """Spans settled best first, more matches than a chunk holds, redaction of every selected place, wider forms."""
+    many = " ".join(f"mail u{i}@h{i}.org call (555) 123-{i:04d} or +49 30 {1000000 + i} é" for i in range(700))
+    wide = ["tel 030 1234567 now", "phone: 06 12 34 56 78.", "host 2001:db8::1 up", "order 030 1234567 now", "at 12:30:45 sharp", "a std::move b", "tel 555-123-4567 @ 12.de x", "x" * 40 + "é tel 555 123 4567"]
+    rows = [(0, many), *enumerate(wide, 1), (20, None), (20, "")]
+    got = pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] < 20}
+    for r in got:
+        base, spans, selected = ([(x["s"], x["k"], x["e"]) for x in r[c]] for c in ("base", "spans", "selected"))
+        assert base == brute_spans(r["text"]) and spans == sorted(spans) and set(base) <= set(spans) <= set(selected)
+        score = {(x["s"], x["k"], x["e"]): x["over"] for x in r["extra"]}
+        taken = list(base)
+        for c in sorted(score, key=lambda c: (-score[c], c)):
+            if not any(b[0] < c[2] and c[0] < b[2] for b in taken):
+                taken.append(c)
+        assert spans == sorted(taken)
+    assert len(by_id[0]["spans"]) == 2100 and by_id[0]["base"][-1]["e"] == len(many) - 2
+    kinds = {i: [pii.KINDS[x["k"]] for x in r["spans"]] for i, r in by_id.items() if i}
+    assert kinds[1] == kinds[2] == kinds[8] == ["phone"] and kinds[3] == ["ip"] and kinds[4] == kinds[5] == kinds[6] == []
+    cut = {r["doc_id"]: r["text"] for r in pii.redacted(spark.createDataFrame(rows[:-2], "doc_id long, text string")).collect()}
+    for i, text in rows[:-2]:
+        want, at = "", 0
+        runs = []
+        for x in by_id[i]["selected"]:
+            if runs and x["s"] < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], x["e"])
+            else:
+                runs.append([x["s"], x["e"], x["k"]])
+        for a, b, k in runs:
+            want, at = want + text[at:a] + f"[{pii.KINDS[k].upper()}]", b
+        assert cut[i] == want + text[at:]
