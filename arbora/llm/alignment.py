@@ -41,6 +41,8 @@ from arbora.llm.bpe import byte_symbols
 from arbora.llm.common import ensure_checkpoint_dir
 
 BLOCK_BYTES = 1 << 22
+#: Blocks are rows of megabytes: Parquet looks at its buffer after each few of them, not after a hundred, and begins a new group of rows.
+ROW_GROUPS = {"parquet.block.size": 1 << 24, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 2}
 #: A block's ids of A and B as one number.
 SHIFT = 32
 BATCH = 1024
@@ -281,7 +283,7 @@ def alignment_query(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/alignment-{uuid.uuid4().hex}"
-    described(docs, a_path, b_path).write.option("compression", "zstd").parquet(folder)
+    described(docs, a_path, b_path).write.options(compression="zstd", **ROW_GROUPS).parquet(folder)
     blocks = spark.read.parquet(folder)
     asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
     told = asked.join(link_counts(blocks), "pair").select("block", "place", "count", "best")
