@@ -70,6 +70,8 @@ def lineage(g: Graph, results: DataFrame, names: DataFrame) -> DataFrame:
     """name, inputs (direct, completed), ancestors (completed), depth: what went into each name."""
     done = results.where("status = 'completed'").select("name")
     starts = names.select("name")
+    if g._kernel() and g._components[2] ** 2 <= 2 * fixpoint.KERNEL_PAIRS:
+        return _lineage_in_tasks(g, done, starts)
     up = fixpoint.checkpoint(_above(g, starts))
     got = up.join(done, "name", "left_semi").groupBy(F.col("start").alias("name")).agg(F.array_sort(F.collect_set("name")).alias("ancestors"), F.max("hops").alias("depth"))
     direct = up.where("hops = 1").join(done, "name", "left_semi").groupBy(F.col("start").alias("name")).agg(F.array_sort(F.collect_set("name")).alias("inputs"))
@@ -77,6 +79,39 @@ def lineage(g: Graph, results: DataFrame, names: DataFrame) -> DataFrame:
     return starts.join(direct, "name", "left").join(got, "name", "left").select("name", F.coalesce("inputs", empty).alias("inputs"), F.coalesce("ancestors", empty).alias("ancestors"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+def _lineage_in_tasks(g: Graph, done: DataFrame, starts: DataFrame) -> DataFrame:
+    """``lineage`` where components fit tasks: each makes the rows of its names, so no pair of nodes is shuffled."""
+    asked = starts.groupBy("name").agg(F.count("*").cast("int").alias("hit"))
+    known = g.nodes.select("name").join(asked, "name", "left").join(done.distinct().withColumn("ok", F.lit(1)), "name", "left")
+    known = known.select("name", F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce("ok", F.lit(0)).alias("ok"))
+
+    def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+        out: dict[str, list] = {"name": [], "inputs": [], "ancestors": [], "depth": []}
+        ok = cols["ok"]
+        for i, hit in enumerate(cols["hit"]):
+            seen, edge, step, found, depth, near = {i}, [i] if hit else [], 0, [], 0, []
+            while edge:
+                step += 1
+                edge = list(dict.fromkeys(j for k in edge for j in adj.inc[k] if j not in seen))
+                seen.update(edge)
+                got = [j for j in edge if ok[j]]
+                if got:
+                    found += got
+                    depth = step
+                if step == 1:
+                    near = got
+            if hit:
+                row = adj.names[i], *(adj.label(sorted(x, key=adj.place.__getitem__)) for x in (near, found)), depth
+                for c, v in zip(out, row):
+                    out[c] += [v] * hit
+        return out
+
+    got = fixpoint.by_component(known, g.edges, g._components[0], kernel, "name string,inputs array<string>,ancestors array<string>,depth int", ["hit", "ok"], 1 + g._components[2] // 100)
+    empty = F.array().cast("array<string>")
+    other = starts.join(g.nodes.select("name"), "name", "left_anti").select("name", empty.alias("inputs"), empty.alias("ancestors"), F.lit(0).alias("depth"))
+    return got.unionByName(other)
+
+
 def _above(g: Graph, starts: DataFrame) -> DataFrame:
     """(start, name, hops): the ancestors of each start, fewest hops; of the starts only."""
     if not g._kernel():
@@ -128,6 +163,64 @@ def lineage_summary(results: DataFrame) -> DataFrame:
 # ---- explanation ----
 
 
+def _in_tasks(g: Graph) -> bool:
+    return g._kernel() and g._components[2] ** 2 <= 2 * fixpoint.KERNEL_PAIRS
+
+
+def _around(g: Graph, listed: bool = True) -> DataFrame:
+    """name, level, ins, outs, ancestors, descendants and dominates (``listed``) or dominated, their number, all from one pass in tasks.
+
+    What is above and below a node is a bitmap over the nodes of its own component.  A node that all others of its
+    component lie above or below dominates all that is below it, and nothing needs to be looked at.
+    """
+
+    def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
+        order, comp = adj.kahn(), adj.weak_components()
+        n = len(order)
+        members: dict[int, list[int]] = {}
+        bit, above, below = [0] * n, [0] * n, [0] * n
+        level = [0] * n
+        for i in order:
+            of = members.setdefault(comp[i], [])
+            bit[i] = 1 << len(of)
+            of.append(i)
+            for j in adj.inc[i]:
+                above[i] |= above[j] | bit[j]
+                level[i] = max(level[i], level[j] + 1)
+        for i in reversed(order):
+            for j in adj.out[i]:
+                below[i] |= below[j] | bit[j]
+        hits: list = []
+        for i in range(n):
+            of = members[comp[i]]
+            line = above[i] | below[i] | bit[i]
+            hit = below[i]
+            if line + 1 != 1 << len(of):
+                left, hit = hit, 0
+                while left:
+                    low = left & -left
+                    left ^= low
+                    if not above[of[low.bit_length() - 1]] & ~line:
+                        hit |= low
+            if not listed:
+                hits.append(hit.bit_count())
+                continue
+            ids = []
+            while hit:
+                low = hit & -hit
+                hit ^= low
+                ids.append(of[low.bit_length() - 1])
+            hits.append(adj.label(sorted(ids, key=adj.place.__getitem__)))
+        return {
+            "name": adj.names, "level": level, "ins": [len(x) for x in adj.inc], "outs": [len(x) for x in adj.out],
+            "ancestors": [x.bit_count() for x in above], "descendants": [x.bit_count() for x in below], "dominates" if listed else "dominated": hits,
+        }
+
+    last = "dominates array<string>" if listed else "dominated long"
+    schema = f"name string,level int,ins long,outs long,ancestors long,descendants long,{last}"
+    return fixpoint.by_component(g.nodes, g.edges, g._components[0], kernel, schema, per_edge=1 + g._components[2] // 100)
+
+
 def dominated(g: Graph) -> DataFrame:
     """name, dominates (sorted): the descendants whose other ancestors all lie above or below the node.
 
@@ -135,28 +228,8 @@ def dominated(g: Graph) -> DataFrame:
     descendant.  In components that fit a task ancestors are bitmaps; else the pairs with a predecessor beside the node
     are passed on downward, and all other pairs are left.
     """
-    if g._kernel() and g._components[2] ** 2 <= 2 * fixpoint.KERNEL_PAIRS:
-        def kernel(adj: Adjacency, cols: dict) -> dict[str, list]:
-            order = adj.kahn()
-            above, below = [0] * len(order), [0] * len(order)
-            for i in order:
-                for j in adj.inc[i]:
-                    above[i] |= above[j] | 1 << j
-            for i in reversed(order):
-                for j in adj.out[i]:
-                    below[i] |= below[j] | 1 << j
-            out: dict[str, list] = {"name": [], "dst": []}
-            for i in order:
-                line, left = above[i] | below[i] | 1 << i, below[i]
-                while left:
-                    j = (left & -left).bit_length() - 1
-                    left &= left - 1
-                    if not above[j] & ~line:
-                        out["name"].append(adj.names[i])
-                        out["dst"].append(adj.names[j])
-            return out
-
-        hit = fixpoint.by_component(g.nodes, g.edges, g._components[0], kernel, "name string,dst string")
+    if _in_tasks(g):
+        return _around(g).select("name", "dominates")
     else:
         pairs = fixpoint.checkpoint(g.closure().select("src", "dst"))
         e = fixpoint.checkpoint(g.edges.select(F.col("src").alias("p"), "dst").distinct())
@@ -173,21 +246,29 @@ def dominated(g: Graph) -> DataFrame:
     return g.nodes.select("name").join(got, "name", "left").select("name", F.coalesce("dominates", F.array().cast("array<string>")).alias("dominates"))
 
 
-def explain(g: Graph, costs: DataFrame | None = None) -> DataFrame:
+def explain(g: Graph, costs: DataFrame | None = None, listed: bool = True) -> DataFrame:
     """For every node: depth, on_critical_path, bottleneck, counts around it, is_root, is_leaf, dominates.
 
+    Without ``listed`` the last is dominated, the number of nodes it dominates; they aren't listed where tasks can count them.
+
     bottleneck = descendants / total, halved off the critical path, two decimals.  What is above and below a node is
     counted from interval labels, without listing it.
     """
     n = g.node_count()
-    down = g.reachability_index().sizes().withColumnRenamed("n", "descendants")
-    up = g._reversed.reachability_index().sizes().withColumnRenamed("n", "ancestors")
     cp = g.critical_path(costs).select("name", F.lit(True).alias("on_critical_path"))
-    j = g.levels().join(g.degrees(), "name").join(down, "name").join(up, "name").join(cp, "name", "left").join(dominated(g), "name")
+    last = "dominates" if listed else "dominated"
+    if _in_tasks(g):
+        j = _around(g, listed).withColumnsRenamed({"ins": "in_degree", "outs": "out_degree"}).join(cp, "name", "left")
+    else:
+        down = g.reachability_index().sizes().withColumnRenamed("n", "descendants")
+        up = g._reversed.reachability_index().sizes().withColumnRenamed("n", "ancestors")
+        j = g.levels().join(g.degrees(), "name").join(down, "name").join(up, "name").join(cp, "name", "left").join(dominated(g), "name")
+        if not listed:
+            j = j.withColumn("dominated", F.size("dominates").cast("long"))
     on = F.coalesce("on_critical_path", F.lit(False))
     return j.select(
         "name", F.col("level").alias("depth"), on.alias("on_critical_path"), F.round(F.col("descendants") / max(1, n) * F.when(on, 1.0).otherwise(0.5), 2).alias("bottleneck"),
-        "in_degree", "out_degree", "ancestors", "descendants", (F.col("in_degree") == 0).alias("is_root"), (F.col("out_degree") == 0).alias("is_leaf"), "dominates",
+        "in_degree", "out_degree", "ancestors", "descendants", (F.col("in_degree") == 0).alias("is_root"), (F.col("out_degree") == 0).alias("is_leaf"), last,
     )
 
 
@@ -214,8 +295,10 @@ def relevelled(g: Graph, before: DataFrame, h: Graph) -> DataFrame:
     """name, level of the changed graph ``h`` from the levels ``before`` of ``g``: only the cone of the change is relaxed again.
 
     The cone is what new, changed and cut edges lead to and all below; a node of it starts from the levels of its
-    predecessors outside.
+    predecessors outside.  Where components fit tasks, the levels of the changed graph are made at once.
     """
+    if h._kernel():  # a task goes through whole components anyway
+        return h.levels()
     was, now = g.edges.select("src", "dst").distinct(), h.edges.select("src", "dst").distinct()
     ends = now.join(was, ["src", "dst"], "left_anti").unionByName(was.join(now, ["src", "dst"], "left_anti")).select(F.col("dst").alias("name"))
     fresh = h.nodes.select("name").join(g.nodes.select("name"), "name", "left_anti")
@@ -239,7 +322,7 @@ def what_if(g: Graph, add_nodes: list[str] = (), add_edges: list[tuple[str, str]
     spark = g.spark
     frame = lambda rows, kind: spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], kind) if rows else None
     new, e, gone = frame(list(add_nodes), "name string"), frame(list(add_edges), "src string, dst string"), frame(list(remove_nodes), "name string")
-    h = changed(g, new, e, gone, frame(list(remove_edges), "src string, dst string")).snapshot()
+    h = changed(g, new, e, gone, frame(list(remove_edges), "src string, dst string"))
     row = lambda df, figure, place, name, value: df.select(F.lit(figure).alias("figure"), place.cast("int").alias("place"), name.cast("string").alias("name"), value.cast("long").alias("value"))
     none = F.lit(None)
     if e is not None:
@@ -256,6 +339,7 @@ def effects(g: Graph, h: Graph, costs: DataFrame | None = None) -> DataFrame:
     """figure, place, name, value: what sets the changed graph ``h`` apart from ``g``, see ``what_if``."""
     row = lambda df, figure, place, name, value: df.select(F.lit(figure).alias("figure"), place.cast("int").alias("place"), name.cast("string").alias("name"), value.cast("long").alias("value"))
     none = F.lit(None)
+    h = h.snapshot()
     before = fixpoint.checkpoint(g.levels())
     width = lambda lvl, sign: lvl.groupBy("level").count().agg((F.coalesce(F.max("count"), F.lit(0)) * sign).alias("n"))
     delta = width(relevelled(g, before, h), 1).unionByName(width(before, -1)).agg(F.sum("n").alias("n"))
@@ -345,11 +429,9 @@ def profile(g: Graph, results: DataFrame) -> DataFrame:
     """name, duration, earliest_start, latest_start, slack, critical, of completed nodes by measured durations."""
     done = fixpoint.checkpoint(results.where("status = 'completed'").groupBy("name").agg(F.max("duration_seconds").alias("cost")))
     sub = g.subgraph(done)
-    sub.strategy = g.strategy
+    sub = Graph(fixpoint.checkpoint(sub.nodes.select("name")), fixpoint.checkpoint(sub.edges.select("src", "dst")), g.strategy)
     down = sub.bottom_levels(done)
-    up = sub.reverse()
-    up.strategy = g.strategy
-    top = up.bottom_levels(done).withColumnRenamed("bottom_level", "head")
+    top = sub._reversed.bottom_levels(done).withColumnRenamed("bottom_level", "head")  # its components are the same
     j = fixpoint.checkpoint(done.join(down, "name").join(top, "name"))
     j = j.crossJoin(F.broadcast(j.agg(F.max("bottom_level").alias("whole"))))  # one row
     p = j.select("name", F.col("cost").alias("duration"), (F.col("head") - F.col("cost")).alias("earliest_start"), (F.col("whole") - F.col("bottom_level")).alias("latest_start"))
