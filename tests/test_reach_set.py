@@ -64,3 +64,11 @@ def test_components_of_edges_that_lie_together_need_no_contraction(spark, monkey
     assert sum(rows) < 3 * 8000
     got = fixpoint.components(e.repartition(7, F.rand(3)), whole=0)
     assert {x["node"]: x["root"] for x in got.collect()} == want
+
+
+def test_few_scattered_links_are_joined_without_rounds(spark, monkeypatch):
+    """Each round leaves plans, broadcasts and code in the driver (the pipeline's near-duplicates took more than 1500 MB there)."""
+    e = _chains(spark, 20, 60).edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).repartition(5, F.rand(2))
+    rows = _kept(monkeypatch)
+    assert {x["node"]: x["root"] for x in fixpoint.components(e).collect()} == {f"v{i:06d}": f"v{i - i % 60:06d}" for i in range(1200)}
+    assert len(rows) <= 3
